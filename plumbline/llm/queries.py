@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, secrets, simhash, url_filter
+from plumbline.llm import embedding, language, secrets, simhash, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -26,6 +26,11 @@ def _bucket(n: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, with structurally confirmed keys and tokens among the spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +57,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back, with their revisits."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "body_ok")
+
+
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 OP9_SQL = rf"""
@@ -71,14 +82,42 @@ FROM u LEFT JOIN best USING (k)
 """
 
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+l AS (SELECT digest, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to,
+  CASE WHEN last IS NULL OR page_id = last THEN true END AS body_ok
+FROM p LEFT JOIN l USING (digest)
+"""
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+  least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)) AS component_id,
+  vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) AS kept
+FROM embeddings
+"""
+
+
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op3_secret_scan": op3_secret_scan,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
