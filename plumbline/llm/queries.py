@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import embedding, language, secrets, simhash, url_filter, warc
+from plumbline.llm import decontaminate, embedding, language, mixing, secrets, simhash, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -31,12 +31,24 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents at 95 % of the uniform entropy, each source at most four times."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).select("doc_id", "source", "n_tokens", "epoch", "block", "slot")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text, with structurally confirmed keys and tokens among the spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds within a tenth of the item's characters in edits."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, three bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,6 +94,35 @@ FROM u LEFT JOIN best USING (k)
 """
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS s,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+t AS (SELECT s, sum(n_tokens)::BIGINT AS t FROM d GROUP BY s HAVING sum(n_tokens) > 0),
+p AS (SELECT s, t, t::DOUBLE / (SELECT sum(t) FROM t)::DOUBLE AS p FROM t),
+g AS (
+  SELECT k, sum(pow(p, k / 1048576.0::DOUBLE)) AS z, sum(pow(p, k / 1048576.0::DOUBLE) * ln(p)) AS y,
+    max(pow(p, k / 1048576.0::DOUBLE - 1)) AS r
+  FROM range(0, 1048577) AS x(k), p GROUP BY k),
+a AS (
+  SELECT greatest(
+    coalesce(max(k) FILTER (ln(z) - k / 1048576.0::DOUBLE * y / z >= 0.95 * (SELECT ln(count(*)) FROM p)), 0),
+    coalesce(min(k) FILTER (r / z <= 4.0), 1048576)) / 1048576.0::DOUBLE AS a FROM g),
+q AS (
+  SELECT s, t, round(pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a) * (SELECT sum(t) FROM t))::BIGINT AS quota FROM p, a),
+e AS (
+  SELECT d.*, t, quota, quota // t AS w, quota - quota // t * t AS rest, unnest(range(0, quota // t + 1)) AS epoch
+  FROM d JOIN q USING (s)),
+h AS (
+  SELECT *, ('0x' || substr(md5('17|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS slot FROM e),
+o AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY s, epoch ORDER BY slot, doc_id, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM h),
+b AS (SELECT greatest(1, ceil((SELECT sum(t) FROM t) / 1000000.0))::BIGINT AS n)
+SELECT doc_id, source, n_tokens, epoch, least(floor((epoch * t + start) * n / quota)::BIGINT, n - 1) AS block, slot
+FROM o, b WHERE epoch < w OR start < rest
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
 l AS (SELECT digest, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY digest)
@@ -108,10 +149,20 @@ FROM embeddings
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline: language ID, near-dedup, decontamination, secret masks, mixture."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_mix_sources": op2_mix_sources,
         "op3_secret_scan": op3_secret_scan,
+        "op5_decontaminate": op5_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
@@ -120,4 +171,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
