@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, embedding, language, mixing, secrets, simhash, url_filter, warc
+from plumbline.llm import decontaminate, embedding, language, mixing, secrets, simhash, suffixes, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -43,6 +43,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a repeated 400-byte string covers, and the digest of the rest."""
+    found = suffixes.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it holds within a tenth of the item's characters in edits."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -162,6 +169,7 @@ def queries() -> dict:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_mix_sources": op2_mix_sources,
         "op3_secret_scan": op3_secret_scan,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
