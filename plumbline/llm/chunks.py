@@ -132,8 +132,8 @@ def ask(
 
 def totals(answers: DataFrame) -> dict[str, float]:
     """Sums of the buckets' totals: a handful of names, added up by Spark."""
-    pair = F.split(F.explode(F.split("stats", ";")), "=")
-    pairs = answers.where("stats <> ''").select(pair.alias("p")).select(F.col("p")[0].alias("k"), F.col("p")[1].cast("double").alias("v"))
+    said = answers.where("stats <> ''").select(F.explode(F.split("stats", ";")).alias("p")).select(F.split("p", "=").alias("p"))
+    pairs = said.select(F.col("p")[0].alias("k"), F.col("p")[1].cast("double").alias("v"))
     return {r["k"]: r["v"] for r in pairs.groupBy("k").agg(F.sum("v").alias("v")).collect()}
 
 

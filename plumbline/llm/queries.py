@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, embedding, language, mixing, secrets, simhash, suffixes, url_filter, warc
+from plumbline.llm import decontaminate, embedding, language, lm, mixing, secrets, simhash, suffixes, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -56,6 +56,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and maximum-entropy scores of all documents; one residue of seven is held out."""
+    return lm.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _bucket(7) == 2)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, three bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -171,6 +176,7 @@ def queries() -> dict:
         "op3_secret_scan": op3_secret_scan,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op6_lm_score": op6_lm_score,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
