@@ -177,6 +177,8 @@ def decode_layer(data: bytes, light: bool, int_zigzag: bool) -> dict | None:
                 properties[keys[k]] = values[v] if v < len(values) else None
         ident = None if ident is None else ident - (1 << 64 if ident >> 63 else 0)
         parts = [[{"x": x, "y": y} for x, y in p] for p in decode_geometry(commands)]
+        if kind == 1 and len(parts) > 1:  # points are one part
+            parts = [[p for part in parts for p in part]]
         features.append({"feature_id": ident, "type": kind if kind in (1, 2, 3) else 0, "properties": list(properties.items()), "parts": parts})
     return {"layer": name, "version": version, "extent": extent, "n_features": len(raw), "features": features}
 
