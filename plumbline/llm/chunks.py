@@ -73,10 +73,25 @@ def text_bytes(column: pa.ChunkedArray) -> list[bytes]:
     return [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in column]
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket bounds: sorted keys of bucket b lie between the b-th and the next bound."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.r_[0, np.searchsorted(keys, edges), len(keys)]
+def bucket_edges(buckets: int) -> np.ndarray:
+    """Least key of each bucket."""
+    return np.array([-(-(b << 64) // buckets) for b in range(buckets)], np.uint64)
+
+
+def sorted_blob(keys: np.ndarray, edge: int) -> bytes:
+    """Sorted keys of a bucket as byte planes of their differences, as many planes as the largest needs."""
+    steps = np.diff(keys, prepend=np.uint64(edge))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return len(keys).to_bytes(4, "little") + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def sorted_keys(blob: bytes, edge: int) -> tuple[np.ndarray, int]:
+    """Keys of a blob, and where what follows them begins."""
+    n, width = int.from_bytes(blob[:4], "little"), blob[4]
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 5).reshape(width, n).T
+    keys = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+    return keys + np.uint64(edge), 5 + n * width
 
 
 def ask(
@@ -96,13 +111,15 @@ def ask(
     answers in the order of the chunk's keys. Empty buckets send nothing.
     """
 
+    edges = bucket_edges(buckets)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, values = keys_of(row)
-                bounds = bucket_of(keys, buckets)
+                bounds = np.r_[np.searchsorted(keys, edges), len(keys)]
                 full = np.flatnonzero(np.diff(bounds))
-                blobs = [keys[bounds[b] : bounds[b + 1]].tobytes() + values[bounds[b] : bounds[b + 1]].astype(kind).tobytes() for b in full]
+                blobs = [sorted_blob(keys[bounds[b] : bounds[b + 1]], int(edges[b])) + values[bounds[b] : bounds[b + 1]].astype(kind).tobytes() for b in full]
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
 
     def reply(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +127,11 @@ def ask(
         for table in tables:
             names += table.column("chunk").to_pylist()
             blobs += table.column("blob").to_pylist()
-        sizes = [len(b) // (8 + np.dtype(kind).itemsize) for b in blobs]
-        keys = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes, strict=True)])
-        values = np.concatenate([np.frombuffer(b, kind, n, 8 * n) for b, n in zip(blobs, sizes, strict=True)])
-        del blobs
+        read = [sorted_keys(b, int(edges[key[0].as_py()])) for b in blobs]
+        sizes = [len(k) for k, _ in read]
+        values = np.concatenate([np.frombuffer(b, kind, len(k), at) for b, (k, at) in zip(blobs, read, strict=True)])
+        keys = np.concatenate([k for k, _ in read])
+        del blobs, read
         index = np.unique(keys, return_inverse=True)[1]
         del keys
         out, stats = answer(index, values)
