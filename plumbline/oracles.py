@@ -128,7 +128,25 @@ def _style(where: str, path: str, message: str, source: str = "sl") -> str:
     return f"WITH {C3} SELECT style, {path} AS path, {message} AS message FROM {source} WHERE {where}"
 
 
+#: Columns that DuckDB computes wider or narrower than Spark.
+CASTS = {
+    "tile_coordinate_range": {"feature_index": "INT"}, "tile_coordinate_range_strict": {"feature_index": "INT"}, "tile_required_properties": {"feature_index": "INT"},
+    "tile_self_intersection": {"first": "INT", "second": "INT"}, "tile_self_intersection_join": {"first": "INT", "second": "INT"}, "segments_intersect_pairs": {"i": "INT", "j": "INT"},
+    "viewport_project": {"feature_index": "INT"}, "geometry_walk": {"n_points": "INT"}, "overlay_resolve": {"feature_index": "INT"}, "engine_union_sorted": {"place": "INT"},
+    "engine_overrides": {"feature_index": "INT"}, "engine_summary": {"infos": "BIGINT"}, "engine_summary_truncated": {"infos": "BIGINT"}, "tile_pyramid": {"x": "INT", "y": "INT"},
+    "mvt_roundtrip_features": {"feature_index": "INT"}, "mvt_roundtrip_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"},
+    "mvt_light_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"}, "decoder_crosscheck": {"feature_index": "INT"}, "offset_entries": {"point_index": "INT"},
+    "cross_provider_identity": {"feature_index": "INT"}, "ring_root_cause": {"first": "INT", "second": "INT", "duplicate_count": "INT"}, "layer_report": {"n_features": "INT"},
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL by query name, with Spark's integer widths."""
+    wrap = lambda sql, casts: f"SELECT * REPLACE ({', '.join(f'{c}::{t} AS {c}' for c, t in casts.items())}) FROM ({sql})"
+    return {name: wrap(sql, CASTS[name]) if name in CASTS else sql for name, sql in _oracles().items()}
+
+
+def _oracles() -> dict[str, str]:
     summary = "count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, 0 AS infos"
     ring = f"WITH {c2(8)} SELECT tile, layer, feature_index, 0 AS part_index"
     return {
@@ -204,8 +222,8 @@ def oracle_sql() -> dict[str, str]:
         "offset_histogram": f"WITH {_offsets()} SELECT bucket, {_RANK} AS rank, count(*) AS n FROM ax GROUP BY ALL",
         "offset_breakdowns": f"""WITH {_offsets()} SELECT CASE WHEN grouping(direction) = 0 THEN 'direction' WHEN grouping(layer) = 0 THEN 'layer' ELSE 'geometry_type' END AS grouping,
           coalesce(direction, layer, geometry_type) AS value, count(*) AS n FROM ax GROUP BY GROUPING SETS ((direction), (layer), (geometry_type))""",
-        "offset_profile": f"""WITH {_offsets()} SELECT axis, direction, count(*) AS n, min(abs(off)) AS min, quantile_cont(abs(off), 0.5) AS median, quantile_cont(abs(off), 0.95) AS p95,
-          quantile_cont(abs(off), 0.99) AS p99, max(abs(off)) AS max FROM ax GROUP BY ALL""",
+        "offset_profile": f"""WITH {_offsets()} SELECT axis, direction, count(*) AS n, min(abs(off)) AS min, floor(quantile_cont(abs(off), 0.5) * 1000 + 0.5)::BIGINT AS median, floor(quantile_cont(abs(off), 0.95) * 1000 + 0.5)::BIGINT AS p95,
+          floor(quantile_cont(abs(off), 0.99) * 1000 + 0.5)::BIGINT AS p99, max(abs(off)) AS max FROM ax GROUP BY ALL""",
         "direction_balance": f"WITH {_offsets()}, n AS (SELECT axis, direction, count(*) AS n FROM ax GROUP BY ALL) SELECT *, n::DOUBLE / (SELECT sum(n) FROM n)::DOUBLE AS share FROM n",
         "cross_provider_identity": f"""WITH {C1}, p AS (SELECT sk % 3 AS ds, tile, layer, feature_index % 2 AS feature_index, feature_index AS seq, CASE WHEN pk % 3 <> 0 THEN p_name END AS name, p_type AS class FROM c1 JOIN part ON pk = p_partkey),
           l AS (SELECT ds, tile, layer, feature_index, arg_max(struct_pack(name := name, class := class), seq) AS q FROM p GROUP BY ds, tile, layer, feature_index),

@@ -232,6 +232,12 @@ def offset_entries(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).drop("part_index", "extent").withColumnRenamed("source_idx", "tile")
 
 
+def offset_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Offset percentiles in thousandths."""
+    rows = analytics.offset_profile(_entries(spark, d), "axis", "direction")
+    return rows.withColumns({p: F.floor(F.col(p) * 1000 + 0.5).cast("long") for p in ("median", "p95", "p99")})
+
+
 def offset_breakdowns(spark: SparkSession, d: str) -> DataFrame:
     return analytics.offset_breakdowns(analytics.axis_entries(_entries(spark, d)), "direction", "layer", "geometry_type")
 
@@ -317,7 +323,6 @@ def style_valid_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    profile = lambda s, d: analytics.offset_profile(_entries(s, d), "axis", "direction")
     return {
         "tile_coordinate_range": _rule(c.tiles, tile_rules.coordinate_range),
         "tile_coordinate_range_strict": _rule(c.tiles, tile_rules.coordinate_range, {"buffer": 0, "excludeLayers": []}),
@@ -368,7 +373,7 @@ def queries() -> dict[str, Query]:
         "offset_entries": offset_entries,
         "offset_histogram": lambda s, d: analytics.offset_histogram(_entries(s, d)),
         "offset_breakdowns": offset_breakdowns,
-        "offset_profile": profile,
+        "offset_profile": offset_profile,
         "direction_balance": lambda s, d: analytics.direction_balance(_entries(s, d)),
         "cross_provider_identity": lambda s, d: analytics.cross_provider_identity(c.provider_points(s, d)),
         "ring_root_cause": ring_root_cause,
