@@ -153,7 +153,7 @@ def tile_bytes(spark: SparkSession, sf_dir: str, cut_every: int | None = None) -
     layers = features.groupBy("source_idx", "layer_ord", "layer").agg(F.array_sort(F.collect_list(one), lambda a, b: a["feature_index"] - b["feature_index"]).alias("fs"))
     layer = F.struct("layer_ord", F.struct(F.col("layer").alias("name"), F.lit(EXTENT).alias("extent"), F.transform("fs", lambda x: x["f"]).alias("features")).alias("l"))
     grouped = layers.groupBy("source_idx").agg(F.array_sort(F.collect_list(layer), lambda a, b: a["layer_ord"] - b["layer_ord"]).alias("ls"))
-    rows = tile_sources(spark, sf_dir).join(grouped, "source_idx", "left").select("source_idx", "source", mvt.encode(F.transform("ls", lambda x: x["l"])).alias("content"), F.lit(None).cast("string").alias("read_error"))
+    rows = tile_sources(spark, sf_dir).join(grouped, "source_idx", "left").repartition(3 * spark.sparkContext.defaultParallelism, "source_idx").select("source_idx", "source", mvt.encode(F.transform("ls", lambda x: x["l"])).alias("content"), F.lit(None).cast("string").alias("read_error"))
     if cut_every:
         short = F.substring("content", F.lit(1), F.greatest(F.length("content") - 3, F.lit(0)))
         rows = rows.withColumn("content", F.when(F.col("source_idx") % cut_every == 0, short).otherwise(F.col("content")))

@@ -74,7 +74,10 @@ def fields(data: bytes) -> Iterator[tuple[int, int, Any]]:
 def packed(data: bytes) -> list[int]:
     out, at = [], 0
     while at < len(data):
-        value, at = varint(data, at)
+        if (value := data[at]) < 0x80:  # most numbers have one byte
+            at += 1
+        else:
+            value, at = varint(data, at)
         out.append(value)
     return out
 
@@ -213,19 +216,28 @@ def read_tile(data: bytes, light: bool = False, int_zigzag: bool = False) -> dic
             data = gzip.decompress(data)
         out["decoded_bytes"] = len(data)
         out["layers"] = decode_tile(data, light, int_zigzag)
-        pa.array([out], _TILE)  # numbers that no column holds are errors of this tile alone
     except (TileError, OSError, EOFError, zlib.error, RecursionError, pa.ArrowInvalid, OverflowError, struct.error) as error:
         out["layers"], out["error"] = [], f"{type(error).__name__}: {error}"
     return out
 
 
+def as_column(tiles: list[dict]) -> pa.Array:
+    """Tiles as an Arrow column; numbers that no column holds are errors of their tile alone."""
+    try:
+        return pa.array(tiles, _TILE)
+    except (pa.ArrowInvalid, OverflowError) as error:
+        if len(tiles) == 1:
+            return pa.array([tiles[0] | {"layers": [], "error": f"{type(error).__name__}: {error}"}], _TILE)
+        return pa.concat_arrays([as_column([t]) for t in tiles])
+
+
 def decode(content: Column, light: bool = False, int_zigzag: bool = False) -> Column:
     """Struct of layers, sizes and error of a binary column; ``light`` skips features altogether."""
 
     @F.arrow_udf(TILE)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([read_tile(v.as_py() or b"", light, int_zigzag) for v in batch], _TILE)
+            yield as_column([read_tile(v.as_py() or b"", light, int_zigzag) for v in batch])
 
     return run(content)
 

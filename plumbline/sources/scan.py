@@ -129,6 +129,8 @@ def fetch(sources: DataFrame, timeout_ms: int = HTTP_TIMEOUT_MS, headers: dict[s
 def load_tiles(raw: DataFrame, light: bool = False, int_zigzag: bool = False) -> Frames:
     """Frames of ``(source_idx, source, content, read_error)`` rows of tiles. Load failures are data."""
     content = F.when(F.lower(F.trim("source")).endswith(".mbtiles"), F.lit(None)).otherwise(F.col("content"))
+    # Decoding costs far more than moving the bytes: deal the tiles out evenly over all cores.
+    raw = raw.repartition(3 * raw.sparkSession.sparkContext.defaultParallelism, "source_idx")
     tiles = raw.withColumn("tile", mvt.decode(content, light, int_zigzag)).drop("content")
     # Decoded once for all rules: the frames below read the stored columns, not the decoder.
     tiles = tiles.persist()
