@@ -105,15 +105,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Offsets count from the first version line that the block's own pieces follow."""
-        last, at, seq = None, 0, 0
+        """Offsets count from the first version line that the block's own pieces follow.
+
+        A piece keeps its bytes where another record's payload may need them: everywhere but in a
+        file's first block outside all spans that earlier candidates claim.
+        """
+        last, at, seq, claimed = None, 0, 0, 0
         magic = len(MAGIC)
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for value, file, block in zip(*(batch.column(i) for i in range(3)), strict=True):
                 file, block = file.as_py(), block.as_py()
                 if (file, block) != last:
-                    last, at, seq = (file, block), 0, 0
+                    last, at, seq, claimed = (file, block), 0, 0, 0
                 piece = value.as_buffer().to_pybytes()
                 found = parse_head(piece) if not (block == 0 and seq == 0) else None
                 row: list = [file, block, seq, at, len(piece) + magic, None]
@@ -125,17 +129,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         body = piece[head : head + size] if head + size <= len(piece) else None
                         digest = (values[3] or "").removeprefix("sha1:")
                         body_ok = None if body is None else sha1(body).hexdigest() == digest and str(size) == values[4]
-                    row += [values[0], values[1], values[2], (values[3] or "").removeprefix("sha1:"), int(values[4]) if (values[4] or "").isdigit() else None, values[5], body_ok, None if body_ok is not None or values[0] == "revisit" else piece[head:]]
+                    needed = block > 0 or at - magic < claimed or head + size > len(piece)
+                    claimed = max(claimed, at - magic + row[5])
+                    row += [values[0], values[1], values[2], (values[3] or "").removeprefix("sha1:"), int(values[4]) if (values[4] or "").isdigit() else None, values[5], body_ok, head, piece if needed else None]
                 else:
-                    row += [None] * 7 + [piece]
+                    row += [None] * 7 + [0, piece]
                 at += len(piece) + magic
                 seq += 1
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    schema = "file string, block long, seq long, rel long, size long, step long, " + FIELDS + ", rest binary"
+    schema = "file string, block long, seq long, rel long, size long, step long, " + FIELDS + ", head long, rest binary"
     names = [f.split()[0] for f in schema.split(", ")]
     found = write_stage(pieces.mapInArrow(candidates, schema), "warc-candidates")
     order = Window.partitionBy("file").orderBy("block")
@@ -183,12 +189,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     valid = checkpoint(marks.groupBy("file", "block").applyInPandas(follow, "file string, offset long"))
     fields = [f.split()[0] for f in FIELDS.split(", ")]
     records = placed.join(valid, ["file", "offset"])
-    whole = records.where("rest is null").select("file", "offset", *fields)
-    # Payloads that hold the version line lie in several pieces; each piece goes to the last record before it.
-    parts = placed.where("rest is not null").select("file", "offset", "rest", "block").join(valid.withColumn("own", F.col("offset")), ["file", "offset"], "left")
-    cut = records.where("rest is not null").select("file", F.col("offset").alias("own"), "next")
+    is_cut = "body_ok is null and not (record_type <=> 'revisit')"
+    whole = records.where(f"not ({is_cut})").select("file", "offset", *fields)
+    # Payloads that hold the version line lie in several pieces; each piece goes to the record whose span it is in.
+    parts = placed.where("rest is not null").select("file", "offset", "head", "rest")
+    cut = records.where(is_cut).select("file", F.col("offset").alias("own"), "next")
     spans = cut.select("file", "own", "next", F.explode(F.sequence(F.floor(F.col("own") / SPAN), F.floor((F.col("next") - 1) / SPAN))).alias("cell"))
-    pieces_of = parts.withColumn("cell", F.floor(F.col("offset") / SPAN)).drop("own", "block").join(spans, ["file", "cell"]).where("offset >= own and offset < next")
+    pieces_of = parts.withColumn("cell", F.floor(F.col("offset") / SPAN)).join(spans, ["file", "cell"]).where("offset >= own and offset < next")
+    pieces_of = pieces_of.withColumn("rest", F.when(F.col("offset") == F.col("own"), F.expr("substring(rest, cast(head as int) + 1)")).otherwise(F.col("rest")))
     joined = pieces_of.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("offset", "rest"))).alias("p"))
 
     @F.pandas_udf("boolean")
@@ -196,7 +204,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         bodies = (MAGIC.encode().join(bytes(x["rest"]) for x in p)[: int(n) if n == n else 0] for p, n in zip(parts, size, strict=True))
         return pd.Series([sha1(b).hexdigest() == d and len(b) == n for b, d, n in zip(bodies, digest, size, strict=True)])
 
-    cut_records = records.where("rest is not null").drop("body_ok").join(joined.withColumnRenamed("own", "offset"), ["file", "offset"])
+    cut_records = records.where(is_cut).drop("body_ok").join(joined.withColumnRenamed("own", "offset"), ["file", "offset"])
     cut_records = cut_records.withColumn("body_ok", intact("p", "digest", "payload_bytes", F.col("record_type") == "revisit")).select("file", "offset", *fields)
     return whole.unionByName(cut_records)
 
