@@ -8,12 +8,12 @@ A key that a third of the corpus holds costs one entry for each chunk, so no buc
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +25,15 @@ PACKED = "chunk string, data binary"
 
 
 def pack(docs: DataFrame, columns: list[str], text_col: str, label: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Written table ``(chunk, data)`` of the named columns and the text; see :func:`unpack`."""
+    """Written table ``(chunk, data)`` of the named columns and the text; see :func:`unpack`.
+
+    Chunks are named by partition and place, so a task that runs again gives the same names.
+    """
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = number = 0
+        task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
@@ -36,7 +41,7 @@ def pack(docs: DataFrame, columns: list[str], text_col: str, label: str, chunk_b
                 for part in held:
                     out.write_batch(part)
             data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([data], pa.binary())], ["chunk", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{task:08d}-{number:06d}"]), pa.array([data], pa.binary())], ["chunk", "data"])
 
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
@@ -47,7 +52,7 @@ def pack(docs: DataFrame, columns: list[str], text_col: str, label: str, chunk_b
                     if i > at:
                         held.append(_copied(batch.slice(at, i - at)))
                     yield flush()
-                    held, size, at = [], 0, i
+                    held, size, at, number = [], 0, i, number + 1
                 size += n
             if at < batch.num_rows:
                 held.append(_copied(batch.slice(at)))
