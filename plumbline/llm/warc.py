@@ -25,6 +25,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT = 1000
+#: Groups of equal payloads that may be broadcast (28 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_GROUPS = 500_000
 #: Width in bytes of the cells in which cut payloads meet their pieces.
 SPAN = 1 << 16
 
@@ -37,8 +39,11 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """
     full = pages.withColumn("payload", F.coalesce(F.col(payload_col), F.lit("")))
     full = full.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    last = full.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max(id_col).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    full = full.join(last, "digest", "left")
+    last = full.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max(id_col).alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
+    last = write_stage(last.select(F.unhex("digest").alias("_key"), "last"), "warc-groups")
+    if last.count() <= MAX_BROADCAST_GROUPS:  # payloads stay where they are
+        last = F.broadcast(last)
+    full = full.join(last, F.unhex("digest") == F.col("_key"), "left").drop("_key")
     return full.withColumn("refers_to", F.when((F.col("n_bytes") >= least) & ~F.col(id_col).eqNullSafe(F.col("last")), F.col("last"))).drop("last")
 
 
