@@ -24,23 +24,28 @@ CHUNK_BYTES = 4 << 20
 PACKED = "chunk string, data binary"
 
 
-def pack(docs: DataFrame, columns: list[str], text_col: str, label: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, columns: list[str], text_col: str, label: str, encode: Callable[[pa.Table], bytes] | None = None) -> DataFrame:
     """Written table ``(chunk, data)`` of the named columns and the text; see :func:`unpack`.
 
+    ``encode`` turns the rows of a chunk into the bytes to store, where not the rows themselves.
     Chunks are named by partition and place, so a task that runs again gives the same names.
     """
 
+    chunk_bytes = CHUNK_BYTES
+
+    def plain(table: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return sink.getvalue()
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = number = 0
         task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
-                for part in held:
-                    out.write_batch(part)
-            data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            data = zstandard.ZstdCompressor(level=3).compress((encode or plain)(pa.Table.from_batches(held)))
             return pa.RecordBatch.from_arrays([pa.array([f"{task:08d}-{number:06d}"]), pa.array([data], pa.binary())], ["chunk", "data"])
 
         for batch in batches:
@@ -67,10 +72,14 @@ def _copied(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.arange(batch.num_rows)))
 
 
+def stored(data: bytes) -> bytes:
+    """What was stored for a chunk."""
+    return zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31)
+
+
 def unpack(data: bytes) -> pa.Table:
     """The rows of a chunk, in their order; the last column is the text."""
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31)).read_all()
-    return table.combine_chunks()
+    return pa.ipc.open_stream(stored(data)).read_all().combine_chunks()
 
 
 def text_bytes(column: pa.ChunkedArray) -> list[bytes]:

@@ -9,6 +9,7 @@ trained by gradient steps inside tasks and averaged over all tasks, twice.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ END_CLASS, UNSEEN_CLASS = 0, 1
 FEATURES, ROWS = 4, 4096
 #: Tokens of one gradient step; steps of the two rounds of training and their size.
 BATCH, ROUNDS, RATE = 8192, 2, 0.35
+#: Bound on each weight: the logits of a token then stay where exp() neither overflows nor vanishes.
+MAX_WEIGHT = 8.0
 END = xxhash.xxh64_intdigest(b"\n")
 _START = 0x9E3779B97F4A7C15
 
@@ -39,7 +42,13 @@ def word_class(word: bytes) -> int:
 class Tokens:
     """Tokens of a chunk: for each its place among the chunk's distinct keys, text by text."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, keys: np.ndarray, classes: np.ndarray, starts: np.ndarray, token: np.ndarray) -> None:
+        self.keys, self.classes, self.starts, self.token = keys, classes, starts, token
+        self.text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Tokens:
+        """Tokens of the column ``text``."""
         text = pc.ascii_lower(pc.fill_null(table.column("text").combine_chunks(), ""))
         split = pc.ascii_split_whitespace(text)
         words, of = pc.list_flatten(split), pc.list_parent_indices(split)
@@ -50,18 +59,25 @@ class Tokens:
         keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))
         classes = np.fromiter((word_class(w) for w in distinct), np.uint8, len(distinct))
         keys, classes = np.r_[keys, np.uint64(END)], np.r_[classes, np.uint8(END_CLASS)]
-        self.keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        self.classes = classes[first]
-        n = len(table)
-        sizes = np.bincount(of, minlength=n) + 1
-        self.starts = np.r_[0, np.cumsum(sizes)]
-        ends = self.starts[1:] - 1
-        self.token = np.empty(self.starts[-1], np.int32)
-        inner = np.ones(len(self.token), bool)
-        inner[ends] = False
-        self.token[inner] = place[coded.indices.to_numpy()]
-        self.token[ends] = place[-1]
-        self.text_of = np.repeat(np.arange(n), sizes)
+        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        starts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(table)) + 1)]
+        token = np.empty(starts[-1], np.int32)
+        inner = np.ones(len(token), bool)
+        inner[starts[1:] - 1] = False
+        token[inner] = place[coded.indices.to_numpy()]
+        token[~inner] = place[-1]
+        return cls(keys, classes[first], starts, token)
+
+    @staticmethod
+    def store(table: pa.Table) -> bytes:
+        """Tokens and the other columns of a chunk; texts are split only once."""
+        own = Tokens.of(table)
+        return pickle.dumps((table.drop_columns(["text"]), own.keys, own.classes, own.starts, own.token), 5)
+
+    @staticmethod
+    def load(data: bytes) -> tuple[pa.Table, Tokens]:
+        table, *arrays = pickle.loads(chunks.stored(data))  # noqa: S301 - written by store in this run
+        return table.combine_chunks(), Tokens(*arrays)
 
     def features(self, begin: int, stop: int) -> np.ndarray:
         """Rows of the weights for the tokens from begin to stop: (FEATURES, n)."""
@@ -87,10 +103,28 @@ def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarra
     return out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities of the classes, in place; returns the sums by which they were divided."""
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    x /= sums[:, None]
+    return sums
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sum of the values of each; every round adds up pairs of neighbours."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    rows, values = rows[order], values[order]
+    while True:
+        at = np.arange(len(rows))
+        first = np.r_[True, rows[1:] != rows[:-1]]
+        odd = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) & 1)
+        if not len(odd):
+            return rows, values
+        values[odd - 1] += values[odd]
+        keep = np.ones(len(rows), bool)
+        keep[odd] = False
+        rows, values = rows[keep], values[keep]
 
 
 def gradient_steps(weights: np.ndarray, power: np.ndarray, bias: np.ndarray, tokens: Tokens, used: np.ndarray) -> int:
@@ -103,16 +137,16 @@ def gradient_steps(weights: np.ndarray, power: np.ndarray, bias: np.ndarray, tok
             continue
         rows = tokens.features(begin, stop)[:, mine]
         target = tokens.classes[tokens.token[begin:stop][mine]]
-        step = -np.exp(log_softmax(logits(weights, bias, rows)))
-        step[np.arange(len(target)), target] += 1
+        step = logits(weights, bias, rows)
+        softmax(step)
+        step[np.arange(len(target)), target] -= 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            sorted_rows = r[order]
-            edges = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-            total = np.add.reduceat(step[order], edges, axis=0)
-            touched = sorted_rows[edges]
-            power[touched] += total * total
-            weights[touched] += RATE * total / np.sqrt(power[touched] + 1e-6)
+            touched, total = summed(r, step)
+            size = power[touched] + total * total
+            power[touched] = size
+            total *= np.float32(RATE)
+            total /= np.sqrt(size + np.float32(1e-6))
+            weights[touched] = np.clip(weights[touched] - total, -MAX_WEIGHT, MAX_WEIGHT)
         done += len(target)
     return done
 
@@ -134,10 +168,10 @@ def train_round(packed: DataFrame, used_col: str, weights: np.ndarray, bias: np.
         for batch in batches:
             for row in batch.to_pylist():
                 if xxhash.xxh32_intdigest(row["chunk"]) % ROUNDS == part:
-                    table = chunks.unpack(row["data"])
+                    table, tokens = Tokens.load(row["data"])
                     used = table.column(used_col).to_numpy(zero_copy_only=False).astype(bool)
                     if used.any():
-                        seen += gradient_steps(own, power, base, Tokens(table), used)
+                        seen += gradient_steps(own, power, base, tokens, used)
                         salt = xxhash.xxh32_intdigest(row["chunk"]) % 64
         if seen:
             blocks = range(0, len(own), cut)
@@ -176,11 +210,10 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     carried, so names cannot clash.
     """
     rows = docs.select(F.col(id_col), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    packed = chunks.pack(rows.withColumn("used", ~F.col("held_out")), [id_col, "held_out", "used"], "text", "lm")
+    packed = chunks.pack(rows.withColumn("used", ~F.col("held_out")), [id_col, "held_out", "used"], "text", "lm", Tokens.store)
 
     def keys_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        table = chunks.unpack(row["data"])
-        tokens = Tokens(table)
+        table, tokens = Tokens.load(row["data"])
         used = table.column("used").to_numpy(zero_copy_only=False).astype(bool)
         count = np.bincount(tokens.token[used[tokens.text_of]], minlength=len(tokens.keys)).astype(np.uint64)
         return tokens.keys, count << np.uint64(8) | tokens.classes
@@ -211,8 +244,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         w, b = model.value
         for batch in batches:
             for row in batch.to_pylist():
-                table = chunks.unpack(row["data"])
-                tokens = Tokens(table)
+                table, tokens = Tokens.load(row["data"])
                 count = chunks.in_order(row["counts"], np.uint64).astype(np.float64)
                 base_of = np.log10((count + 1) / (n_train + types + 1))
                 kinds = np.where(count > 0, tokens.classes, UNSEEN_CLASS)
@@ -221,7 +253,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 for begin in range(0, len(tokens.token), BATCH):
                     stop = min(begin + BATCH, len(tokens.token))
                     kind = kinds[tokens.token[begin:stop]]
-                    x = log_softmax(logits(w, b, tokens.features(begin, stop)))[np.arange(stop - begin), kind] - b[kind]
+                    x = logits(w, b, tokens.features(begin, stop))
+                    own = x[np.arange(stop - begin), kind] - b[kind]
+                    x = own - np.log(softmax(x))
                     gain += np.bincount(tokens.text_of[begin:stop], weights=x, minlength=n)
                 base = np.bincount(tokens.text_of, weights=base_of[tokens.token], minlength=n)
                 known = np.bincount(tokens.text_of, weights=count[tokens.token] > 0, minlength=n)
