@@ -47,13 +47,24 @@ def test_query_equals_the_definition_and_beats_the_base(spark, duck, rows):
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     weights = rng.standard_normal((lm.FEATURES * lm.ROWS, lm.CLASSES)).astype(np.float32)
-    tokens = lm.Tokens(pa.table({"text": ["one two three two", None, "", "x " * 50]}))
-    p = np.exp(lm.log_softmax(lm.logits(weights, np.zeros(lm.CLASSES, np.float32), tokens.features(0, len(tokens.token)))))
+    tokens = lm.Tokens.of(pa.table({"text": ["one two three two", None, "", "x " * 50]}))
+    p = lm.logits(weights, np.zeros(lm.CLASSES, np.float32), tokens.features(0, len(tokens.token)))
+    plain = np.exp(p.astype(float))
+    assert np.allclose(lm.softmax(p), plain.sum(axis=1), rtol=1e-5)
+    assert np.allclose(p, plain / plain.sum(axis=1, keepdims=True), atol=1e-6)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_summed_equals_plain_sums():
+    rng = np.random.default_rng(1)
+    rows, values = rng.integers(0, 40, 3000) ** 2, rng.standard_normal((3000, 5)).astype(np.float32)
+    keys, sums = lm.summed(rows, values)
+    assert (keys == np.unique(rows)).all()
+    assert np.allclose(sums, [values[rows == k].sum(axis=0) for k in keys], atol=1e-4)
+
+
 def test_features_stay_inside_a_text():
-    tokens = lm.Tokens(pa.table({"text": ["a b c d", "a b c d"]}))
+    tokens = lm.Tokens.of(pa.table({"text": ["a b c d", "a b c d"]}))
     rows = tokens.features(0, 10)
     assert (rows[:, :5] == rows[:, 5:]).all()
 
