@@ -232,8 +232,8 @@ def _first_hit(x: np.ndarray, y: np.ndarray, kind: int, guards: bool) -> tuple[i
     closed = kind == 3 or (guards and kind == 2 and same_ends)
     marked = np.zeros(n, bool)
     if guards:
-        _, place, count = np.unique(np.stack([x, y]), axis=1, return_inverse=True, return_counts=True)
-        place = place.ravel()
+        number = np.unique(x, return_inverse=True)[1] * n + np.unique(y, return_inverse=True)[1]
+        _, place, count = np.unique(number, return_inverse=True, return_counts=True)
         count = count - (np.arange(len(count)) == place[0]) * (closed and same_ends)
         marked = (count > 1)[place]
     ax, ay, bx, by = x[:-1], y[:-1], x[1:], y[1:]

@@ -43,7 +43,7 @@ SEVERITIES = ("error", "warning", "info")
 
 @dataclass(frozen=True)
 class Frames:
-    """The tables that rules read. Frames a run does not need may be None."""
+    """The tables that rules read. Tables without a row may be None."""
 
     artifacts: DataFrame
     layers: DataFrame | None = None
@@ -52,6 +52,12 @@ class Frames:
     style_layers: DataFrame | None = None
     texts: DataFrame | None = None
 
+    def complete(self) -> Frames:
+        """The same with empty tables for those that are None (texts aside)."""
+        spark = self.artifacts.sparkSession
+        filled = lambda df, schema: spark.createDataFrame([], schema) if df is None else df
+        return Frames(self.artifacts, filled(self.layers, LAYERS), filled(self.features, FEATURES), filled(self.styles, STYLES), filled(self.style_layers, STYLE_LAYERS), self.texts)
+
     def only(self, condition: Column) -> Frames:
         """Frames of the artifacts that fulfil a condition on ``artifacts``."""
         kept = self.artifacts.where(condition)

@@ -112,6 +112,7 @@ def loaded(artifacts: DataFrame) -> DataFrame:
 def rule_diagnostics(frames: Frames, resolved: Resolved) -> list[DataFrame]:
     """One plan for each rule and distinct setting that can hold; disabled branches are not built."""
     out = []
+    frames = frames.complete()
     for number, rule in enumerate(resolved.rules):
         chosen, settings = setting_of(resolved, rule.id, F.col("source"))
         for k, setting in enumerate(settings):

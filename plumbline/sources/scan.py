@@ -88,7 +88,7 @@ def read_files(spark: SparkSession, sources: DataFrame) -> DataFrame:
     Paths are opened inside tasks by Spark's own file reader, one scan for all of them.
     """
     paths = [r["source"] for r in sources.select("source").distinct().toLocalIterator()]
-    have = [p for p in paths if os.path.isfile(p)]
+    have = [os.path.abspath(p) for p in paths if os.path.isfile(p)]
     files = spark.read.format("binaryFile").load(have).select("path", "content") if have else spark.createDataFrame([], "path string, content binary")
     files = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("_path"), "content")
     keyed = sources.withColumn("_path", full_path(F.col("source")))
