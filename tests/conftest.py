@@ -21,7 +21,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     conf = {
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g", "spark.sql.codegen.wholeStage": "false", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "2", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g", "spark.sql.codegen.wholeStage": "false", "spark.sql.session.timeZone": "UTC",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     }
     session = SparkSession.builder.master("local[8]").appName("tests").config(map=conf).getOrCreate()

@@ -30,8 +30,9 @@ def style_frames(spark, *texts: str) -> Frames:
     return scan.load_styles(spark.createDataFrame(rows, "source_idx long, source string, text string, read_error string"))
 
 
-def run(frames: Frames, config: dict | None = None, rules=(*tile_rules.RULES, *style_rules.RULES)) -> tuple[list[dict], dict]:
-    """Diagnostics in report order and the summary of a run."""
+def run(frames: Frames, config: dict | None = None, rules=None) -> tuple[list[dict], dict]:
+    """Diagnostics in report order and the summary of a run; by default of the rules for what the frames hold."""
+    rules = rules or (style_rules.RULES if frames.features is None else tile_rules.RULES)
     result = Engine([Plugin("test", rules=tuple(rules))], config).run(frames)
     found = [r.asDict(recursive=True) for r in result.diagnostics.collect()]
     return found, result.summary.first().asDict()
