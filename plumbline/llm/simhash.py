@@ -165,6 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(fingerprint_classes(marked, id_col, k), "fp").select(id_col, "fp", "component_id")
 
 
+def first_of_each(marked: DataFrame, classes: DataFrame, key: str, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The row with the smallest id of each component; ``classes`` has ``(key, _root, _least)``, ``columns`` are those to return."""
+    kept = marked.join(classes, key).where(F.col(id_col).eqNullSafe(F.col("_least")))
+    if marked.groupBy(id_col).count().where("count > 1").limit(1).count():
+        order = F.struct(F.xxhash64(text_col).alias("h"), F.struct(*columns).alias("row"))
+        kept = kept.groupBy("_root").agg(F.min(order).alias("best")).select("best.row.*")
+    return kept.select(*columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 3) -> DataFrame:
     """The rows of ``docs`` left when one of each near-duplicate component stays: that with the smallest id.
 
@@ -174,8 +183,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     marked = write_stage(with_fingerprint(docs, text_col, "_fp", shingle), "simhash-docs")
     slim = marked.select(F.col(id_col), F.col("_fp").alias("fp"))
     classes = fingerprint_classes(slim, id_col, k).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_least"))
-    kept = marked.join(classes, "_fp").where(F.col(id_col).eqNullSafe(F.col("_least")))
-    if slim.groupBy(id_col).count().where("count > 1").limit(1).count():
-        order = F.struct(F.xxhash64(text_col).alias("h"), F.struct(*docs.columns).alias("row"))
-        kept = kept.groupBy("_root").agg(F.min(order).alias("best")).select("best.row.*")
-    return kept.select(*docs.columns)
+    return first_of_each(marked, classes, "_fp", docs.columns, id_col, text_col)
