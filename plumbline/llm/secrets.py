@@ -12,7 +12,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +27,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: Line ends and slashes may be escaped, as in strings of JSON or .env files; headers may come before the body.
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----"
+    r"((?:(?:\s|\\++[nrt])*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?=[\r\n\\]))*)"
+    r"((?:[A-Za-z0-9+/=\s]|\\++[nrt/])+?)-----END \1-----"
+)
+ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
+#: Header of a body that is encrypted, so that its bytes have no form of their own but whole cipher blocks.
+ENCRYPTED = re.compile(r"Proc-Type:\x20?4,ENCRYPTED(?:\s|\\)(?s:.*)DEK-Info:\x20?[A-Z0-9-]+,(?:[0-9A-Fa-f]{16}){1,2}(?![0-9A-Fa-f])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+#: Where a run of letters begins; the letter of an escaped line end before it is not a part of it.
+BEGIN = r"(?:(?<=\\[nrt])|(?<=\\)(?![nrt])|(?<![\\{a}]))"
+BASE64, URL64 = (re.compile(BEGIN.replace("{a}", a) + f"[{a}]{{40,}}={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
+LINE_END = r"(?:\r?\n|\\+r\\+n|\\+n)[ \t]*"
+#: Lines of base64, the first of 16 characters or more, with real or escaped line ends.
+WRAPPED = [re.compile(BEGIN.replace("{a}", a) + rf"[{a}]{{16,}}+(?:{LINE_END}[{a}]++)++={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
+SSH_HEAD = re.compile(rb"openssh-key-|\0\0\0.(?:ssh-|ecdsa-)", re.S)
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+_STANDARD = str.maketrans("-_", "+/")
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 
@@ -94,7 +111,7 @@ def key_ssh(data: bytes) -> bool:
 
 
 def decoded64(text: str) -> bytes | None:
-    text = text.rstrip("=")
+    text = text.rstrip("=").translate(_STANDARD)
     if len(text) % 4 == 1:
         return None
     try:
@@ -103,6 +120,56 @@ def decoded64(text: str) -> bytes | None:
         return None
 
 
+def der_chars(start: str) -> int | None:
+    """Base64 characters, without padding, of the DER SEQUENCE that begins with ``start``."""
+    head = decoded64(start)
+    if head is None or len(head) < 6 or head[0] != 0x30:
+        return None
+    more = head[1] & 0x7F if head[1] & 0x80 else 0
+    if more > 4:
+        return None
+    size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+    return -(-size * 4 // 3)
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[int, int, int]]:
+    """Spans of keys whose base64 goes over several lines.
+
+    A DER key ends with the line at which its own length is reached. SSH data ends with the first line
+    that is not as long as those before it, or before a shorter line that does not belong to it.
+    """
+    for pattern in WRAPPED:
+        for block in pattern.finditer(text):
+            if not re.search(r"(?:^|\n|\\n)[ \t]*[MAb]", block[0]):
+                continue
+            ends = list(re.finditer(LINE_END, block[0]))
+            starts = [block.start(), *[block.start() + m.end() for m in ends]]
+            stops = [*[block.start() + m.start() for m in ends], block.start() + len(block[0].rstrip("="))]
+            widths = [b - a for a, b in zip(starts, stops, strict=True)]
+            sums = [0, *accumulate(widths)]
+            other = [len(starts)] * len(starts)  # the next line of another width
+            for i in range(len(starts) - 2, -1, -1):
+                other[i] = other[i + 1] if widths[i] == widths[i + 1] else i + 1
+            done = 0
+            for i, a in enumerate(starts):
+                if i < done or text[a] not in "MAb" or widths[i] < 16:
+                    continue
+                tries = []
+                if text[a] == "M":
+                    chars = der_chars(text[a : a + 8])
+                    j = bisect_left(sums, sums[i] + chars) if chars else 0
+                    tries = [j] if i + 1 < j < len(sums) and sums[j] == sums[i] + chars else []
+                elif SSH_HEAD.match(decoded64(text[a : a + 16]) or b""):
+                    tries = [x for x in (other[i] + 1, other[i]) if i + 1 < x <= len(starts)]
+                for j in tries:
+                    data = decoded64("".join(text[starts[x] : stops[x]] for x in range(i, j)))
+                    kind = 0 if data is None else 4 if text[a] == "M" and key_der(data) else 5 if text[a] != "M" and key_ssh(data) else 0
+                    if kind:
+                        yield a, kind, block.end() if j == len(starts) else stops[j - 1]
+                        done = j
+                        break
+
+
 def jwt_ok(text: str) -> bool:
     """Whether the first two dot-separated parts decode to JSON objects and the header names an algorithm."""
     try:
@@ -123,13 +190,15 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = decoded64(re.sub(r"\s+", "", m[2]))
-            if data is not None and (key_der(data) or key_ssh(data)):
+            data = decoded64(ESCAPED.sub("", m[3]))
+            if data is not None and (key_der(data) or key_ssh(data) or (ENCRYPTED.search(m[2]) and len(data) >= 32 and len(data) % 8 == 0)):
                 spans.append((m.start(), 3, m.end()))
     if "eyJ" in text:
         spans += [(m.start(), 6, m.end()) for m in JWT.finditer(text) if jwt_ok(m[0])]
     # DER starts with byte 30 and SSH data with 00 00 00 or "openssh", which fixes the first base64 letter.
-    for m in BASE64.finditer(text):
+    armour = [(a, b) for a, k, b in spans if k == 3]
+    spans += [s for s in wrapped_keys(text) if not any(a <= s[0] and s[2] <= b for a, b in armour)]
+    for m in (m for pattern in (BASE64, URL64) for m in pattern.finditer(text)):
         if m[0][0] in "MAb" and (data := decoded64(m[0])) is not None:
             if key_der(data):
                 spans.append((m.start(), 4, m.end()))

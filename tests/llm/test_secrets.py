@@ -71,6 +71,59 @@ def test_pem_needs_a_key_inside():
     assert "pem" not in kinds(armour.format(b64(b"nothing of the kind" * 4)))
 
 
+BIG = tlv(0x30, tlv(0x02, b"\0") + tlv(0x02, bytes(range(251, 256)) * 60))
+
+
+def lines(data: bytes, width: int, end: str = "\n") -> str:
+    return end.join(re.findall(f".{{1,{width}}}", b64(data)))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", r"\n", r"\r\n", r"\\n"])
+def test_pem_with_escaped_line_ends(end):
+    key = f"-----BEGIN PRIVATE KEY-----{end}{lines(BIG, 64, end)}{end}-----END PRIVATE KEY-----"
+    assert secrets.find_spans(f"key: '{key}'") == [(6, 3, 6 + len(key))]
+    slashes = key.replace("/", r"\/")
+    assert slashes != key and kinds(slashes) == ["pem"]
+
+
+@pytest.mark.parametrize("end", ["\n", r"\n"])
+def test_pem_with_headers(end):
+    head = f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,{'0A' * 16}{end}{end}"
+    armour = f"-----BEGIN RSA PRIVATE KEY-----{end}{{}}{{}}{end}-----END RSA PRIVATE KEY-----"
+    body = lines(bytes(range(160)), 64, end)
+    assert kinds(armour.format(head, body)) == ["pem"]
+    assert kinds(armour.format("", body)) == [] and kinds(armour.format(head, lines(bytes(range(161)), 64, end))) == []
+    assert kinds(armour.format(f"Comment: mine{end}", lines(KEY, 64, end))) == ["pem"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", r"\n", r"\r\n", "\n  "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_keys_without_armour(width, end):
+    openssh = b"openssh-key-v1\0" + bytes(range(200))
+    for data, kind in ((BIG, 4), (KEY, 4), (openssh, 5), (SSH + b"\0\0\0\x40" + b"q" * 64, 5)):
+        text = lines(data, width, end)
+        for before, after in (("see ", " end"), ("prose of the document" + end, end + "more"), ("", "")):
+            assert (len(before), kind, len(before) + len(text)) in secrets.find_spans(before + text + after)
+    broken = bytearray(BIG)
+    broken[3] ^= 0x41
+    assert kinds(lines(bytes(broken), width, end)) == []
+
+
+def test_url_safe_keys():
+    text = base64.urlsafe_b64encode(BIG).decode()
+    assert "_" in text and "-" in text
+    for own in (text, text.rstrip("=")):
+        assert (4, 4, 4 + len(own)) in secrets.find_spans(f"see {own} end")
+        assert secrets.masked(f"see {own} end", secrets.find_spans(f"see {own} end"), "#") == "see # end"
+    wrapped = "\n".join(re.findall(".{1,76}", text))
+    assert secrets.find_spans(wrapped) == [(0, 4, len(wrapped))]
+
+
+def test_long_texts_without_keys_end_soon():
+    for text in ("M" * 300_000, "MIIB\n" * 60_000, "-----BEGIN KEY-----" + " " * 200_000, "-----BEGIN KEY-----" + "a: b\n" * 50_000, ("A" * 16 + "\n") * 20_000):
+        assert kinds(text) == []
+
+
 def test_signed_token_needs_a_header():
     assert kinds(f"{url64({'alg': 'HS256'})}.{url64({'sub': 1})}.abc") == ["jwt"]
     assert kinds(f"{url64({'typ': 'JWT'})}.{url64({'sub': 1})}.abc") == []
