@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,6 +31,16 @@ def test_myers_equals_dynamic_programming(pattern, text):
     assert decontaminate.myers(pattern, text)[0] == distance(pattern, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=64), st.text("abcd", min_size=1, max_size=70), st.integers(0, 20)), min_size=1, max_size=8))
+def test_word_parallel_distance_equals_the_plain_one(cases):
+    codes = lambda text, width, fill: [ord(c) for c in text] + [fill] * (width - len(text))
+    m, n = max(len(p) for p, _, _ in cases), max(len(w) for _, w, _ in cases)
+    patterns, windows = np.array([codes(p, m, ord(p[0])) for p, _, _ in cases]), np.array([codes(w, n, -1) for _, w, _ in cases])
+    got = decontaminate.fits(patterns, np.array([len(p) for p, _, _ in cases]), np.array([k for _, _, k in cases]), windows)
+    assert got.tolist() == [decontaminate.myers(p, w)[0] <= k for p, w, k in cases]
+
+
 def test_pieces_are_one_more_than_the_budget():
     item = "x" * 95
     found = decontaminate.pieces(item)
@@ -60,7 +71,7 @@ def test_search_equals_brute_force(spark, rows):
             if n <= int(0.1 * len(item)):
                 want[d, i] = n
     assert got.keys() == want.keys() and len(want) > 30
-    assert all(want[k] <= n <= int(0.1 * len(items[k[1]])) for k, n in got.items())
+    assert got == want
 
 
 @pytest.mark.parametrize("chars", [8_000_000, 300])
@@ -72,6 +83,39 @@ def test_whole_items_are_found_in_any_number_of_blocks(spark, rows, monkeypatch,
     assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got if r["distance"] == 0) == [(i, i, 0) for i in range(10)]
 
 
+def test_edited_passages_of_the_tables_are_found_as_by_brute_force(spark, small, duck, rows):
+    """Every tenth document of the table gets a passage with up to its budget of edits, or a few more."""
+    rng = random.Random(9)
+    items = duck(small).execute("SELECT item_id, text FROM benchmark ORDER BY 1").fetchall()
+    docs = [(d, t or "") for d, t in duck(small).execute("SELECT doc_id, text FROM documents ORDER BY 1").fetchall() if d % 10 == 0]
+    planted = []
+    for n, (d, text) in enumerate(docs):
+        item = items[n % len(items)][1]
+        cut = rng.randrange(len(text) + 1)
+        planted.append((d, f"{text[:cut]} {edited(rng, item, rng.choice([1, len(item) // 20, len(item) // 10, len(item) // 10 + 6]))} {text[cut:]}"))
+    frames = spark.createDataFrame(planted, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["match_end"]) for r in rows(decontaminate.contaminated(*frames))}
+    want = {}
+    for d, raw in planted:
+        text = decontaminate.normal(raw)
+        for i, item in items:
+            best, end = decontaminate.myers(decontaminate.normal(item), text)
+            if best <= len(decontaminate.normal(item)) // 10:
+                want[d, i] = best, end
+    assert got == want and len(want) > len(docs) // 2
+
+
+def test_hits_in_any_groups_and_lanes(spark, rows, monkeypatch):
+    """Groups of texts, hits and lanes are cut for memory alone; ids may be text, and columns share a name."""
+    items = [(f"i{i}", " ".join(f"{w}{i}" for w in WORDS)) for i in range(4)]
+    docs = [(f"d{i}", f"Start {t[:40]}x{t[41:]} end", 0) for i, (_, t) in enumerate(items * 3)]
+    for name, size in (("GROUP_CHARS", 100), ("GROUP_HITS", 3), ("LANES", 2)):
+        monkeypatch.setattr(decontaminate, name, size)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "id string, text string, distance int"), spark.createDataFrame(items, "id string, text string"), "id", "text", "id")
+    assert got.columns == ["id", "item_id", "distance", "item_chars", "match_end"]
+    assert sorted((r["id"], r["item_id"], r["distance"]) for r in rows(got)) == sorted((f"d{i}", f"i{i % 4}", 1) for i in range(12))
+
+
 def test_odd_rows(spark, rows):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "a passage of some length here"), (3, "a passage of some length here"), (4, "tiny")], "item_id long, text string")
     long_text = "filler words " * 100_000 + "a passage of some length here"
