@@ -55,9 +55,9 @@ def _bisect(shares: DataFrame, floor_entropy: float, factor: float, limit: float
     return max(most[0], least[1])
 
 
-def _permuted(seed: int, id_col: str) -> Column:
+def _permuted(seed: int) -> Column:
     """60 pseudo-random bits of (seed, epoch, id); a null id counts as an empty text."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -76,13 +76,17 @@ def mix_sources(
     A null source is a source of its own. Null and wordless texts have no tokens: they are taken if
     their place is within the quota, and a source of nothing but such texts gives nothing. Repeated
     rows are separate documents. An empty table gives an empty result. Input columns named like the
-    appended ones are replaced.
+    appended ones are replaced (but for the id, text and source themselves, which stay in place of
+    the appended one); all others are kept whatever their names.
     """
     added = ["n_tokens", "epoch", "block", "slot"]
-    docs = docs.drop(*[c for c in added if c not in (id_col, text_col, source_col)])
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    tokens = docs.withColumn("n_tokens", n_words(F.col(text_col))).withColumn("_s", key)
-    totals = write_stage(tokens.groupBy("_s").agg(F.sum("n_tokens").alias("t")).where("t > 0"), "mix-sources")
+    named = (id_col, text_col, source_col)
+    kept = [c for c in docs.columns if c not in added or c in named]
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
+    counts = [F.col(f"`{id_col}`").alias("id"), key.alias("s"), n_words(F.col(f"`{text_col}`")).alias("n_tokens")]
+    # Words are counted once for the sums, from narrow rows, and once more where whole rows are dealt out.
+    narrow = write_stage(docs.select(*counts), "mix-counts")
+    totals = write_stage(narrow.groupBy("s").agg(F.sum("n_tokens").alias("t")).where("t > 0"), "mix-sources")
     total, n = totals.agg(F.sum("t"), F.count(F.lit(1))).first()
     total = total or 0
     factor = min(budget_share, max_repeats)
@@ -91,23 +95,28 @@ def mix_sources(
     power = F.pow("p", F.lit(grid / (1 << GRID_BITS)))
     z = shares.agg(F.sum(power)).first()[0] or 1.0
     budget = factor * total
-    plan = shares.select("_s", "t", F.round(power / F.lit(z) * F.lit(budget)).cast("long").alias("quota"))
+    plan = shares.select("s", "t", F.round(power / F.lit(z) * F.lit(budget)).cast("long").alias("quota"))
     plan = plan.withColumn("full", F.floor(F.col("quota") / F.col("t"))).withColumn("rest", F.col("quota") - F.col("full") * F.col("t"))
     blocks = max(1, -(-int(budget) // block_tokens))
 
     # The slots' top bits cut each source into even cells, so that prefix sums need no whole source in a task.
-    taken = tokens.join(plan, "_s").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
-    taken = taken.withColumn("slot", _permuted(seed, id_col))
-    taken = taken.withColumn("_d1", F.shiftright("slot", 52)).withColumn("_d2", F.shiftright("slot", 44).bitwiseAND(F.lit(255)))
-    cell = ["_s", "epoch", "_d1", "_d2"]
+    def dealt(rows: DataFrame) -> DataFrame:
+        taken = rows.join(plan, "s").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
+        taken = taken.withColumn("slot", _permuted(seed))
+        return taken.withColumn("d1", F.shiftright("slot", 52)).withColumn("d2", F.shiftright("slot", 44).bitwiseAND(F.lit(255)))
+
+    cell = ["s", "epoch", "d1", "d2"]
     before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    leaves = taken.groupBy(*cell).agg(F.sum("n_tokens").alias("n"))
+    leaves = dealt(narrow).groupBy(*cell).agg(F.sum("n_tokens").alias("n"))
     tops = leaves.groupBy(*cell[:3]).agg(F.sum("n").alias("n"))
-    tops = tops.select(*cell[:3], F.coalesce(F.sum("n").over(before(cell[:2], ["_d1"])), F.lit(0)).alias("_b1"))
-    starts = leaves.select(*cell, F.coalesce(F.sum("n").over(before(cell[:3], ["_d2"])), F.lit(0)).alias("_b2"))
-    starts = starts.join(tops, cell[:3]).select(*cell, (F.col("_b1") + F.col("_b2")).alias("_begin"))
-    local = F.coalesce(F.sum("n_tokens").over(before(cell, ["slot", id_col, "n_tokens"])), F.lit(0))
-    placed = taken.join(starts, cell).withColumn("_start", F.col("_begin") + local)
-    placed = placed.where((F.col("epoch") < F.col("full")) | (F.col("_start") < F.col("rest")))
-    at = F.floor((F.col("epoch") * F.col("t") + F.col("_start")) * F.lit(blocks) / F.col("quota")).cast("long")
-    return placed.withColumn("block", F.least(at, F.lit(blocks - 1).cast("long"))).select(*docs.columns, *[c for c in added])
+    tops = tops.select(*cell[:3], F.coalesce(F.sum("n").over(before(cell[:2], ["d1"])), F.lit(0)).alias("b1"))
+    starts = leaves.select(*cell, F.coalesce(F.sum("n").over(before(cell[:3], ["d2"])), F.lit(0)).alias("b2"))
+    starts = starts.join(tops, cell[:3]).select(*cell, (F.col("b1") + F.col("b2")).alias("begin"))
+    local = F.coalesce(F.sum("n_tokens").over(before(cell, ["slot", "id", "n_tokens"])), F.lit(0))
+    # Columns of the input go by their number, so no name of theirs can meet one of the plan's.
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(kept)], *counts)
+    placed = dealt(whole).join(starts, cell).withColumn("start", F.col("begin") + local)
+    placed = placed.where((F.col("epoch") < F.col("full")) | (F.col("start") < F.col("rest")))
+    at = F.floor((F.col("epoch") * F.col("t") + F.col("start")) * F.lit(blocks) / F.col("quota")).cast("long")
+    placed = placed.withColumn("block", F.least(at, F.lit(blocks - 1).cast("long")))
+    return placed.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(kept)], *[F.col(c) for c in added if c not in named])

@@ -90,3 +90,17 @@ def test_odd_rows(spark, rows):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix_sources(frame(spark, {"a": (5, 3)}))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_come_back_unchanged(spark, rows):
+    names = ["t", "quota", "full", "rest", "_begin", "_s", "_start", "s", "id", "start", "d1", "in0", "p", "n"]
+    docs = spark.createDataFrame([(i, "w " * 5, f"src{i % 3}", *[f"{n}{i}" for n in names]) for i in range(30)], ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in names]]))
+    got = rows(mixing.mix_sources(docs))
+    assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    assert mixing.mix_sources(docs).columns == ["doc_id", "text", "source", *names, "n_tokens", "epoch", "block", "slot"]
+
+
+def test_a_very_long_text_and_sources_of_other_types(spark, rows):
+    docs = spark.createDataFrame([(1, "word " * 300_000, 7), (2, "a b", 8), (3, "c", 8)], "doc_id long, text string, source int")
+    got = rows(mixing.mix_sources(docs))
+    assert {r["n_tokens"] for r in got if r["doc_id"] == 1} == {300_000} and {r["source"] for r in got} == {7, 8}
