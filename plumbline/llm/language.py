@@ -90,7 +90,9 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """Prototype vector of every non-null language, bundled over all given texts.
 
     Tasks send one partial sum a language; those are summed in two steps with a salt, so no task
-    gathers more than a share of them. What reaches the driver is one vector a language.
+    gathers more than a share of them. What reaches the driver is one vector a language; more than
+    ``MAX_LANGUAGES`` raise an error. Rows without a text or language teach nothing; repeated rows count
+    each; an empty table, or one without a letter, gives no prototypes.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,8 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Ties go to
     the language that sorts first. Whole texts count, whatever their length. Repeated rows get equal
-    predictions; an empty table gives an empty result. Input columns with those names are replaced.
+    predictions; an empty table gives an empty result. Input columns with those names are replaced (the
+    text column stays); all others are kept whatever their names.
     """
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, dim), np.float32)
@@ -169,5 +172,6 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_co
                     scores.append(float(min(1.0, max(0.0, cosines[i, best[i]]))) if known else 0.0)
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    done = docs.drop(*[c for c in ("lang_pred", "score") if c != text_col]).withColumn("_p", predict(F.col(text_col)))
-    return done.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    own, added = unused(docs, "predicted"), [c for c in ("lang_pred", "score") if c != text_col]
+    done = docs.drop(*added).withColumn(own, predict(F.col(text_col)))
+    return done.withColumns({c: F.col(f"{own}.{c}") for c in added}).drop(own)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import unused
+
 # The kinds in their order, and the base patterns of the contract.
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,7 +38,11 @@ PEM = re.compile(
 ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s+")
 #: Header of a body that is encrypted, so that its bytes have no form of their own but whole cipher blocks.
 ENCRYPTED = re.compile(r"Proc-Type:\x20?4,ENCRYPTED(?:\s|\\)(?s:.*)DEK-Info:\x20?[A-Z0-9-]+,(?:[0-9A-Fa-f]{16}){1,2}(?![0-9A-Fa-f])")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: First letters of a JSON object in base64: a brace, then a quote, a space, a line end or a tab.
+TOKEN_HEADS = ("eyJ", "eyA", "ewo", "ew0", "ewk")
+TOKEN_HEAD = re.compile("|".join(TOKEN_HEADS))
+#: Runs with two dots or more; a run begins where no other letter of one precedes, so each is read once.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]*+\.[A-Za-z0-9_.-]*+")
 #: Where a run of letters begins; the letter of an escaped line end before it is not a part of it.
 BEGIN = r"(?:(?<=\\[nrt])|(?<=\\)(?![nrt])|(?<![\\{a}]))"
 BASE64, URL64 = (re.compile(BEGIN.replace("{a}", a) + f"[{a}]{{40,}}={{0,2}}") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
@@ -170,15 +176,29 @@ def wrapped_keys(text: str) -> Iterator[tuple[int, int, int]]:
                         break
 
 
-def jwt_ok(text: str) -> bool:
-    """Whether the first two dot-separated parts decode to JSON objects and the header names an algorithm."""
+def token_ok(head: str, body: str) -> bool:
+    """Whether both parts decode to JSON objects and the header names an algorithm."""
     try:
-        head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in text.split(".")[:2])
+        head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in (head, body))
     except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed tokens: three parts joined by dots, the header from its first possible letters on."""
+    for run in DOTTED.finditer(text):
+        parts = run[0].split(".")
+        starts = [run.start() + n for n in accumulate((len(p) + 1 for p in parts), initial=0)]
+        i = 0
+        while i + 2 < len(parts):
+            head = TOKEN_HEAD.search(parts[i])
+            if head and parts[i + 1] and token_ok(parts[i][head.start() :], parts[i + 1]):
+                yield starts[i] + head.start(), starts[i + 2] + len(parts[i + 2])
+                i += 2
+            i += 1
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """All spans of a text as (start, kind number, end), sorted."""
     spans = []
@@ -193,8 +213,8 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
             data = decoded64(ESCAPED.sub("", m[3]))
             if data is not None and (key_der(data) or key_ssh(data) or (ENCRYPTED.search(m[2]) and len(data) >= 32 and len(data) % 8 == 0)):
                 spans.append((m.start(), 3, m.end()))
-    if "eyJ" in text:
-        spans += [(m.start(), 6, m.end()) for m in JWT.finditer(text) if jwt_ok(m[0])]
+    if any(h in text for h in TOKEN_HEADS):
+        spans += [(a, 6, b) for a, b in signed_tokens(text)]
     # DER starts with byte 30 and SSH data with 00 00 00 or "openssh", which fixes the first base64 letter.
     armour = [(a, b) for a, k, b in spans if k == 3]
     spans += [s for s in wrapped_keys(text) if not any(a <= s[0] and s[2] <= b for a, b in armour)]
@@ -242,7 +262,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", mask: str | None = Non
 
     A null text counts as empty: no spans and the digest of the empty string. Whole texts are
     scanned whatever their length. Rows are independent, so ties, repeated rows and empty tables
-    need no care. Input columns named like an output column are replaced.
+    need no care. Input columns named like an output column are replaced (the text column stays); all
+    others are kept whatever their names.
     """
     fields = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_confirmed bigint"
 
@@ -264,7 +285,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", mask: str | None = Non
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     names = [f.split()[0] for f in fields.split(", ")]
-    found = docs.drop(*[n for n in names if n != text_col]).withColumn("_s", scan(F.col(text_col)))
+    own = unused(docs, "spans_of_text")
+    found = docs.drop(*[n for n in names if n != text_col]).withColumn(own, scan(F.col(text_col)))
     if mask is not None:
-        found = found.withColumn(text_col, F.coalesce("_s.masked", text_col))
-    return found.withColumns({n: F.col(f"_s.{n}") for n in names if n != text_col}).drop("_s")
+        found = found.withColumn(text_col, F.coalesce(f"{own}.masked", text_col))
+    return found.withColumns({n: F.col(f"{own}.{n}") for n in names if n != text_col}).drop(own)

@@ -2,15 +2,18 @@
 
 A fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two
 count vectors never exceeds the Hamming distance of the fingerprints, so fingerprints within ``k``
-bits differ in at most ``k`` of ``k + 2`` groups of segments: they share the counts of two whole
-groups, that is, a cell of one of the grids made of two groups. Pairs inside a cell pass the
-Manhattan bound first and the exact Hamming distance last.
+bits differ in at most ``k`` of ``k + s`` groups of segments: they share the counts of ``s`` whole
+groups, that is, a cell of one of the grids made of ``s`` groups. Pairs inside a cell pass the
+Manhattan bound first and the exact Hamming distance last. Grids get finer (``s`` from 2 to 5) as
+the number of fingerprints grows, so that cells stay small; any ``s`` finds all links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, write_stage
+from plumbline.llm.common import connected_components, hot_join, numbered, restored, write_stage
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LOW_BITS = 0x5555555555555555
 #: Members of a cell that meet in one block; larger cells are split into pairs of blocks.
 BLOCK = 1024
+#: Fingerprints up to which a grid of 2, 3 and 4 shared groups is used; beyond the last it is 5.
+FINER = (1 << 24, 1 << 29, 1 << 33)
 
 
 def text_fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -98,7 +103,9 @@ def link_fingerprints(fps: DataFrame, col: str = "fp", k: int = 3) -> DataFrame:
     Every cell loses the links that its own forest makes redundant; no link between components is
     lost. Cells of more than ``BLOCK`` fingerprints are dealt out as pairs of blocks.
     """
-    groups = k + 2
+    distinct = write_stage(fps.select(F.col(col).alias("fp")).distinct(), "fingerprints")
+    shared = 2 + sum(distinct.count() > n for n in FINER)
+    groups = min(k + shared, 32)
     x = F.col("fp")
     half = F.shiftrightunsigned(x, 1)
     both = x.bitwiseAND(half).bitwiseAND(F.lit(_LOW_BITS))
@@ -106,9 +113,9 @@ def link_fingerprints(fps: DataFrame, col: str = "fp", k: int = 3) -> DataFrame:
     masks = [0] * groups
     for segment in range(32):
         masks[segment * groups // 32] |= 3 << (2 * segment)
-    signed = [m - (1 << 64) if m >> 63 else m for m in (masks[i] | masks[j] for i, j in combinations(range(groups), 2))]
+    signed = [m - (1 << 64) if m >> 63 else m for m in (reduce(or_, own) for own in combinations(masks, groups - k))]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    dealt = fps.select(F.col(col).alias("fp")).distinct().withColumn("counts", counts).select("fp", "counts", F.explode(keys).alias("cell"))
+    dealt = distinct.withColumn("counts", counts).select("fp", "counts", F.explode(keys).alias("cell"))
     sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -144,12 +151,17 @@ def link_fingerprints(fps: DataFrame, col: str = "fp", k: int = 3) -> DataFrame:
 
 
 def fingerprint_classes(marked: DataFrame, id_col: str, k: int = 3) -> DataFrame:
-    """``(fp, root, component_id)`` for every distinct ``fp`` of ``marked``."""
-    named = marked.groupBy("fp").agg(F.min(id_col).alias("_id"))
-    roots = connected_components(link_fingerprints(named, "fp", k))
-    named = named.join(roots, named.fp == roots.node, "left").select("fp", "_id", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("_id").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    """``(fp, root, component_id)`` for every distinct ``fp`` of the written table ``marked``."""
+    named = marked.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    return with_least(named, connected_components(link_fingerprints(marked, "fp", k)), "fp")
+
+
+def with_least(named: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``(key, root, component_id)`` from ``(key, first_id)`` and the components of the keys that link."""
+    named = named.join(roots.withColumnRenamed("node", key), key, "left").select(key, "first_id", F.coalesce("component", key).alias("root"))
+    named = write_stage(named, "component-roots")
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return hot_join(named, least, "root").select(key, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 3) -> DataFrame:
@@ -159,28 +171,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like any other. Null ids count as larger than all others: a component
     of nothing but null ids has a null ``component_id``. Repeated rows are kept; rows that share an
     id but not a text are placed by their own texts. An empty table gives an empty result. Other
-    columns of the input are not carried, so their names cannot clash.
+    columns of the input are not carried, so their names cannot clash (the id keeps its own name,
+    which must not be ``fp`` or ``component_id``).
     """
-    marked = write_stage(with_fingerprint(docs, text_col, "_fp", shingle).select(F.col(id_col), F.col("_fp").alias("fp")), "simhash")
-    return marked.join(fingerprint_classes(marked, id_col, k), "fp").select(id_col, "fp", "component_id")
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = write_stage(with_fingerprint(ids, "text", "fp", shingle).select("id", "fp"), "simhash")
+    classes = write_stage(fingerprint_classes(marked, "id", k), "simhash-classes")
+    return hot_join(marked, classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def first_of_each(marked: DataFrame, classes: DataFrame, key: str, columns: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The row with the smallest id of each component; ``classes`` has ``(key, _root, _least)``, ``columns`` are those to return."""
-    kept = marked.join(classes, key).where(F.col(id_col).eqNullSafe(F.col("_least")))
+    """The row with the smallest id of each component; ``marked`` is written and numbered, ``classes`` has ``(key, root, component_id)``.
+
+    Where rows share that id, the one whose text has the smallest hash stays, and of equal texts any one.
+    """
+    kept = hot_join(marked, write_stage(classes, "kept-classes"), key).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     if marked.groupBy(id_col).count().where("count > 1").limit(1).count():
-        order = F.struct(F.xxhash64(text_col).alias("h"), F.struct(*columns).alias("row"))
-        kept = kept.groupBy("_root").agg(F.min(order).alias("best")).select("best.row.*")
-    return kept.select(*columns)
+        kept = kept.groupBy("root").agg(F.min_by(F.struct(*[f"in{i}" for i in range(len(columns))]), F.xxhash64(text_col)).alias("row")).select("row.*")
+    return restored(kept, columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, k: int = 3) -> DataFrame:
     """The rows of ``docs`` left when one of each near-duplicate component stays: that with the smallest id.
 
-    Where ids repeat or are null, one of the rows with the smallest id stays, whichever comes first
-    by its text's hash. Columns are those of ``docs``.
+    Null and wordless texts are near copies of each other. Where ids repeat or are null (null counts
+    as largest), one of the rows with the smallest id stays, whichever comes first by its text's hash.
+    An empty table gives an empty result. Columns are those of ``docs``, whatever their names.
     """
-    marked = write_stage(with_fingerprint(docs, text_col, "_fp", shingle), "simhash-docs")
-    slim = marked.select(F.col(id_col), F.col("_fp").alias("fp"))
-    classes = fingerprint_classes(slim, id_col, k).select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_least"))
-    return first_of_each(marked, classes, "_fp", docs.columns, id_col, text_col)
+    id_in, text_in = (f"in{docs.columns.index(c)}" for c in (id_col, text_col))
+    marked = write_stage(with_fingerprint(numbered(docs), text_in, "fp", shingle), "simhash-docs")
+    return first_of_each(marked, fingerprint_classes(marked, id_in, k), "fp", docs.columns, id_in, text_in)

@@ -59,3 +59,9 @@ def test_odd_rows(spark, rows):
     assert language.learn_prototypes(docs.limit(0)) == {}
     assert {r["lang_pred"] for r in rows(language.predict_language(docs, {}))} == {"und"}
     assert language.predict_language(docs.limit(0), prototypes).count() == 0
+
+
+def test_columns_of_any_name(spark, rows):
+    docs = spark.createDataFrame([(1, "the cat", "x", "a", "b")], "doc_id long, text string, lang string, _p string, predicted string")
+    (r,) = rows(language.predict_language(docs, language.learn_prototypes(docs)))
+    assert (r["_p"], r["predicted"], r["lang_pred"]) == ("a", "b", "x")

@@ -172,3 +172,24 @@ def test_query_has_exactly_the_base_matches(spark, duck, rows):
         assert [found[doc][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(s[1] == k for s in base) for k in range(3)]
         total += len(base)
     assert total > 0
+
+
+def test_signed_tokens_in_any_place_and_form():
+    head, body = url64({"alg": "HS256"}), url64({"sub": 1})
+    spaced = base64.urlsafe_b64encode(b'{ "alg": "none"}').decode().rstrip("=")
+    lines = base64.urlsafe_b64encode(b'{\n"alg":"ES256"}').decode().rstrip("=")
+    assert kinds(f"{spaced}.{body}. {lines}.{body}.abc") == ["jwt", "jwt"]
+    assert kinds(f"v1.x.{head}.{body}.sig.{head}.{body}.sig") == ["jwt", "jwt"]
+    text = f"id_{head}.{body}.sig"
+    assert secrets.find_spans(text) == [(3, 6, len(text))]
+
+
+def test_token_letters_without_end_are_read_once():
+    for text in ("eyJ" * 500_000, "eyJ." * 300_000, "eyJhbGci." * 100_000, "." * 1_000_000 + "eyJ"):
+        assert kinds(text) == []
+
+
+def test_columns_of_any_name(spark, rows):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "a", "b")], "doc_id long, text string, _s string, spans_of_text string")
+    (r,) = rows(secrets.scan_secrets(docs))
+    assert (r["_s"], r["spans_of_text"], r["n_assign"]) == ("a", "b", 1)

@@ -87,3 +87,36 @@ def test_odd_rows(spark, rows):
     kept = [(r["doc_id"], r["fp"]) for r in rows(simhash.keep_one(docs))]
     assert sorted(kept, key=str) == sorted([(3, 1), (8, 2), (None, 3), (7, 4)], key=str)
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shared", [2, 3, 4, 5])
+def test_every_grid_finds_all_links(spark, rows, monkeypatch, shared):
+    monkeypatch.setattr(simhash, "FINER", [0] * (shared - 2) + [1 << 40] * (5 - shared))
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    near = [b ^ sum((np.uint64(1) << np.uint64(i) for i in rng.choice(64, n, replace=False)), np.uint64(0)) for b in base[:40] for n in (1, 2, 3, 4)]
+    fps = np.unique(np.r_[base, np.array(near, np.uint64)])
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {r["node"]: r["component"] for r in rows(simhash.connected_components(simhash.link_fingerprints(frame)))}
+    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    lab = np.arange(len(fps))
+    for _ in range(len(fps)):
+        lab = np.where(close, lab[None, :], len(fps)).min(axis=1)
+    parts = lambda names: sorted(sorted(int(f) for f, m in zip(fps.view(np.int64), names, strict=True) if m == n) for n in set(names))
+    assert parts([got.get(int(f), int(f)) for f in fps.view(np.int64)]) == parts(lab.tolist())
+
+
+def test_hubs_and_columns_of_any_name(spark, rows, monkeypatch):
+    """A star of many edges takes the way of hot keys; columns named like the plan's come back."""
+    from plumbline.llm import common, shingles
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(500 + i, 501 + i) for i in range(40)], "a long, b long")
+    got = {r["node"]: r["component"] for r in rows(common.connected_components(edges))}
+    assert got == {i: 0 for i in range(300)} | {500 + i: 500 for i in range(41)}
+    names = ["fp", "_fp", "root", "component_id", "cls", "near", "first_id", "rows", "in0"]
+    docs = spark.createDataFrame([(i, f"some {'equal' if i < 20 else i} words of text here", *[f"{n}{i}" for n in names]) for i in range(30)], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    for keep in (simhash.keep_one, shingles.keep_one):
+        kept = rows(keep(docs))
+        assert {r["doc_id"] for r in kept} >= {0} and len(kept) <= 11 and not any(0 < r["doc_id"] < 20 for r in kept)
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names)
