@@ -166,7 +166,7 @@ def train_round(packed: DataFrame, used_col: str, weights: np.ndarray, bias: np.
         power = np.zeros_like(own)
         seen, salt = 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in chunks.rows_of(batch):
                 if xxhash.xxh32_intdigest(row["chunk"]) % ROUNDS == part:
                     table, tokens = Tokens.load(row["data"])
                     used = table.column(used_col).to_numpy(zero_copy_only=False).astype(bool)
@@ -243,7 +243,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = model.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in chunks.rows_of(batch):
                 table, tokens = Tokens.load(row["data"])
                 count = chunks.in_order(row["counts"], np.uint64).astype(np.float64)
                 base_of = np.log10((count + 1) / (n_train + types + 1))

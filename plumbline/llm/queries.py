@@ -44,10 +44,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that a repeated 400-byte string covers, and the digest of the rest."""
-    found = suffixes.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Bytes of every document that a repeated 400-byte string covers, and the digest of the rest.
+
+    ``n_shared`` reports shorter passages (250 bytes, about fifty words) that repeat too; they stay.
+    """
+    found = suffixes.repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), shared=250)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,30 @@ def test_query_equals_brute_force(spark, small, duck, rows):
     assert removed > 0
 
 
+def test_structured_texts_and_equal_first_names(spark, rows, monkeypatch):
+    """Thue-Morse texts, whose sums cancel modulo powers of two, and first names of three bits that all but collide."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << 13))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {0: word[:4096], 1: other[:4096], 2: word[100:3000] + "x" + other[7:2000], 3: "q" * 900, 4: other[4000:8000], 5: "".join(chr(97 + i * i % 23) for i in range(900))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute({i: t.encode() for i, t in texts.items()}, 400)
+    check = lambda: {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows(suffixes.repeated_passages(docs))} == {i: spans for i, (spans, _) in want.items()}
+    assert check()
+    plain = suffixes.window_names
+    monkeypatch.setattr(suffixes.Pieces.names, "__defaults__", (lambda text, depth: plain(text, depth) & np.uint64(7 << 61),))
+    assert check()
+
+
+def test_shorter_passages_are_reported_and_stay(spark, rows):
+    rng = np.random.default_rng(3)
+    own = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passage = own(250)
+    texts = {i: own(int(rng.integers(100, 900))) + (passage if i % 2 else "") + own(int(rng.integers(0, 900))) for i in range(30)}
+    got = {r["doc_id"]: r for r in rows(suffixes.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shared=250))}
+    assert all((got[i]["n_shared"] >= suffixes.cover(250)[2]) if i % 2 else got[i]["n_shared"] == 0 for i in texts)
+    assert all(r["spans"] == [] for r in got.values())
+
+
 def test_odd_rows(spark, rows):
     text = "".join(chr(97 + i * i % 23) for i in range(500))
     data = [(1, None, 1), (2, "", 1), (3, text, 1), (3, text, 2), (None, "short", 3)]
