@@ -71,64 +71,47 @@ def _byte_table() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 64, 256, dtype=np.uint64)
 
 
-def window_names(text: np.ndarray, depth: int) -> np.ndarray:
-    """64-bit names of all windows of ``depth`` bytes, by doubling (one array of windows at a time)."""
-    n = len(text) - depth + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power = _byte_table()[text]
-    out, done, size = None, 0, 1
-    while True:
-        if depth & size:
-            if out is None:
-                out = power.copy()
-            else:  # the longer block goes in front of what is there
-                m = len(text) - done - size + 1
-                out = power[:m] * np.uint64(pow(_BASE, done, 1 << 64)) + out[size : size + m]
-            done += size
-        if size * 2 > depth:
-            break
-        m = len(text) - 2 * size + 1
-        power = power[:m] * np.uint64(pow(_BASE, size, 1 << 64)) + power[size : size + m]
+#: Bits of the second hash in a name, and its modulus.
+CHECK_BITS, PRIME, _PRIME_BASE = 15, (1 << 31) - 1, 1_234_567_891
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, modulus: int, n: int) -> np.ndarray:
+    """The first n powers of a base, by doubling; modulo 2**64 or a number below 2**32."""
+    out = np.ones(n, np.uint64)
+    size = 1
+    while size < n:
+        more = out[: min(size, n - size)] * np.uint64(pow(base, size, modulus))
+        out[size : size + len(more)] = more if modulus == 1 << 64 else more % np.uint64(modulus)
         size *= 2
-    out = out[:n]
+    return out
+
+
+def window_names(text: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit names of the windows of ``depth`` bytes that begin at the given places (all by default).
+
+    A name is a polynomial in an odd base: prefix sums over the text give those of all windows, times
+    the base to the power of their place, which is taken out again.
+    """
+    if at is None:
+        at = np.arange(max(0, len(text) - depth + 1))
+    room = 1 << max(10, len(text).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(_byte_table()[text] * _powers(_BASE, 1 << 64, room)[: len(text)])]
+    out = (sums[at + depth] - sums[at]) * _powers(pow(_BASE, -1, 1 << 64), 1 << 64, room)[at]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
     return out
 
 
-#: Bits of the second hash in a name, and its modulus.
-CHECK_BITS, PRIME = 15, (1 << 31) - 1
-
-
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Numbers below 2**62 modulo PRIME, up to one multiple."""
-    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
-
-
-def window_checks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Second names of all windows of ``depth`` bytes, of ``CHECK_BITS`` bits, by doubling modulo a prime."""
-    n = len(text) - depth + 1
-    if n <= 0:
-        return np.zeros(0, np.uint16)
-    base = 1_234_567_891 % PRIME
-    power = _reduced(_byte_table() >> np.uint64(3))[text]
-    out, done, size = None, 0, 1
-    while True:
-        if depth & size:
-            if out is None:
-                out = power.copy()
-            else:
-                m = len(text) - done - size + 1
-                out = _reduced(_reduced(power[:m]) * np.uint64(pow(base, done, PRIME)) + out[size : size + m])
-            done += size
-        if size * 2 > depth:
-            break
-        m = len(text) - 2 * size + 1
-        power = _reduced(_reduced(power[:m]) * np.uint64(pow(base, size, PRIME)) + power[size : size + m])
-        size *= 2
-    out = _reduced(_reduced(out[:n])) % np.uint64(PRIME)
+def window_checks(text: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Second names of the same windows, of ``CHECK_BITS`` bits, from a polynomial modulo a prime."""
+    if at is None:
+        at = np.arange(max(0, len(text) - depth + 1))
+    room, prime = 1 << max(10, len(text).bit_length()), np.uint64(PRIME)
+    terms = (_byte_table() % prime)[text] * _powers(_PRIME_BASE, PRIME, room)[: len(text)]
+    sums = np.r_[np.uint64(0), np.cumsum((terms & prime) + (terms >> np.uint64(31)))]  # below 2**32 each, so no sum of a piece overflows
+    out = (sums[at + depth] - sums[at]) % prime * _powers(pow(_PRIME_BASE, -1, PRIME), PRIME, room)[at] % prime
     return ((out * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CHECK_BITS)).astype(np.uint16)
 
 
@@ -148,10 +131,10 @@ class Pieces:
             stop = min(begin + PIECE, len(self.text))
             here = np.flatnonzero(wanted[begin:stop])
             if len(here):
-                names = named_by(self.text[begin : min(stop + depth - 1, len(self.text))], depth)
-                here = here[here < len(names)]
+                piece = self.text[begin : min(stop + depth - 1, len(self.text))]
+                here = here[here <= len(piece) - depth]
                 at.append(here + begin)
-                named.append(names[here])
+                named.append(named_by(piece, depth, here))
         if not at:
             return np.zeros(0, np.int64), named_by(self.text[:0], depth)
         return np.concatenate(at), np.concatenate(named)

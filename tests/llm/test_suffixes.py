@@ -39,6 +39,8 @@ def test_names_are_those_of_each_window():
         assert len(names) == len(windows) and len(set(names.tolist())) == len(set(windows))
         by_window = dict(zip(windows, names.tolist(), strict=True))
         assert [by_window[w] for w in windows] == names.tolist()
+        seconds = dict(zip(windows, suffixes.window_checks(text, depth).tolist(), strict=True))
+        assert [seconds[w] for w in windows] == suffixes.window_checks(text, depth).tolist()
 
 
 @pytest.mark.parametrize("length", [1, 5, 12, 50])
@@ -83,7 +85,7 @@ def test_structured_texts_and_equal_first_names(spark, rows, monkeypatch):
     check = lambda: {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows(suffixes.repeated_passages(docs))} == {i: spans for i, (spans, _) in want.items()}
     assert check()
     plain = suffixes.window_names
-    monkeypatch.setattr(suffixes.Pieces.names, "__defaults__", (lambda text, depth: plain(text, depth) & np.uint64(7 << 61),))
+    monkeypatch.setattr(suffixes.Pieces.names, "__defaults__", (lambda *a: plain(*a) & np.uint64(7 << 61),))
     assert check()
 
 
