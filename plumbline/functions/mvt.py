@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,33 +49,42 @@ def zigzag(value: int) -> int:
 
 def fields(data: bytes) -> Iterator[tuple[int, int, Any]]:
     """``(field, wire type, value)`` of a message; groups and unknown wire types are errors."""
-    at = 0
-    while at < len(data):
-        key, at = varint(data, at)
+    at, end = 0, len(data)
+    while at < end:
+        # Keys, sizes and numbers mostly have one byte.
+        if (key := data[at]) < 0x80:
+            at += 1
+        else:
+            key, at = varint(data, at)
         wire = key & 7
-        if wire == 0:
-            value, at = varint(data, at)
+        if wire == 2 or wire == 0:
+            if at < end and (value := data[at]) < 0x80:
+                at += 1
+            else:
+                value, at = varint(data, at)
+            if wire == 2:
+                begin, at = at, at + value
+                if at > end:
+                    raise TileError("unexpected end of data")
+                value = data[begin:at]
         elif wire in (1, 5):
             size = 8 if wire == 1 else 4
             value = data[at : at + size]
             at += size
             if len(value) < size:
                 raise TileError("unexpected end of data")
-        elif wire == 2:
-            size, at = varint(data, at)
-            value = data[at : at + size]
-            at += size
-            if len(value) < size:
-                raise TileError("unexpected end of data")
         else:
             raise TileError(f"unsupported wire type {wire}")
         yield key >> 3, wire, value
 
 
 def packed(data: bytes) -> list[int]:
+    """Numbers of a packed block."""
+    if data.isascii():  # each number has one byte
+        return list(data)
     out, at = [], 0
     while at < len(data):
-        if (value := data[at]) < 0x80:  # most numbers have one byte
+        if (value := data[at]) < 0x80:
             at += 1
         else:
             value, at = varint(data, at)
@@ -111,124 +121,250 @@ def decode_value(data: bytes, int_zigzag: bool) -> dict | None:
     return out
 
 
-def decode_geometry(commands: list[int]) -> list[list[tuple[int, int]]]:
-    """Parts of a command stream. MoveTo opens a part, ClosePath repeats its first point."""
-    parts: list[list[tuple[int, int]]] = []
-    part: list[tuple[int, int]] = []
-    x = y = at = 0
-    while at < len(commands):
-        head = commands[at] & 0xFFFFFFFF
-        command, count = head & 7, head >> 3
-        at += 1
-        if command == 1 and part:
-            parts.append(part)
-            part = []
-        if command in (1, 2):
-            if at + 2 * count > len(commands):
-                raise TileError("geometry ends inside a command")
-            for i in range(at, at + 2 * count, 2):
-                x += zigzag(commands[i])
-                y += zigzag(commands[i + 1])
-                part.append((x, y))
-            at += 2 * count
-        elif command == 7:
-            if part:
-                part.append(part[0])
-        else:
-            raise TileError(f"unknown geometry command {command}")
-    if part:
-        parts.append(part)
-    return parts
-
-
-def decode_layer(data: bytes, light: bool, int_zigzag: bool) -> dict | None:
-    """A layer with its features, or None if it has no name. Field order does not matter."""
-    name, version, extent = None, None, DEFAULT_EXTENT
-    raw: list[bytes] = []
-    keys: list[str] = []
-    values: list[dict | None] = []
-    for field, wire, value in fields(data):
-        if field == 1 and wire == 2:
-            name = utf8(value)
-        elif field == 2 and wire == 2:
-            raw.append(value)
-        elif field == 3 and wire == 2 and not light:
-            keys.append(utf8(value))
-        elif field == 4 and wire == 2 and not light:
-            values.append(decode_value(value, int_zigzag))
-        elif field == 5 and wire == 0:
-            extent = value
-        elif field == 15 and wire == 0:
-            version = value
-    if not name:
-        return None
-    features = []
-    for message in [] if light else raw:
-        ident, tags, kind, commands = None, [], 0, []
-        for field, wire, value in fields(message):
-            if field == 1 and wire == 0:
-                ident = value
-            elif field == 2 and wire == 2:  # packed only; a later block replaces an earlier one
-                tags = packed(value)
-            elif field == 3 and wire == 0:
-                kind = value
-            elif field == 4 and wire == 2:
-                commands = packed(value)
-        properties: dict[str, dict | None] = {}
-        for k, v in zip(tags[::2], tags[1::2], strict=False):
-            if k < len(keys):
-                properties[keys[k]] = values[v] if v < len(values) else None
-        ident = None if ident is None else ident - (1 << 64 if ident >> 63 else 0)
-        parts = [[{"x": x, "y": y} for x, y in p] for p in decode_geometry(commands)]
-        if kind == 1 and len(parts) > 1:  # points are one part
-            parts = [[p for part in parts for p in part]]
-        features.append({"feature_id": ident, "type": kind if kind in (1, 2, 3) else 0, "properties": list(properties.items()), "parts": parts})
-    return {"layer": name, "version": version, "extent": extent, "n_features": len(raw), "features": features}
-
-
-def decode_tile(data: bytes, light: bool = False, int_zigzag: bool = False) -> list[dict]:
-    """Layers of a tile in the order of their first occurrence; of a repeated name the last wins."""
-    layers: dict[str, dict] = {}
-    for field, wire, value in fields(data):
-        if field == 3 and wire == 2 and (layer := decode_layer(value, light, int_zigzag)) is not None:
-            layers[layer["layer"]] = layer
-    return list(layers.values())
+#: Repeats of a first point that one ClosePath may ask for.
+MAX_REPEATS = 1 << 20
+
+
+def varints32(blocks: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Low 32 bits of all numbers of packed blocks, end to end, and how many each block holds."""
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    block_ends = np.cumsum([len(b) for b in blocks])
+    ends = np.flatnonzero(data < 0x80)
+    filled = block_ends[[len(b) > 0 for b in blocks]]
+    if len(filled) and (data[filled - 1] >= 0x80).any():
+        raise TileError("unexpected end of data")
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    sizes = ends - starts + 1
+    longest = int(sizes.max()) if len(sizes) else 0
+    if longest > 10:
+        raise TileError("varint is longer than ten bytes")
+    values = (data[starts] & 0x7F).astype(np.uint64)
+    for k in range(1, min(longest, 5)):
+        more = np.flatnonzero(sizes > k)
+        values[more] |= (data[starts[more] + k] & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+    return values & np.uint64(0xFFFFFFFF), np.diff(np.searchsorted(ends, block_ends), prepend=0).tolist()
+
+
+def runs(starts: list[int] | np.ndarray, sizes: list[int] | np.ndarray, step: int = 1) -> np.ndarray:
+    """Numbers of arithmetic runs, end to end."""
+    starts, sizes = np.asarray(starts, np.int64), np.asarray(sizes, np.int64)
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - step * before, sizes) + step * np.arange(sizes.sum())
+
+
+def decode_geometry(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """x and y of all points of the features' command streams, points of each part, and parts of each feature.
+
+    MoveTo opens a part; ClosePath repeats its first point as often as it counts. Commands are walked
+    one by one, points are summed up all at once.
+    """
+    values, counts = varints32(blocks)
+    heads = values.tolist()
+    pairs_at, pairs, points_of = [], [], []  # coordinate pairs as they are read
+    begin, size_of = [], []  # points as they are given: runs of pairs, and repeats of one
+    part_sizes, parts_of = [], []
+    read = at = 0
+    for stop in np.cumsum(counts, dtype=np.int64).tolist():
+        size = parts = first = 0
+        before = read
+        while at < stop:
+            command, count = heads[at] & 7, heads[at] >> 3
+            at += 1
+            if command == 1 and size:
+                part_sizes.append(size)
+                parts += 1
+                size = 0
+            if command in (1, 2):
+                if at + 2 * count > stop:
+                    raise TileError("geometry ends inside a command")
+                if count:
+                    if not size:
+                        first = read
+                    pairs_at.append(at)
+                    pairs.append(count)
+                    begin.append(read)
+                    size_of.append(count)
+                    size += count
+                    read += count
+                    at += 2 * count
+            elif command == 7:
+                if size and count:
+                    if count > MAX_REPEATS:
+                        raise TileError("ClosePath repeats too often")
+                    begin += [first] * count
+                    size_of += [1] * count
+                    size += count
+            else:
+                raise TileError(f"unknown geometry command {command}")
+        if size:
+            part_sizes.append(size)
+            parts += 1
+        parts_of.append(parts)
+        points_of.append(read - before)
+    signed = values.view(np.int64)
+    signed = (signed >> 1) ^ -(signed & 1)
+    at_x, given = runs(pairs_at, pairs, 2), runs(begin, size_of)
+    own = np.asarray(points_of, np.int64)
+    out = []
+    for deltas in (signed[at_x], signed[at_x + 1]):
+        sums = np.r_[0, np.cumsum(deltas)]
+        out.append((sums[1:] - np.repeat(sums[np.cumsum(own) - own], own))[given])
+    return out[0], out[1], part_sizes, parts_of
 
 
 _VALUE = pa.struct([("kind", pa.string()), ("s", pa.string()), ("n", pa.float64()), ("b", pa.bool_())])
 _POINT = pa.struct([("x", pa.int64()), ("y", pa.int64())])
 _FEATURE = pa.struct([("feature_id", pa.int64()), ("type", pa.int8()), ("properties", pa.map_(pa.string(), _VALUE)), ("parts", pa.list_(pa.list_(_POINT)))])
 _LAYER = pa.struct([("layer", pa.string()), ("version", pa.int32()), ("extent", pa.int64()), ("n_features", pa.int32()), ("features", pa.list_(_FEATURE))])
-_TILE = pa.struct([("layers", pa.list_(_LAYER)), ("bytes", pa.int64()), ("decoded_bytes", pa.int64()), ("gzipped", pa.bool_()), ("error", pa.string())])
 TILE = (
     "struct<layers:array<struct<layer:string,version:int,extent:bigint,n_features:int,features:array<struct<feature_id:bigint,type:tinyint,"
     f"properties:{PROPERTIES},parts:{PARTS}>>>>,bytes:bigint,decoded_bytes:bigint,gzipped:boolean,error:string>"
 )
 
 
-def read_tile(data: bytes, light: bool = False, int_zigzag: bool = False) -> dict:
-    """Decoded tile or its error, as one row; nothing is raised."""
-    out: dict[str, Any] = {"layers": [], "bytes": len(data), "decoded_bytes": None, "gzipped": data[:2] == GZIP_MAGIC, "error": None}
-    try:
-        if not data:
-            raise TileError("tile is empty (0 bytes)")
-        if out["gzipped"]:
-            data = gzip.decompress(data)
-        out["decoded_bytes"] = len(data)
-        out["layers"] = decode_tile(data, light, int_zigzag)
-    except (TileError, OSError, EOFError, zlib.error, RecursionError, pa.ArrowInvalid, OverflowError, struct.error) as error:
-        out["layers"], out["error"] = [], f"{type(error).__name__}: {error}"
-    return out
+def within(value: int | None, bits: int) -> int | None:
+    """A number that a signed column of so many bits holds."""
+    if value is not None and value >> (bits - 1):
+        raise TileError(f"{value} is out of range")
+    return value
+
+
+class Layer:
+    """A layer message: header, keys and values, and features whose geometry is still packed."""
+
+    def __init__(self, data: bytes, light: bool, int_zigzag: bool) -> None:
+        self.name, self.version, self.extent = None, None, DEFAULT_EXTENT
+        self.keys: list[str] = []
+        self.values: list[dict | None] = []
+        raw: list[bytes] = []
+        for field, wire, value in fields(data):  # in any order
+            if field == 1 and wire == 2:
+                self.name = utf8(value)
+            elif field == 2 and wire == 2:
+                raw.append(value)
+            elif field == 3 and wire == 2 and not light:
+                self.keys.append(utf8(value))
+            elif field == 4 and wire == 2 and not light:
+                self.values.append(decode_value(value, int_zigzag))
+            elif field == 5 and wire == 0:
+                self.extent = within(value, 64)
+            elif field == 15 and wire == 0:
+                self.version = within(value, 32)
+        self.n_features = len(raw)
+        self.ids: list[int | None] = []
+        self.kinds: list[int] = []
+        self.tags: list[bytes] = []
+        self.blocks: list[bytes] = []
+        for message in [] if light or not self.name else raw:
+            ident, tags, kind, block = None, b"", 0, b""
+            for field, wire, value in fields(message):
+                if wire == 2:  # packed only; a later block replaces an earlier one
+                    if field == 4:
+                        block = value
+                    elif field == 2:
+                        tags = value
+                elif wire == 0:
+                    if field == 3:
+                        kind = value
+                    elif field == 1:
+                        ident = value
+            self.ids.append(ident if ident is None or ident < 1 << 63 else ident - (1 << 64))
+            self.kinds.append(kind if kind in (1, 2, 3) else 0)
+            self.tags.append(tags)
+            self.blocks.append(block)
+
+    def properties(self) -> Iterator[dict[str, int | None]]:
+        """Names and numbers of values of each feature; a number that no value has is None."""
+        known: dict[bytes, dict[str, int | None]] = {}  # many features share their tags
+        n = len(self.values)
+        for tags in self.tags:
+            if (own := known.get(tags)) is None:
+                numbers = packed(tags)
+                own = known[tags] = {self.keys[k]: v if v < n else None for k, v in zip(numbers[::2], numbers[1::2], strict=False) if k < len(self.keys)}
+            yield own
+
+
+class Columns:
+    """Decoded tiles as flat columns, from which the nested Arrow column is put together at once."""
+
+    def __init__(self, light: bool = False, int_zigzag: bool = False) -> None:
+        self.light, self.int_zigzag = light, int_zigzag
+        self.tiles: list[tuple[int, int, int | None, bool, str | None]] = []  # layers, bytes, decoded bytes, gzipped, error
+        self.layers: list[tuple[str, int | None, int, int, int]] = []  # name, version, extent, features there, features given
+        self.ids: list[int | None] = []
+        self.kinds: list[int] = []
+        self.n_tags: list[int] = []
+        self.keys: list[str] = []
+        self.value_at: list[int | None] = []
+        self.values: list[dict | None] = []
+        self.parts_of: list[int] = []
+        self.part_sizes: list[int] = []
+        self.x: list[np.ndarray] = []
+        self.y: list[np.ndarray] = []
+
+    def add(self, data: bytes) -> None:
+        """Append a tile, or its error without layers; nothing is raised."""
+        size, gzipped, decoded = len(data), data[:2] == GZIP_MAGIC, None
+        try:
+            if not data:
+                raise TileError("tile is empty (0 bytes)")
+            if gzipped:
+                data = gzip.decompress(data)
+            decoded = len(data)
+            # Layers stand in the order of their first occurrence; of a repeated name the last wins.
+            layers: dict[str, Layer] = {}
+            for field, wire, value in fields(data):
+                if field == 3 and wire == 2 and (layer := Layer(value, self.light, self.int_zigzag)).name:
+                    layers[layer.name] = layer
+            found = list(layers.values())
+            x, y, part_sizes, parts_of = decode_geometry([b for layer in found for b in layer.blocks])
+            properties = [list(layer.properties()) for layer in found]
+        except (TileError, OSError, EOFError, zlib.error, OverflowError, struct.error) as error:
+            self.tiles.append((0, size, decoded, gzipped, f"{type(error).__name__}: {error}"))
+            return
+        self.x.append(x)
+        self.y.append(y)
+        kinds = [k for layer in found for k in layer.kinds]
+        if any(k == 1 and n > 1 for k, n in zip(kinds, parts_of, strict=True)):  # points are one part
+            sizes = iter(part_sizes)
+            own = [[next(sizes) for _ in range(n)] for n in parts_of]
+            own = [[sum(p)] if k == 1 and len(p) > 1 else p for k, p in zip(kinds, own, strict=True)]
+            part_sizes, parts_of = [n for p in own for n in p], [len(p) for p in own]
+        self.kinds += kinds
+        self.parts_of += parts_of
+        self.part_sizes += part_sizes
+        for layer, named in zip(found, properties, strict=True):
+            self.layers.append((layer.name, layer.version, layer.extent, layer.n_features, len(layer.ids)))
+            self.ids += layer.ids
+            begin = len(self.values)
+            self.values += layer.values
+            self.n_tags += map(len, named)
+            self.keys += [k for own in named for k in own]
+            self.value_at += [None if v is None else begin + v for own in named for v in own.values()]
+        self.tiles.append((len(found), size, decoded, gzipped, None))
+
+    def array(self) -> pa.StructArray:
+        """The tiles as a column of type ``TILE``."""
+        offsets = lambda sizes: pa.array(np.r_[0, np.cumsum(np.asarray(sizes, np.int64))].astype(np.int32))
+        joined = lambda arrays: pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64))
+        points = pa.StructArray.from_arrays([joined(self.x), joined(self.y)], fields=list(_POINT))
+        parts = pa.ListArray.from_arrays(offsets(self.parts_of), pa.ListArray.from_arrays(offsets(self.part_sizes), points))
+        values = pa.array(self.values, _VALUE).take(pa.array(self.value_at, pa.int64()))
+        properties = pa.MapArray.from_arrays(offsets(self.n_tags), pa.array(self.keys, pa.string()), values)
+        features = pa.StructArray.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.kinds, pa.int8()), properties, parts], fields=list(_FEATURE))
+        name, version, extent, there, given = zip(*self.layers, strict=True) if self.layers else [()] * 5
+        inner = [pa.array(name, pa.string()), pa.array(version, pa.int32()), pa.array(extent, pa.int64()), pa.array(there, pa.int32()), pa.ListArray.from_arrays(offsets(given), features)]
+        layers = pa.StructArray.from_arrays(inner, fields=list(_LAYER))
+        held, size, decoded, gzipped, error = zip(*self.tiles, strict=True) if self.tiles else [()] * 5
+        outer = [pa.ListArray.from_arrays(offsets(held), layers), pa.array(size, pa.int64()), pa.array(decoded, pa.int64()), pa.array(gzipped, pa.bool_()), pa.array(error, pa.string())]
+        return pa.StructArray.from_arrays(outer, ["layers", "bytes", "decoded_bytes", "gzipped", "error"])
 
 
-def as_column(tiles: list[dict]) -> pa.Array:
-    """Tiles as an Arrow column; numbers that no column holds are errors of their tile alone."""
-    try:
-        return pa.array(tiles, _TILE)
-    except (pa.ArrowInvalid, OverflowError) as error:
-        if len(tiles) == 1:
-            return pa.array([tiles[0] | {"layers": [], "error": f"{type(error).__name__}: {error}"}], _TILE)
-        return pa.concat_arrays([as_column([t]) for t in tiles])
+def read_tile(data: bytes, light: bool = False, int_zigzag: bool = False) -> dict:
+    """Decoded tile or its error, as one row; nothing is raised."""
+    one = Columns(light, int_zigzag)
+    one.add(data)
+    return one.array()[0].as_py()
 
 
 def decode(content: Column, light: bool = False, int_zigzag: bool = False) -> Column:
@@ -237,7 +373,10 @@ def decode(content: Column, light: bool = False, int_zigzag: bool = False) -> Co
     @F.arrow_udf(TILE)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield as_column([read_tile(v.as_py() or b"", light, int_zigzag) for v in batch])
+            tiles = Columns(light, int_zigzag)
+            for value in batch:
+                tiles.add(value.as_py() or b"")
+            yield tiles.array()
 
     return run(content)
 
