@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from plumbline.plans.config import ConfigError, ConfigLoadError, load_config, merge_flags
 from plumbline.plans.engine import Engine
 from plumbline.plans.report import find_reporter
+from plumbline.plans.rules import Plugin
 from plumbline.sources.scan import DEFAULT_PLUGINS, expand_sources, load_sources
 
 SCAFFOLD = {"rules": {"tile/coordinate-range": ["error", {"buffer": 80}]}, "options": {"maxDiagnostics": 1000}}
@@ -30,6 +31,11 @@ def whole(text: str) -> int:
     return value
 
 
+def plugins_of(config: dict) -> list[Plugin]:
+    """The built-in plugins, then those of the configuration."""
+    return [*DEFAULT_PLUGINS, *(config.get("plugins") or ())]
+
+
 def check(args: argparse.Namespace) -> int:
     config, warnings = load_config(".", args.config)
     for w in warnings:
@@ -37,10 +43,16 @@ def check(args: argparse.Namespace) -> int:
     config = merge_flags(config, args.reporter, args.max_diagnostics)
     report = find_reporter(config.get("reporter"))
     sources = expand_sources(args.sources)
-    engine = Engine([*DEFAULT_PLUGINS, *(config.get("plugins") or ())], config)
+    if not sources:
+        print(f"no files match {' '.join(args.sources)}", file=sys.stderr)
+        return 2
+    engine = Engine(plugins_of(config), config)
     began = time.monotonic()
-    result = engine.run(load_sources(session(), sources, engine.resolved.options["timeout"]))
-    print(report(result, time.monotonic() - began))
+    result = engine.run(load_sources(session(), sources, engine.resolved.options["timeout"], plugins=engine.plugins))
+    try:
+        print(report(result, time.monotonic() - began))
+    except Exception as error:  # noqa: BLE001 - a reporter that fails does not decide the run
+        print(f"the reporter failed: {type(error).__name__}: {error}", file=sys.stderr)
     return 0 if result.summary.first()["pass"] else 1
 
 
@@ -54,7 +66,8 @@ def init(args: argparse.Namespace) -> int:
 
 
 def rules(args: argparse.Namespace) -> int:
-    found = [r for p in DEFAULT_PLUGINS for r in p.rules]
+    config, _ = load_config(".", args.config)
+    found = [r for p in plugins_of(config) for r in p.rules]
     if args.format == "json":
         print(json.dumps([{"id": r.id, "description": r.description, "severity": r.severity, "recommended": r.recommended, "docsUrl": r.docs_url} for r in found], indent=2))
     else:
@@ -77,6 +90,7 @@ def main(argv: list[str] | None = None) -> int:
     two.set_defaults(run=init)
     three = commands.add_parser("rules", help="list the rules")
     three.add_argument("--format", choices=["text", "json"], default="text")
+    three.add_argument("--config")
     three.set_defaults(run=rules)
     try:
         args = parser.parse_args(argv)

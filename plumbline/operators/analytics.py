@@ -202,16 +202,17 @@ def decoder_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Differences between two decodes of the same tiles, coarse ones first.
 
     Frames of features. Dimensions: layer names, feature counts, geometry type, coordinates and
-    property keys; a layer that one side lacks or counts otherwise is not compared further.
+    properties (keys and values, in any order); a layer that one side lacks or counts otherwise is
+    not compared further.
     """
     key = ["source_idx", "layer"]
     counts = lambda df, n: df.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
     layers = counts(left, "n1").join(counts(right, "n2"), key, "full")
     coarse = layers.where("not (n1 <=> n2)").select(*key, F.lit(None).cast("int").alias("feature_index"), F.when(F.col("n1").isNull() | F.col("n2").isNull(), "layer-names").otherwise("feature-count").alias("dimension"))
     fine = layers.where("n1 = n2").select(*key)
-    keys_of = lambda c: F.array_sort(F.map_keys(c))
-    pick = lambda df, n: df.select(*key, "feature_index", F.col("type").alias(f"type{n}"), F.col("parts").alias(f"parts{n}"), keys_of(F.col("properties")).alias(f"keys{n}"))
+    sorted_of = lambda c: F.array_sort(F.map_entries(c))
+    pick = lambda df, n: df.select(*key, "feature_index", F.col("type").alias(f"type{n}"), F.col("parts").alias(f"parts{n}"), sorted_of(F.col("properties")).alias(f"entries{n}"))
     both = pick(left, 1).join(fine, key, "left_semi").join(pick(right, 2).join(fine, key, "left_semi"), [*key, "feature_index"], "full")
-    checks = [("geometry-type", "type1", "type2"), ("coordinates", "parts1", "parts2"), ("properties", "keys1", "keys2")]
+    checks = [("geometry-type", "type1", "type2"), ("coordinates", "parts1", "parts2"), ("properties", "entries1", "entries2")]
     labels = F.filter(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(n)) for n, a, b in checks]), lambda x: x.isNotNull())
     return coarse.unionByName(both.select(*key, "feature_index", F.explode(labels).alias("dimension")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DETAILS = 10
@@ -10,10 +10,14 @@ MAX_DETAILS = 10
 
 def layer_issues(diagnostics: DataFrame, max_details: int = MAX_DETAILS) -> DataFrame:
     """One row for each (tile, layer, rule) with the number of issues and the first details."""
-    rows = diagnostics.where("location.layer is not null")
-    detail = F.struct("emit_seq", "message")
-    grouped = rows.groupBy("source_idx", F.col("location.layer").alias("layer"), "ruleId", "severity").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(detail)), 1, max_details).alias("d"))
-    return grouped.select("source_idx", "layer", "ruleId", "severity", "n", F.transform("d", lambda d: d["message"]).alias("details"))
+    key = ["source_idx", "layer", "ruleId", "severity"]
+    rows = diagnostics.where("location.layer is not null").select("source_idx", F.col("location.layer").alias("layer"), "ruleId", "severity", "emit_seq", "message")
+    # Capped before they are collected, so no group gathers more than it shows.
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("emit_seq", "message"))).where(F.col("_n") <= max_details)
+    shown = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_n", "message"))).alias("d"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    details = F.coalesce(F.transform("d", lambda d: d["message"]), F.array().cast("array<string>"))
+    return counts.join(shown, key, "left").select(*key, "n", details.alias("details"))
 
 
 def layer_report(layers: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -217,7 +217,8 @@ def _oracles() -> dict[str, str]:
         "mvt_light_layers": f"WITH {C1} SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY layer) - 1 AS layer_ord, layer, 2 AS version, 4096 AS extent, n AS n_features FROM layers",
         "mvt_corrupt_load_failed": f"""WITH {C1} SELECT tile, 'artifact/load-failed' AS "ruleId", 'error' AS severity FROM totals WHERE total = 0 OR tile % 5 = 0""",
         "decoder_crosscheck": f"""WITH {C1} SELECT tile, layer, NULL::INT AS feature_index, 'layer-names' AS dimension FROM layers WHERE layer = 'R' AND tile % 7 = 0
-          UNION ALL SELECT tile, layer, feature_index, 'coordinates' FROM c1 WHERE pk % 13 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)""",
+          UNION ALL SELECT tile, layer, feature_index, 'coordinates' FROM c1 WHERE pk % 13 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)
+          UNION ALL SELECT tile, layer, feature_index, 'properties' FROM c1 WHERE pk % 17 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)""",
         "offset_entries": f"WITH {_offsets()} SELECT * FROM en",
         "offset_histogram": f"WITH {_offsets()} SELECT bucket, {_RANK} AS rank, count(*) AS n FROM ax GROUP BY ALL",
         "offset_breakdowns": f"""WITH {_offsets()} SELECT CASE WHEN grouping(direction) = 0 THEN 'direction' WHEN grouping(layer) = 0 THEN 'layer' ELSE 'geometry_type' END AS grouping,

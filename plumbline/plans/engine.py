@@ -99,7 +99,7 @@ def infrastructure(artifacts: DataFrame) -> DataFrame:
     rows = lost.unionByName(failed)
     none = F.lit(None).cast("string")
     return rows.select(
-        "source_idx", F.lit(-1).alias("rule_idx"), F.array(F.lit(0).cast("long")).alias("emit_seq"), "ruleId", F.lit("error").alias("severity"), "message", _ref().alias("artifact"),
+        "source_idx", F.lit(-1).alias("rule_idx"), F.array(F.lit(0).cast("long")).alias("emit_seq"), "ruleId", F.lit("error").alias("severity"), "message",
         F.lit(None).cast(LOCATION).alias("location"), none.alias("suggestion"), none.alias("docsUrl"), none.alias("data"),
     )
 
@@ -126,15 +126,21 @@ def rule_diagnostics(frames: Frames, resolved: Resolved) -> list[DataFrame]:
             if found is None:
                 continue
             crashed = F.col("crashed") if "crashed" in found.columns else F.lit(False)
-            found = found.join(one.artifacts.select("source_idx", _ref().alias("artifact")), "source_idx")
             out.append(found.select(
                 "source_idx", F.lit(number).alias("rule_idx"), "emit_seq", F.when(crashed, F.lit(RULE_ERROR)).otherwise(F.lit(rule.id)).alias("ruleId"),
-                F.when(crashed, F.lit("error")).otherwise(F.lit(setting.severity)).alias("severity"), "message", "artifact", "location", "suggestion",
+                F.when(crashed, F.lit("error")).otherwise(F.lit(setting.severity)).alias("severity"), "message", "location", "suggestion",
                 F.when(~crashed, F.lit(rule.docs_url)).alias("docsUrl"), "data",
             ))
     return out
 
 
+def with_artifact(diagnostics: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Diagnostics with the reference to their artifact; best after the caps, which need none."""
+    joined = diagnostics.join(artifacts.select("source_idx", _ref().alias("artifact")), "source_idx")
+    at = diagnostics.columns.index("message") + 1
+    return joined.select(*diagnostics.columns[:at], "artifact", *diagnostics.columns[at:])
+
+
 def cap_details(diagnostics: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` rows of each artifact and rule, in order of emission; crashes are not counted out."""
     order = Window.partitionBy("source_idx", "rule_idx").orderBy("emit_seq")
@@ -218,8 +224,11 @@ class Engine:
         self.resolved = resolve([r for p in self.plugins for r in p.rules], config)
 
     def run(self, frames: Frames) -> RunResult:
-        """Diagnostics in report order and the summary row."""
+        """Diagnostics in report order and the summary row; rules are evaluated once for both.
+
+        The capped rows (``maxDiagnostics`` of them at most) are persisted.
+        """
         parts = rule_diagnostics(frames, self.resolved)
         found = reduce(DataFrame.unionByName, [infrastructure(frames.artifacts), *([cap_details(reduce(DataFrame.unionByName, parts), self.resolved.options["maxDetails"])] if parts else [])])
-        kept = cap_total(found, self.resolved.options["maxDiagnostics"])
+        kept = with_artifact(cap_total(found, self.resolved.options["maxDiagnostics"]), frames.artifacts).persist()
         return RunResult(sort_diagnostics(kept), summarize(kept, frames.artifacts, executions(frames, self.resolved)))

@@ -151,7 +151,8 @@ OVERRIDES = {
 
 def engine_union_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Two rules' diagnostics with their place in the report of their source."""
-    found = _diagnostics(c.tiles(spark, d), _engine(tile_rules.RULES, CAPPED))
+    frames = c.tiles(spark, d)
+    found = e.with_artifact(_diagnostics(frames, _engine(tile_rules.RULES, CAPPED)), frames.artifacts)
     place = F.row_number().over(Window.partitionBy("artifact.source").orderBy(*e.sort_keys()))
     return found.select(F.col("artifact.source").alias("source"), place.alias("place"), "ruleId", "severity", F.col("location.layer").alias("layer"), F.col("location.featureIndex").alias("feature_index"))
 
@@ -218,7 +219,8 @@ def decoder_crosscheck(spark: SparkSession, d: str) -> DataFrame:
     """Decoded tiles against their source rows with planted differences."""
     right = c.line_features(spark, d).where("not (layer = 'R' and source_idx % 7 = 0)")
     moved = F.transform("parts", lambda part: F.transform(part, lambda p: F.struct(p["x"].alias("x"), (p["y"] + 1).alias("y"))))
-    keyed = F.map_filter("properties", lambda k, v: k == "partkey")
+    other = lambda v: v.withField("n", F.when(F.col("l_partkey") % 17 == 0, v["n"] + 1).otherwise(v["n"]))
+    keyed = F.transform_values(F.map_filter("properties", lambda k, v: k == "partkey"), lambda k, v: other(v))
     right = right.withColumn("parts", F.when(F.col("l_partkey") % 13 == 0, moved).otherwise(F.col("parts"))).withColumn("properties", keyed)
     found = analytics.decoder_differences(_decoded(spark, d).features, right)
     return found.select(F.col("source_idx").alias("tile"), "layer", "feature_index", "dimension")

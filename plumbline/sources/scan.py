@@ -150,22 +150,36 @@ def load_styles(raw: DataFrame) -> Frames:
     return Frames(artifacts, None, None, styles.style_rows(readable), styles.style_layer_rows(readable))
 
 
-def load_sources(spark: SparkSession, sources: Iterable[str], timeout_ms: int = HTTP_TIMEOUT_MS, http: bool = True) -> Frames:
-    """Frames of a list of paths, URLs and inline styles, in their order."""
-    routed = route(source_frame(spark, sources)).persist()
+def load_sources(spark: SparkSession, sources: Iterable[str], timeout_ms: int = HTTP_TIMEOUT_MS, http: bool = True, plugins: Iterable[Plugin] | None = None) -> Frames:
+    """Frames of a list of paths, URLs and inline styles, in their order.
+
+    Sources go to the first provider of the plugins, in their order, that takes them. A provider
+    that is not built in loads rows ``(source_idx, source, content, read_error)`` itself.
+    """
+    providers = [p for plugin in (DEFAULT_PLUGINS if plugins is None else plugins) for p in plugin.providers]
+    routed = route(source_frame(spark, sources), providers).persist()
     remote = F.col("source").rlike("^https?://")
     inline = F.ltrim("source").rlike(r"^\s*[\[{]")
     files = read_files(spark, routed.where(F.col("provider").isNotNull() & ~remote & ~inline))
     urls = routed.where(F.col("provider").isNotNull() & remote)
     urls = fetch(urls, timeout_ms) if http else urls.select("*", F.lit(None).cast("binary").alias("content"), F.lit("HTTP scans are off").alias("read_error"))
     raw = files.unionByName(urls)
-    given = routed.where((F.col("provider") == "style") & inline).select("*", F.col("source").cast("binary").alias("content"), F.lit(None).cast("string").alias("read_error"))
+    given = routed.where(F.col("provider").isNotNull() & inline).select("*", F.col("source").cast("binary").alias("content"), F.lit(None).cast("string").alias("read_error"))
+    own = [p.load(raw.unionByName(given).where(F.col("provider") == p.id).select("source_idx", "source", "content", "read_error")) for p in providers if p not in (TILE_PROVIDER, STYLE_PROVIDER)]
+    given = given.where("provider = 'style'")
     tiles = load_tiles(raw.where("provider = 'tile'").select("source_idx", "source", "content", "read_error"))
     texts = raw.where("provider = 'style'").unionByName(given).select("source_idx", "source", F.decode("content", "UTF-8").alias("text"), "read_error")
     found = load_styles(texts)
     none = F.lit(None)
     lost = routed.where("provider is null").select("source_idx", "source", "artifact_type", none.cast("long").alias("bytes"), none.cast("long").alias("decoded_bytes"), none.cast("boolean").alias("gzipped"), none.cast("string").alias("load_error"))
-    return Frames(tiles.artifacts.unionByName(found.artifacts).unionByName(lost), tiles.layers, tiles.features, found.styles, found.style_layers)
+    built_in = Frames(tiles.artifacts.unionByName(found.artifacts).unionByName(lost), tiles.layers, tiles.features, found.styles, found.style_layers)
+    return reduce(joined, own, built_in)
+
+
+def joined(a: Frames, b: Frames) -> Frames:
+    """The tables of both."""
+    both = lambda x, y: y if x is None else x if y is None else x.unionByName(y, allowMissingColumns=True)
+    return Frames(*(both(getattr(a, n), getattr(b, n)) for n in ("artifacts", "layers", "features", "styles", "style_layers", "texts")))
 
 
 TILE_PROVIDER = Provider("tile", (VECTOR_TILE,), is_tile, load_tiles)

@@ -23,9 +23,10 @@ def tile_stream(spark: SparkSession, folder: str, pattern: str = "*.pbf") -> Dat
 
 
 def batch_frames(batch: DataFrame) -> DataFrame:
-    """Sources of a micro-batch, numbered by path."""
+    """Sources of a micro-batch, numbered by path. Only the paths are put in order; the bytes stay where they are."""
     order = Window.orderBy("path")
-    return batch.select((F.row_number().over(order) - 1).cast("long").alias("source_idx"), F.col("path").alias("source"), "content", F.lit(None).cast("string").alias("read_error"))
+    numbers = batch.select("path").distinct().select("path", (F.row_number().over(order) - 1).cast("long").alias("source_idx"))
+    return batch.join(numbers, "path").select("source_idx", F.col("path").alias("source"), "content", F.lit(None).cast("string").alias("read_error"))
 
 
 def watch(stream: DataFrame, sink: Callable[[RunResult, int], None], checkpoint: str, engine: Engine | None = None, once: bool = False) -> StreamingQuery:

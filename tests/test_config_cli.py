@@ -6,9 +6,12 @@ import json
 
 import pytest
 from helpers import POINT, feature, tile
+from pyspark.sql import functions as F
 
 from plumbline import cli
+from plumbline.model import Frames, finding
 from plumbline.plans import config, report
+from plumbline.plans.rules import Plugin, Provider, Rule
 
 
 def test_search_goes_up_and_takes_the_first_name(tmp_path):
@@ -77,3 +80,38 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["rules", "--format", "json"]) == 0
     assert len(json.loads(capsys.readouterr().out)) == 19
     assert cli.main(["rules"]) == 0
+
+
+def test_no_match_is_wrong_use_and_a_failing_reporter_ends_nothing(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "empty").mkdir()
+    assert cli.main(["check", "empty"]) == 2 and cli.main(["check", "*.pbf"]) == 2
+    assert "no files match" in capsys.readouterr().err
+
+    def broken(result, seconds):
+        raise OSError("disk full")
+
+    (tmp_path / "good.pbf").write_bytes(tile(a=[feature(POINT, [(1, 1)])]))
+    monkeypatch.setitem(report.REPORTERS, "broken", broken)
+    assert cli.main(["check", "good.pbf", "--reporter", "broken"]) == 0
+    assert "disk full" in capsys.readouterr().err
+
+
+def test_plugins_of_the_configuration_load_and_list_their_own(spark, tmp_path, monkeypatch, capsys):
+    def load(raw):
+        none = F.lit(None).cast("string")
+        return Frames(raw.select("source_idx", "source", F.lit("Note").alias("artifact_type"), F.length("content").cast("long").alias("bytes"), F.length("content").cast("long").alias("decoded_bytes"), F.lit(False).alias("gzipped"), none.alias("load_error")))
+
+    seen = Rule("note/seen", "Notes are seen.", "error", ("Note",), lambda frames, options: frames.artifacts.select(*finding([F.lit(0)], F.concat(F.lit("bytes: "), F.col("bytes").cast("string")))))
+    plugin = Plugin("note", providers=(Provider("note", ("Note",), lambda s: s.endswith(".txt"), load),), rules=(seen,))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(cli, "load_config", lambda *a: ({"plugins": [plugin]}, []))
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.txt").write_bytes(b"12345")
+    (tmp_path / "good.pbf").write_bytes(tile(a=[feature(POINT, [(1, 1)])]))
+    assert cli.main(["check", "a.txt", "good.pbf", "--reporter", "json"]) == 1
+    out = json.loads(capsys.readouterr().out)
+    assert [d["message"] for d in out["diagnostics"]] == ["bytes: 5"] and out["summary"]["errors"] == 1
+    assert cli.main(["rules", "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)[-1]["id"] == "note/seen"

@@ -151,6 +151,7 @@ def test_reports_and_writers(spark, rows, tmp_path):
     all_found = found[0]
     for part in found[1:]:
         all_found = all_found.unionByName(part)
+    all_found = e.with_artifact(all_found, frames.artifacts)
     issue = rows(reports.layer_issues(all_found))[0]
     assert issue["n"] == 12 and len(issue["details"]) == 10
     tiles = reports.tile_report(frames.artifacts, frames.layers, all_found)
