@@ -63,6 +63,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ordinals(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """``df`` with its place in ``order`` (1, 2, ...) as the column ``name``, and its number of rows.
+
+    Rows are range-partitioned and sorted, and each partition starts where the ones before it end, so
+    there is no window over all rows. The order should tell rows apart, else equal ones meet in a task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = unused(df, "at")
+    placed = write_stage(ranged.withColumn(at, F.monotonically_increasing_id()), "ordinals")
+    part = F.shiftright(F.col(at), 33)
+    sizes = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, rows = [], 0
+    for k, n in sorted(sizes.items()):
+        before.append((k, rows))
+        rows += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "part long, before long"))
+    found = placed.join(starts, part.cast("long") == starts["part"]).withColumn(name, starts["before"] + (F.col(at).bitwiseAND((1 << 33) - 1)) + 1)
+    return found.drop(at, "part", "before"), rows
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys with more than ``HOT_ROWS`` rows among the ``HOT_KEYS`` largest, as a frame of that size."""
     top = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col(key).isNotNull() & (F.col("rows") > HOT_ROWS))

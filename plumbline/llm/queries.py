@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, embedding, language, lm, mixing, secrets, simhash, suffixes, url_filter, warc
+from plumbline.llm import decontaminate, embedding, importance, language, lm, mixing, secrets, simhash, suffixes, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -90,6 +90,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "body_ok")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document towards the benchmark's words, and the ranks of the tenth that is drawn."""
+    docs, target = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text")
+    found = importance.importance(docs, target, max_order=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 OP9_SQL = rf"""
@@ -148,6 +155,43 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM p LEFT JOIN l USING (digest)
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+e AS (SELECT k, unnest(w) AS w FROM d),
+crc_table AS (
+  SELECT list(c ORDER BY i) AS c FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(i))),
+bytes AS (
+  SELECT w, list_transform(range(length(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT) AS x
+  FROM (SELECT w FROM e UNION SELECT w FROM b)),
+code AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, x), lambda a, y: xor(a >> 8, c[xor(a & 255, y) + 1]))) % 10000 AS bucket
+  FROM bytes, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN code USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN code USING (w) GROUP BY bucket),
+gain AS (
+  SELECT x.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) AS x(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weight AS (SELECT k, count(*) AS n, sum(gain)::BIGINT AS g FROM e JOIN code USING (w) JOIN gain USING (bucket) GROUP BY k),
+score AS (
+  SELECT k, doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM d LEFT JOIN weight USING (k)),
+ranked AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) END AS r FROM score)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN r <= 10 * (SELECT count(*) FROM score WHERE n_features >= 20) // 100 THEN r END AS rank
+FROM ranked
+"""
+
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -184,8 +228,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
+        "op11_importance_resample": op11_importance_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_importance_resample": OP11_SQL}
