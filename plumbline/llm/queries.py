@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, embedding, importance, language, lm, mixing, secrets, simhash, suffixes, url_filter, warc
+from plumbline.llm import decontaminate, embedding, importance, language, lm, mixing, packing, secrets, simhash, suffixes, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -97,6 +97,16 @@ def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 tokens and their places in as few sequences."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, end_id=0)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests, 2048, ["doc_id", "piece"])
+
+
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 OP9_SQL = rf"""
@@ -229,6 +239,7 @@ def queries() -> dict:
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
         "op11_importance_resample": op11_importance_resample,
+        "op12_best_fit_packing": op12_best_fit_packing,
     }
 
 
