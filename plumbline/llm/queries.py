@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, embedding, importance, language, lm, mixing, packing, secrets, simhash, suffixes, url_filter, warc
+from plumbline.llm import decontaminate, embedding, hard_negatives, importance, language, lm, mixing, packing, secrets, simhash, suffixes, url_filter, warc
 
 # The URL rules of the contract, as verdict, host and path.
 URL_RULES = [
@@ -107,6 +107,13 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, 2048, ["doc_id", "piece"])
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, for each of its five best positives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256.0)
+
+
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 OP9_SQL = rf"""
@@ -202,6 +209,27 @@ SELECT doc_id, n_features, weight, weight + noise AS score,
 FROM ranked
 """
 
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.k AS a, a.vec_id AS anchor_id, b.k AS b, b.vec_id, a.label = b.label AS same,
+    CASE WHEN len(a.e) = 0 THEN 0 ELSE list_inner_product(a.e, b.e) END::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.k <> b.k AND len(a.e) = len(b.e)),
+p AS (
+  SELECT a, anchor_id, b AS p, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.p ORDER BY score DESC, vec_id)::INT AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -240,8 +268,9 @@ def queries() -> dict:
         "op10_warc": op10_warc,
         "op11_importance_resample": op11_importance_resample,
         "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_importance_resample": OP11_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_warc": OP10_SQL, "op11_importance_resample": OP11_SQL, "op13_hard_negatives": OP13_SQL}
