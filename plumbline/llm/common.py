@@ -49,7 +49,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with its columns named in0, in1, ..., so that they cannot meet the names of a plan."""
-    return df.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(df.columns)])
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"in{i}") for i, c in enumerate(df.columns)])
 
 
 def restored(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands, a SimHash radius, an exact check.
-
-Texts with equal shingle sets are one class. Classes that share a band of MinHash values are
-candidates; a candidate pair that the sizes and the SimHash radius leave possible is confirmed on the
-shingles of both texts. Members of a band meet its smallest member first. Where that leaves a band in
-several components, the shingle sets of its members are laid together in blocks of bounded size, and
-the sizes of their intersections are counted there, so that no row is made for a pair of texts.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash search, MinHash bands, an exact check.
+
+Texts with equal shingle sets are one class, and one row of each is all that the search moves. First
+the segment-popcount search proposes classes whose fingerprints differ in a few bits, which joins most
+copies. For those that differ more, classes that share a band of MinHash values are candidates; a
+pair that the sizes and the SimHash radius leave possible is confirmed on the shingles of both texts.
+Members of a band meet its smallest member first. Where that leaves a band in several components, the
+shingle sets of its members are laid together in blocks of bounded size, and the sizes of their
+intersections are counted there, so that no row is made for a pair of texts.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, numbered, write_stage
-from plumbline.llm.simhash import _LOWER, first_of_each, with_least
+from plumbline.llm.common import connected_components, hot_join, numbered, write_stage
+from plumbline.llm.simhash import _LOWER, first_of_each, link_fingerprints, with_least
 
 #: Words of a shingle, and the least similarity of near copies as a ratio of whole numbers.
 SHINGLE, NEAR = 5, (4, 5)
@@ -91,14 +93,18 @@ def _possible(a: str, b: str):
     return (NEAR[1] * low >= NEAR[0] * high) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
 
 
-def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One written row ``(cls, text)`` for each class that occurs in ``wanted``."""
-    return write_stage(texts.join(wanted.distinct(), "cls").dropDuplicates(["cls"]), "near-texts")
+def texts_of(classes: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One written row ``(cls, text)`` for each class that occurs in ``wanted``.
+
+    ``classes`` names one row of ``texts`` for each class, and the texts are joined by it, so copies stay where they are.
+    """
+    rows = classes.join(wanted.distinct(), "cls").select("cls", "row")
+    return write_stage(rows.join(texts, "row").select("cls", "text"), "near-texts")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The written pairs ``(a, b)`` of classes whose shingle sets are similar; ``texts`` has ``(cls, text)``."""
-    held = texts_of(texts, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The written pairs ``(a, b)`` of classes whose shingle sets are similar; see :func:`texts_of`."""
+    held = texts_of(classes, texts, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(maxsize=64)(shingle_set)
@@ -138,7 +144,7 @@ def links_between(sets: list[np.ndarray], roots: np.ndarray, apart: np.ndarray,
     return np.concatenate([none, *starts]), np.concatenate([none, *stops])
 
 
-def links_in_bands(placed: DataFrame, texts: DataFrame) -> DataFrame:
+def links_in_bands(placed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Written links ``(a, b)`` that join the components of each band's similar members.
 
     ``placed`` is written and has ``(band, cls, n, root, main)``. A band of more than ``WEIGHT``
@@ -150,9 +156,9 @@ def links_in_bands(placed: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.array([shingle_set(v.as_py()).tobytes() for v in batch], pa.binary())
 
-    sets = write_stage(texts_of(texts, placed.select("cls")).select("cls", packed("text").alias("hashes")), "near-sets")
+    sets = write_stage(texts_of(classes, texts, placed.select("cls")).select("cls", packed("text").alias("hashes")), "near-sets")
     blocks = placed.groupBy("band").agg(F.ceil(F.sum("n") / WEIGHT).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = hot_join(placed, blocks, "band").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("band", "cls", "root", (F.col("root") != F.col("main")).alias("apart"), "block", other)
     dealt = dealt.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other").join(sets, "cls")
@@ -166,22 +172,46 @@ def links_in_bands(placed: DataFrame, texts: DataFrame) -> DataFrame:
     return write_stage(dealt.groupBy("band", "i", "j").applyInArrow(search, "a long, b long").distinct(), "near-links")
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that the search of close fingerprints proposes.
+
+    Each fingerprint's smallest class stands for it; others with the same fingerprint meet that one.
+    """
+    first = write_stage(classes.groupBy("fp").agg(F.min("cls").alias("first")), "near-prints")
+    equal = hot_join(classes.select("fp", "cls"), first, "fp").where("cls <> first").select(F.col("first").alias("x"), F.col("cls").alias("y"))
+    edges = link_fingerprints(classes.select("fp"), "fp")
+    near = edges.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return equal.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def with_root(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Written ``members`` with the ``root`` of their class ``cls`` in the components of ``links``."""
+    roots = connected_components(links).withColumnRenamed("node", "cls")
+    found = members.join(roots, "cls", "left").withColumn("root", F.coalesce("component", "cls")).drop("component")
+    return write_stage(found, "near-placed")
+
+
 def class_links(marked: DataFrame, mark: str, text_col: str) -> DataFrame:
-    """Links ``(a, b)`` between classes whose components are those of all confirmed candidate pairs."""
-    texts = marked.select(F.col(f"{mark}.cls").alias("cls"), F.col(text_col).alias("text"))
-    own = F.struct("cls", "fp", "n").alias("own")
-    dealt = marked.select(f"{mark}.*").dropDuplicates(["cls"]).select(own, F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("own").alias("rep")).where("size > 1")
-    members = write_stage(dealt.join(shared, "band").select("band", "own", "rep"), "near-bands")
+    """Links ``(a, b)`` between classes whose components are those of all confirmed candidate pairs; ``marked`` has a unique ``row``."""
+    texts = marked.select("row", F.col(text_col).alias("text"))
+    one = marked.groupBy(F.col(f"{mark}.cls").alias("cls")).agg(F.min("row").alias("row"))
+    classes = write_stage(one.join(marked.select("row", f"{mark}.fp", f"{mark}.n", f"{mark}.bands"), "row"), "near-classes")
+    links = confirmed(write_stage(fingerprint_pairs(classes), "near-pairs"), classes, texts)
+
+    own = with_root(classes.select("cls", "fp", "n", "bands"), links).select(F.struct("cls", "fp", "n", "root").alias("own"), F.explode("bands").alias("band"))
+    own = write_stage(own, "near-bands")
+    shared = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("own").alias("rep")).where("size > 1")
+    members = write_stage(hot_join(own, shared.drop("size"), "band"), "near-members")
+    met = members.select(F.col("rep").alias("x"), F.col("own").alias("y")).where("x.root <> y.root")
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-    met = members.select(F.col("rep").alias("x"), F.col("own").alias("y")).where("x.cls <> y.cls")
-    links = confirmed(write_stage(met.where(_possible("x", "y")).select(*pair).distinct(), "near-pairs"), texts)
-    roots = connected_components(links)
-    placed = members.join(roots, F.col("own.cls") == F.col("node"), "left").select("band", "own.cls", "own.n", F.coalesce("component", "own.cls").alias("root"))
-    placed = write_stage(placed, "near-placed")
-    mixed = placed.groupBy("band").agg(F.mode("root").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    placed = write_stage(placed.join(mixed.select("band", "main"), "band"), "near-mixed")
-    return links.union(links_in_bands(placed, texts))
+    more = confirmed(write_stage(met.where(_possible("x", "y")).select(*pair).distinct(), "near-pairs"), classes, texts)
+
+    links = write_stage(links.union(more), "near-links")
+    placed = with_root(members.select("band", "own.cls", "own.n"), links)
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    placed = write_stage(hot_join(placed, mixed.select("band", F.col("main.root").alias("main")), "band"), "near-mixed")
+    return links.union(links_in_bands(placed, classes, texts))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +223,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gives an empty result. Columns are those of ``docs``, whatever their names.
     """
     id_in, text_in = (f"in{docs.columns.index(c)}" for c in (id_col, text_col))
-    marked = write_stage(with_marks(numbered(docs), text_in, "near").withColumn("cls", F.col("near.cls")), "near-docs")
+    marked = with_marks(numbered(docs), text_in, "near").withColumn("cls", F.col("near.cls"))
+    marked = write_stage(marked.withColumn("row", F.monotonically_increasing_id()), "near-docs")
     roots = connected_components(class_links(marked, "near", text_in))
     classes = with_least(marked.groupBy("cls").agg(F.min(id_in).alias("first_id")), roots, "cls")
     return first_of_each(marked, classes, "cls", docs.columns, id_in, text_in)

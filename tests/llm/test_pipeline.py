@@ -57,12 +57,20 @@ def test_run_equals_the_stages_and_keeps_every_document(spark, folder):
 def test_stages_on_empty_tables_and_extra_columns(spark, folder):
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(1) for c in ("score", "fp", "item_id", "spans", "slot", "lang_pred", "cell", "n_tokens")})
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = {"score": F.lit(7.5), "lang_pred": F.lit("mine"), "spans": F.lit("own"), "n_hex": F.lit(-1), "_hit": F.lit(True), "hit": F.lit(3), "a.b": F.col("doc_id") * 2, "in1": F.lit("x"), "fp": F.lit(1), "cls": F.lit(2), "row": F.lit(0),
+             "item_id": F.lit("i"), "slot": F.lit(9), "cell": F.lit(1), "n_tokens": F.lit(1), "root": F.lit(5), "near": F.lit(6)}
+    docs = docs.withColumns(extra)
     for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in rows.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, rows, folder)
-            assert out.columns == rows.columns
-            assert (out.count() == 0) == rows.isEmpty()
+            assert out.schema.simpleString() == rows.schema.simpleString()
+            found = out.collect()
+            assert (not found) == rows.isEmpty()
+            for r in found:
+                own = before[r.doc_id]
+                assert all(r[c] == own[c] for c in rows.columns if name != "secret scans" or c not in ("text", "n_chars")), name
         assert (corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() == 0) == rows.isEmpty()
 
 
