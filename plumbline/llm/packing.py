@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +29,12 @@ from plumbline.llm.common import ordinals, unused, write_stage
 
 #: Bytes of text that are tokenised at a time (a longer text alone).
 CHUNK_BYTES = 4 << 20
-#: Words whose ids a Python worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 500_000, 64
+#: Words whose ids a Python worker remembers, and the tokens of all of them; beyond either it starts anew.
+REMEMBERED, REMEMBERED_IDS = 600_000, 4 << 20
+#: Words that are encoded in one text, a line each.
+LINES = 1024
+#: Words that a line feed parts from others like them: no line feed inside, no blank at the ends but one space that begins them.
+PLAIN = re.compile("\x20?[^\\s\u180e\u200b\ufeff](?:.*[^\\s\u180e\u200b\ufeff])?")
 #: A length's ranks are cut into this many cells for the join with its runs.
 CELLS = 256
 
@@ -42,13 +47,16 @@ def _table(values: Iterable[int]) -> np.ndarray:
 
 #: Bytes of white space and of controls that some count as such, and first bytes of the characters among which other white space is.
 _BLANK, _LEAD = _table([*range(9, 14), *range(28, 33)]), _table([0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+#: Marks that end a word, ASCII letters, and second bytes of the characters from U+00C0 that are letters (all but two signs).
+_MARK, _LETTER, _LATIN = _table(b".,;:!?"), _table([*range(65, 91), *range(97, 123)]), _table({*range(0x80, 0xC0)} - {0x97, 0xB7})
 
 
 def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places where the UTF-8 texts ``data``, beginning at ``starts``, may be cut without a change of tokens.
 
     These are the ends of texts, a single space between characters that are not blank (it begins a token
-    with what follows), and both sides of a single line feed between such (a token of its own).
+    with what follows), both sides of a single line feed between such (a token of its own), and what stands
+    between a letter and a mark such as a comma (no token holds both).
     """
     marks = np.zeros(len(data) + 1, bool)
     marks[starts] = True
@@ -63,6 +71,9 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         marks[at] = True
         if byte == 10:
             marks[at + 1] = True
+    at = np.flatnonzero(_MARK[data])
+    last = padded[at + 2]
+    marks[at[_LETTER[last] | (_LATIN[last] & (padded[at + 1] == 0xC3))]] = True
     return np.flatnonzero(marks)
 
 
@@ -73,17 +84,37 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        found = [self.known.get(w) if w in self.known else ids[w] for w in words]
-        self.known |= {w: i for w, i in ids.items() if len(w) <= LONGEST}
-        return found
+        self.tokenizer = Tokenizer.from_file(path)
+        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are not known: plain ones many at a time, parted by line feeds."""
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        odd = [w for w in words if not PLAIN.fullmatch(w)] if len(plain) < len(words) else []
+        lines = ["\n".join(plain[i : i + LINES]) + "\n" for i in range(0, len(plain), LINES)]
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([*lines, *odd], add_special_tokens=False)]
+        tokens = np.concatenate([np.zeros(0, "<u4"), *found[: len(lines)]])
+        feeds = tokens == self.line_feed
+        ends = np.cumsum(~feeds)[feeds]
+        size = np.r_[np.diff(ends, prepend=0), [len(x) for x in found[len(lines) :]]].astype(np.int64)
+        ids = np.concatenate([tokens[~feeds], *found[len(lines) :]])
+        self.place.update(zip([*plain, *odd], range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
+        self.size, self.ids = np.r_[self.size, size], np.r_[self.ids, ids]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The places of distinct words in ``first`` and ``size``."""
+        if len(self.size) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            self.forget()
+        new = [w for w in words if w not in self.place]
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def texts(self, data: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the number of each text's."""
@@ -91,12 +122,10 @@ class Encoder:
         words = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
         coded = words.dictionary_encode()
         code = coded.indices.to_numpy()
-        ids = self.words(coded.dictionary.to_pylist())
-        size = np.fromiter((len(i) >> 2 for i in ids), np.int64, len(ids))
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        own = size[code]
+        place = self.words(coded.dictionary.to_pylist())[code]
+        own = self.size[place]
         ends = np.cumsum(own)
-        tokens = flat[np.repeat(first[code] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        tokens = self.ids[np.repeat(self.first[place] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
         until = np.r_[0, ends][np.searchsorted(at, np.r_[starts[1:], len(data)])]
         return np.insert(tokens, until, end_id).astype("<u4"), np.diff(until, prepend=0) + 1
 

@@ -17,7 +17,7 @@ from plumbline.llm import packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 OWN = Tokenizer.from_file(PATH)
-ODD = ["", " ", "\n", "a\nb", "a\n b", "a \nb", "a  b", " a b ", "it's  the\tend\r\n", "x y z", "x 　y", "café été   b", "a <|endoftext|> b", "<|endoftext|>", "你好 世界", "1 22 333", "!! ?? a", "a\x1cb c", "\x85 a", "\U0001f600 \U0001f601"]
+ODD = ["", " ", "\n", "a\nb", "a\n b", "a \nb", "a  b", " a b ", "it's  the\tend\r\n", "x y z", "x 　y", "café été   b", "a <|endoftext|> b", "<|endoftext|>", "你好 世界", "1 22 333", "!! ?? a", "a\x1cb c", "\x85 a", "\U0001f600 \U0001f601", "x...,y.", "é.", "×. ”. b!", "don't!'s a.'s", "ab,'ll"]
 
 
 def texts_of(texts):
@@ -33,11 +33,20 @@ def test_ids_equal_the_tokenizer_on_odd_texts():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r  　\x1fab'sZ9.,-éЖ你\U0001f600"), max_size=30), min_size=1, max_size=5))
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r  　\x1fab'sZ9.,-é×”Ж你\U0001f600"), max_size=30), min_size=1, max_size=5))
 def test_ids_equal_the_tokenizer(texts):
     assert texts_of(texts) == [[*OWN.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_ids_stay_when_the_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    own = packing.Encoder(PATH)
+    for _ in range(3):
+        for t in ODD:
+            data = np.frombuffer(t.encode(), np.uint8)
+            assert own.texts(data, np.array([0]), 7)[0].tolist() == [*OWN.encode(t, add_special_tokens=False).ids, 7]
+
+
 def one_by_one(counts, size):
     rooms = Counter()
     n = 0
