@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import random
 import re
 import struct
+import time
 
 import pytest
 
@@ -193,3 +195,49 @@ def test_columns_of_any_name(spark, rows):
     docs = spark.createDataFrame([(1, "token=abcdefgh", "a", "b")], "doc_id long, text string, _s string, spans_of_text string")
     (r,) = rows(secrets.scan_secrets(docs))
     assert (r["_s"], r["spans_of_text"], r["n_assign"]) == ("a", "b", 1)
+
+
+def _hostile() -> dict[str, str]:
+    """Texts of a million characters that would make a careless scan read the same letters again and again."""
+    n = 1_000_000
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"x" * 33).decode()
+    rsa = base64.b64encode(b"\0\0\0\7ssh-rsa" + b"\0\0\0\1a" + b"\0\0\0\x18" + b"y" * 24 + b"\0\0\0\0").decode()
+    lines = n // 65
+    der = [base64.b64encode(b"\x30\x83" + ((lines - i) * 48 - 5).to_bytes(3, "big") + b"\x05\x00" * 21 + b"\x05").decode() for i in range(lines)]
+    return {
+        "labels": "-----BEGIN " + "KEY" * (n // 3), "certificates": "-----BEGIN " + "CERTIFICATE" * (n // 11), "begins": "-----BEGIN KEY-----\n" * (n // 20),
+        "begins in headers": "-----BEGIN KEY-----\nX: " * (n // 23), "headers": "-----BEGIN KEY-----\n" + "A: b\n" * (n // 5),
+        "encrypted": "-----BEGIN KEY-----\n" + "Proc-Type: 4,ENCRYPTED\n" * (n // 23) + "\nAAAA\n-----END KEY-----",
+        "backslashes": "-----BEGIN KEY-----" + "\\" * n, "lines and backslashes": "A" * 20 + "\\" * n, "openssh": (ssh[:63] + "\n") * (n // 64), "openssh, odd": (ssh + "b\n") * (n // 66) + "x",
+        "ssh": (rsa + "\n") * (n // 65) + rsa[:-8] + "////////", "der": "\n".join(der), "dots": "eyJ." * (n // 4), "short lines": "A\n" * (n // 2), "lines": ("M" * 64 + "\n") * lines,
+        "hex": "30" * (n // 2), "words": "password" * (n // 8),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(_hostile()))
+def test_hostile_texts_take_seconds(name):
+    text = _hostile()[name]
+    began = time.process_time()
+    secrets.find_spans(text)
+    assert time.process_time() - began < (2 if name not in ("ssh", "der") else 4)
+
+
+def test_elements_are_settled_once():
+    """The shared walk agrees with the plain one wherever a sequence begins and ends."""
+    rng = random.Random(3)
+
+    def element(depth: int) -> bytes:
+        inner = b"".join(element(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 4 and rng.random() < 0.5 else None
+        body = rng.randbytes(rng.randint(0, 9)) if inner is None else inner
+        tag = b"\x30" if inner is not None else rng.choice([b"\x02", b"\x05", b"\x06"])
+        return tag + (bytes([len(body)]) if len(body) < 128 else bytes([0x81, len(body)]) if len(body) < 256 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+    for _ in range(60):
+        data = bytearray(b"".join(element(0) for _ in range(6)))
+        for _ in range(rng.randint(0, 2)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        data, shared = bytes(data), None
+        shared = secrets.Nested(data)
+        for _ in range(200):
+            a, b = sorted((rng.randint(0, len(data)), rng.randint(0, len(data))))
+            assert shared.key(a, b) == secrets.key_der(data[a:b])
