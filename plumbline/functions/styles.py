@@ -1,113 +1,105 @@
-"""Map styles: strict JSON into kind-tagged columns."""
+"""Map styles: strict JSON as VARIANT, read into kind-tagged columns inside the JVM.
 
-from __future__ import annotations
+Numbers are JSON's own (no NaN, no leading zeros), nothing may follow the value, and of a repeated key the
+last value counts. Texts nested more than a thousand deep are taken as broken.
+"""
 
-import json
-from collections.abc import Iterator
-from typing import Any
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import EMPTY_STYLE, INVALID_STYLE, STYLE
 
-_LAYER = pa.struct([
-    ("raw_index", pa.int32()), ("record_index", pa.int32()), ("kind", pa.string()), ("id_kind", pa.string()), ("id", pa.string()),
-    ("source_kind", pa.string()), ("source_name", pa.string()), ("minzoom_kind", pa.string()), ("minzoom", pa.float64()),
-    ("maxzoom_kind", pa.string()), ("maxzoom", pa.float64()), ("has_ref", pa.bool_()), ("ref_text", pa.string()),
-])
-_STYLE = pa.struct([
-    ("artifact_type", pa.string()), ("error", pa.string()), ("version_kind", pa.string()), ("version_number", pa.float64()), ("version_text", pa.string()),
-    ("sources_kind", pa.string()), ("sources_text", pa.string()), ("source_names", pa.list_(pa.string())), ("layers_kind", pa.string()), ("layers_text", pa.string()),
-    ("layers", pa.list_(_LAYER)),
-])
-STYLE_TYPE = (
-    "struct<artifact_type:string,error:string,version_kind:string,version_number:double,version_text:string,sources_kind:string,sources_text:string,"
-    "source_names:array<string>,layers_kind:string,layers_text:string,layers:array<struct<raw_index:int,record_index:int,kind:string,id_kind:string,id:string,"
-    "source_kind:string,source_name:string,minzoom_kind:string,minzoom:double,maxzoom_kind:string,maxzoom:double,has_ref:boolean,ref_text:string>>>"
-)
-_MISSING = object()
-
-
-def json_kind(value: Any) -> str:
-    """Kind of a parsed JSON value; ``undefined`` for a key that is not there."""
-    if value is _MISSING:
-        return "undefined"
-    if value is None:
-        return "null"
-    for kind, types in (("boolean", bool), ("number", (int, float)), ("string", str), ("array", list)):
-        if isinstance(value, types):
-            return kind
-    return "object"
-
-
-def as_text(value: Any) -> str:
+#: Arrays within arrays that a message's text still spells out.
+TEXT_DEPTH = 3
+#: Doubles from here on are not written out digit by digit.
+LONG_NUMBER = 1e21
+
+
+def parsed_json(text: Column) -> Column:
+    """VARIANT of a whole text, null where it is no JSON.
+
+    The parser stops after one value, so the text is read as the first of two entries of an array; the
+    second is a digest of the text, which no text can hold itself.
+    """
+    mark = F.sha2(text, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = (F.size(F.try_variant_get(pair, "$", "array<variant>")) == 2) & (F.try_variant_get(pair, "$[1]", "string") == mark)
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+
+def get(value: Column, key: str) -> Column:
+    """The VARIANT under a key; null where there is none."""
+    return F.try_variant_get(value, f"$.{key}", "variant")
+
+
+def entries(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def members(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def json_kind(value: Column) -> Column:
+    """Kind of a VARIANT; ``undefined`` where there is none."""
+    kind = F.schema_of_variant(value)
+    named = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number")
+    return F.when(value.isNull(), "undefined").otherwise(named)
+
+
+def as_number(value: Column) -> Column:
+    """The number of a VARIANT that is one."""
+    return F.when(json_kind(value) == "number", F.try_variant_get(value, "$", "double"))
+
+
+def as_string(value: Column) -> Column:
+    """The text of a VARIANT that is a string."""
+    return F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string"))
+
+
+def as_text(value: Column, depth: int = TEXT_DEPTH) -> Column:
     """The text that a message shows for a value."""
-    kind = json_kind(value)
-    if kind in ("undefined", "null"):
-        return kind
-    if kind == "boolean":
-        return "true" if value else "false"
-    if kind == "number":
-        return str(int(value)) if float(value).is_integer() and abs(value) < 1e21 else repr(float(value))
-    if kind == "array":
-        return ",".join("" if v is None else as_text(v) for v in value)
-    return "[object Object]" if kind == "object" else value
-
-
-def _no_constant(name: str) -> None:
-    raise ValueError(f"{name} is not JSON")
-
-
-def strict_json(text: str) -> Any:
-    """JSON without NaN and Infinity; of a repeated key the last value counts."""
-    return json.loads(text, parse_constant=_no_constant)
-
-
-def _number(value: Any) -> float | None:
-    return float(value) if json_kind(value) == "number" else None
-
-
-def read_style(text: str) -> dict:
-    """Kind-tagged columns of a style text; parse failures are data, not errors."""
-    empty = {"artifact_type": EMPTY_STYLE, "error": None}
-    if not text.strip():
-        return empty
-    try:
-        root = strict_json(text)
-    except (ValueError, RecursionError) as error:
-        return empty | {"artifact_type": INVALID_STYLE, "error": str(error)}
-    if not isinstance(root, dict):
-        root = {"value": root}
-    version, sources, layers = (root.get(k, _MISSING) for k in ("version", "sources", "layers"))
-    rows, records = [], 0
-    for i, layer in enumerate(layers if isinstance(layers, list) else []):
-        record = isinstance(layer, dict)
-        get = (lambda k, own=layer: own.get(k, _MISSING)) if record else (lambda k: _MISSING)
-        text_of = lambda v: v if isinstance(v, str) else None
-        rows.append({
-            "raw_index": i, "record_index": records if record else None, "kind": json_kind(layer), "id_kind": json_kind(get("id")), "id": text_of(get("id")),
-            "source_kind": json_kind(get("source")), "source_name": text_of(get("source")), "minzoom_kind": json_kind(get("minzoom")), "minzoom": _number(get("minzoom")),
-            "maxzoom_kind": json_kind(get("maxzoom")), "maxzoom": _number(get("maxzoom")), "has_ref": get("ref") is not _MISSING, "ref_text": as_text(get("ref")),
-        })
-        records += record
-    return {
-        "artifact_type": STYLE, "error": None, "version_kind": json_kind(version), "version_number": _number(version), "version_text": as_text(version),
-        "sources_kind": json_kind(sources), "sources_text": as_text(sources), "source_names": list(sources) if isinstance(sources, dict) else None,
-        "layers_kind": json_kind(layers), "layers_text": as_text(layers), "layers": rows,
-    }
-
-
-def load(text: Column) -> Column:
-    """Struct of a style's checked keys and layers."""
-
-    @F.arrow_udf(STYLE_TYPE)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([read_style(v.as_py() or "") for v in batch], _STYLE)
-
-    return run(text)
+    kind, number = F.schema_of_variant(value), F.try_variant_get(value, "$", "double")
+    digits = F.when((number == F.floor(number)) & (F.abs(number) < LONG_NUMBER), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+    text = F.when(value.isNull(), "undefined").when(kind == "VOID", "null").when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "string")).when(kind.startswith("OBJECT"), "[object Object]")
+    if depth:
+        inner = lambda v: F.when(F.is_variant_null(v), "").otherwise(as_text(v, depth - 1))
+        text = text.when(kind.startswith("ARRAY"), F.array_join(F.transform(entries(value), inner), ","))
+    return text.otherwise(digits)
+
+
+def layer_columns(layers: Column) -> Column:
+    """A struct for each entry of an array of VARIANTs; ``record_index`` counts objects alone."""
+    others = F.filter(F.transform(layers, lambda v, i: F.when(members(v).isNull(), i)), lambda i: i.isNotNull())
+
+    def row(v: Column, i: Column) -> Column:
+        record = members(v).isNotNull()
+        ident, source, least, most, ref = (get(v, k) for k in ("id", "source", "minzoom", "maxzoom", "ref"))
+        return F.struct(
+            i.alias("raw_index"), F.when(record, i - F.size(F.filter(others, lambda k: k < i))).alias("record_index"), json_kind(v).alias("kind"), json_kind(ident).alias("id_kind"), as_string(ident).alias("id"),
+            json_kind(source).alias("source_kind"), as_string(source).alias("source_name"), json_kind(least).alias("minzoom_kind"), as_number(least).alias("minzoom"),
+            json_kind(most).alias("maxzoom_kind"), as_number(most).alias("maxzoom"), ref.isNotNull().alias("has_ref"), as_text(ref).alias("ref_text"),
+        )
+
+    return F.transform(layers, row)
+
+
+def load(raw: DataFrame, text: str = "text", out: str = "style") -> DataFrame:
+    """Append the struct of a style's checked keys and layers; a text that is no JSON is data, not an error."""
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    body = F.coalesce(text, F.lit(""))
+    blank = body.rlike(r"(?U)^\s*$")
+    root = F.col(f"{out}_root")
+    version, sources, layers = (get(root, k) for k in ("version", "sources", "layers"))
+    kind = F.when(blank, EMPTY_STYLE).when(root.isNull(), INVALID_STYLE).otherwise(STYLE)
+    found = F.struct(
+        kind.alias("artifact_type"), F.when(kind == INVALID_STYLE, F.lit("the text is not one JSON value")).alias("error"), json_kind(version).alias("version_kind"), as_number(version).alias("version_number"), as_text(version).alias("version_text"),
+        F.when(members(sources).isNotNull(), "object").otherwise(json_kind(sources)).alias("sources_kind"), as_text(sources).alias("sources_text"), F.map_keys(members(sources)).alias("source_names"),
+        F.when(entries(layers).isNotNull(), "array").otherwise(json_kind(layers)).alias("layers_kind"), F.when(entries(layers).isNull(), as_text(layers)).otherwise("").alias("layers_text"), F.coalesce(layer_columns(entries(layers)), F.array()).alias("layers"),
+    )
+    return raw.withColumn(f"{out}_root", F.when(~blank, parsed_json(body))).withColumn(out, found).drop(f"{out}_root")
 
 
 def style_rows(loaded: DataFrame, style: str = "style") -> DataFrame:

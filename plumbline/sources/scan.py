@@ -142,7 +142,7 @@ def load_tiles(raw: DataFrame, light: bool = False, int_zigzag: bool = False) ->
 
 def load_styles(raw: DataFrame) -> Frames:
     """Frames of ``(source_idx, source, text, read_error)`` rows of styles."""
-    parsed = raw.withColumn("style", styles.load(F.col("text"))).persist()
+    parsed = styles.load(raw).persist()
     kind = F.when(F.col("read_error").isNotNull(), F.lit(STYLE)).otherwise(F.col("style.artifact_type"))
     size = F.when(F.col("style.artifact_type") == EMPTY_STYLE, F.lit(0)).otherwise(F.octet_length("text")).cast("long")
     artifacts = parsed.select("source_idx", "source", kind.alias("artifact_type"), size.alias("bytes"), size.alias("decoded_bytes"), F.lit(False).alias("gzipped"), F.coalesce("read_error", F.when(F.col("style.artifact_type") == INVALID_STYLE, F.col("style.error"))).alias("load_error"))

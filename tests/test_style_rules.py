@@ -7,6 +7,8 @@ import json
 import pytest
 from helpers import ids, run, style_frames
 
+from plumbline.sources import scan
+
 BASE = {"version": 8, "sources": {"s": {}}, "layers": [{"id": "a", "source": "s"}]}
 
 
@@ -57,3 +59,34 @@ def test_a_warning_passes_and_messages_carry_values(spark):
     assert summary["pass"] and summary["warnings"] == 1 and found[0]["severity"] == "warning"
     found, _ = run(style_frames(spark, json.dumps(BASE | {"layers": {"x": 1}})))
     assert found[0]["message"] == "Style layers must be an array, not [object Object]."
+
+
+@pytest.mark.parametrize("text", ["1] , [2", '{"version":8},{"version":8}', '{} "x"', "// no\n{}", "{'version':8}", "01", " {}", '{"a":"x\ty"}', "[" * 1500 + "]" * 1500])
+def test_only_one_whole_value_is_json(spark, text):
+    found, _ = run(style_frames(spark, text))
+    assert ids(found) == ["style/valid-json"]
+
+
+def test_columns_of_a_style(spark, rows):
+    layers = [{"id": "a", "source": 5, "minzoom": 1.5, "maxzoom": "x", "ref": [1, [2, None, [True]], {}]}, None, {"id": None, "ref": 1e21}, [], {"minzoom": 12345678901, "ref": -0.5}]
+    text = json.dumps({"version": [8.0, "x"], "sources": {"b": None, "a.b": {}}, "layers": layers})
+    frames = style_frames(spark, text, json.dumps({"version": True, "layers": "no", "sources": [{}, None, 3]}), '"text"', "null")
+    styles = sorted(rows(frames.styles), key=lambda r: r["source_idx"])
+    assert [(s["version_kind"], s["version_text"], s["sources_kind"], s["sources_text"], s["layers_kind"]) for s in styles] == [
+        ("array", "8,x", "object", "[object Object]", "array"), ("boolean", "true", "array", "[object Object],,3", "string"), *[("undefined", "undefined", "undefined", "undefined", "undefined")] * 2]
+    assert sorted(styles[0]["source_names"]) == ["a.b", "b"] and styles[1]["source_names"] is None
+    found = sorted(rows(frames.style_layers), key=lambda r: r["raw_index"])
+    keys = ("kind", "record_index", "id_kind", "id", "source_kind", "minzoom", "maxzoom_kind", "has_ref", "ref_text")
+    assert [tuple(r[k] for k in keys) for r in found] == [
+        ("object", 0, "string", "a", "number", 1.5, "string", True, "1,2,,true,[object Object]"),
+        ("null", None, "undefined", None, "undefined", None, "undefined", False, "undefined"),
+        ("object", 1, "null", None, "undefined", None, "undefined", True, "1.0E21"),
+        ("array", None, "undefined", None, "undefined", None, "undefined", False, "undefined"),
+        ("object", 2, "undefined", None, "undefined", 12345678901.0, "undefined", True, "-0.5"),
+    ]
+
+
+def test_styles_are_read_without_python(spark):
+    raw = spark.createDataFrame([(0, "s", "{}", None)], "source_idx long, source string, text string, read_error string")
+    plan = scan.load_styles(raw).style_layers._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
