@@ -117,6 +117,11 @@ _ORD = "CASE layer WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
 _BENCH = ", ".join(str(r) for r in BENCH_ROWS)
 
 
+_CROSSCHECK = f"""WITH {C1} SELECT tile, layer, NULL::INT AS feature_index, 'layer-names' AS dimension FROM layers WHERE layer = 'R' AND tile % 7 = 0
+  UNION ALL SELECT tile, layer, feature_index, 'coordinates' FROM c1 WHERE pk % 13 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)
+  UNION ALL SELECT tile, layer, feature_index, 'properties' FROM c1 WHERE pk % 17 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)"""
+
+
 def _shoelace(term: str, more: str = "") -> str:
     return f"""WITH {c2(16)},
 e AS (SELECT q.tile, q.feature_index, q.x AS px, q.y AS py, r.x AS qx, r.y AS qy FROM pt q JOIN pt r
@@ -135,7 +140,7 @@ CASTS = {
     "viewport_project": {"feature_index": "INT"}, "geometry_walk": {"n_points": "INT"}, "overlay_resolve": {"feature_index": "INT"}, "engine_union_sorted": {"place": "INT"},
     "engine_overrides": {"feature_index": "INT"}, "engine_summary": {"infos": "BIGINT"}, "engine_summary_truncated": {"infos": "BIGINT"}, "tile_pyramid": {"x": "INT", "y": "INT"},
     "mvt_roundtrip_features": {"feature_index": "INT"}, "mvt_roundtrip_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"},
-    "mvt_light_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"}, "decoder_crosscheck": {"feature_index": "INT"}, "offset_entries": {"point_index": "INT"},
+    "mvt_light_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"}, "decoder_crosscheck": {"feature_index": "INT"}, "decoder_digest_tree": {"feature_index": "INT"}, "offset_entries": {"point_index": "INT"},
     "cross_provider_identity": {"feature_index": "INT"}, "ring_root_cause": {"first": "INT", "second": "INT", "duplicate_count": "INT"}, "layer_report": {"n_features": "INT"},
 }
 
@@ -216,9 +221,11 @@ def _oracles() -> dict[str, str]:
         "mvt_roundtrip_layers": f"WITH {C1} SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY layer) - 1 AS layer_ord, layer, 2 AS version, 4096 AS extent, n AS n_features FROM layers",
         "mvt_light_layers": f"WITH {C1} SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY layer) - 1 AS layer_ord, layer, 2 AS version, 4096 AS extent, n AS n_features FROM layers",
         "mvt_corrupt_load_failed": f"""WITH {C1} SELECT tile, 'artifact/load-failed' AS "ruleId", 'error' AS severity FROM totals WHERE total = 0 OR tile % 5 = 0""",
-        "decoder_crosscheck": f"""WITH {C1} SELECT tile, layer, NULL::INT AS feature_index, 'layer-names' AS dimension FROM layers WHERE layer = 'R' AND tile % 7 = 0
-          UNION ALL SELECT tile, layer, feature_index, 'coordinates' FROM c1 WHERE pk % 13 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)
-          UNION ALL SELECT tile, layer, feature_index, 'properties' FROM c1 WHERE pk % 17 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)""",
+        "decoder_crosscheck": _CROSSCHECK,
+        "decoder_digest_tree": _CROSSCHECK,
+        "decoder_digest_levels": f"""WITH f AS ({_CROSSCHECK})
+          SELECT 'tile' AS level, count(DISTINCT tile) AS differing FROM f UNION ALL SELECT 'layer', count(DISTINCT (tile, layer)) FROM f
+          UNION ALL SELECT 'feature', count(DISTINCT (tile, layer, feature_index)) FROM f WHERE feature_index IS NOT NULL""",
         "offset_entries": f"WITH {_offsets()} SELECT * FROM en",
         "offset_histogram": f"WITH {_offsets()} SELECT bucket, {_RANK} AS rank, count(*) AS n FROM ax GROUP BY ALL",
         "offset_breakdowns": f"""WITH {_offsets()} SELECT CASE WHEN grouping(direction) = 0 THEN 'direction' WHEN grouping(layer) = 0 THEN 'layer' ELSE 'geometry_type' END AS grouping,

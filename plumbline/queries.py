@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import carriers as c
 from plumbline.functions import geometry as g
 from plumbline.model import Frames
-from plumbline.operators import analytics, inspector, reports, style_rules, tile_rules
+from plumbline.operators import analytics, digests, inspector, reports, style_rules, tile_rules
 from plumbline.plans import engine as e
 from plumbline.plans.rules import catalogue_frame
 from plumbline.sources import scan
@@ -215,17 +215,32 @@ def mvt_corrupt_load_failed(spark: SparkSession, d: str) -> DataFrame:
     return e.infrastructure(_decoded(spark, d, cut=5).artifacts).select(F.col("source_idx").alias("tile"), "ruleId", "severity")
 
 
-def decoder_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    """Decoded tiles against their source rows with planted differences."""
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the tiles with differences in layers, points and properties."""
     right = c.line_features(spark, d).where("not (layer = 'R' and source_idx % 7 = 0)")
     moved = F.transform("parts", lambda part: F.transform(part, lambda p: F.struct(p["x"].alias("x"), (p["y"] + 1).alias("y"))))
     other = lambda v: v.withField("n", F.when(F.col("l_partkey") % 17 == 0, v["n"] + 1).otherwise(v["n"]))
     keyed = F.transform_values(F.map_filter("properties", lambda k, v: k == "partkey"), lambda k, v: other(v))
-    right = right.withColumn("parts", F.when(F.col("l_partkey") % 13 == 0, moved).otherwise(F.col("parts"))).withColumn("properties", keyed)
-    found = analytics.decoder_differences(_decoded(spark, d).features, right)
+    return right.withColumn("parts", F.when(F.col("l_partkey") % 13 == 0, moved).otherwise(F.col("parts"))).withColumn("properties", keyed)
+
+
+def decoder_crosscheck(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded tiles against their source rows with planted differences."""
+    found = analytics.decoder_differences(_decoded(spark, d).features, _planted(spark, d))
     return found.select(F.col("source_idx").alias("tile"), "layer", "feature_index", "dimension")
 
 
+def decoder_digest_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The same differences, found from digests of tiles, layers and features."""
+    found = digests.decoder_differences(_decoded(spark, d).features, _planted(spark, d))
+    return found.select(F.col("source_idx").alias("tile"), "layer", "feature_index", "dimension")
+
+
+def decoder_digest_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Unequal tiles, layers and features of the same two decodes."""
+    return digests.levels(_decoded(spark, d).features, _planted(spark, d))
+
+
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     return analytics.offset_entries(c.rings(spark, d, 4096, 512).features)
 
@@ -372,6 +387,8 @@ def queries() -> dict[str, Query]:
         "mvt_light_layers": mvt_light_layers,
         "mvt_corrupt_load_failed": mvt_corrupt_load_failed,
         "decoder_crosscheck": decoder_crosscheck,
+        "decoder_digest_tree": decoder_digest_tree,
+        "decoder_digest_levels": decoder_digest_levels,
         "offset_entries": offset_entries,
         "offset_histogram": lambda s, d: analytics.offset_histogram(_entries(s, d)),
         "offset_breakdowns": offset_breakdowns,
