@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.queries import BENCH_ROWS
+from plumbline.queries import BENCH_ROWS, STALE_MINUTES
 
 C1 = """
 c1 AS (SELECT l_orderkey AS tile, l_returnflag AS layer,
@@ -122,6 +122,13 @@ _CROSSCHECK = f"""WITH {C1} SELECT tile, layer, NULL::INT AS feature_index, 'lay
   UNION ALL SELECT tile, layer, feature_index, 'properties' FROM c1 WHERE pk % 17 = 0 AND NOT (layer = 'R' AND tile % 7 = 0)"""
 
 
+_CHANGES = f"""WITH o AS (SELECT user_id::VARCHAR AS source, epoch_us(ts) // 1000 AS ms, event_id AS ord, event_type AS digest, coalesce(value >= 20, true) AS pass FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  w AS (SELECT *, lag(ms) OVER x AS before, lag(digest) OVER x AS old, lead(ms) OVER x AS after FROM o WINDOW x AS (PARTITION BY source ORDER BY ms, ord)),
+  c AS (SELECT source, ms AS at_ms, CASE WHEN before IS NULL THEN 'new' WHEN digest IS DISTINCT FROM old THEN 'changed' WHEN ms - before > {STALE_MINUTES * 60_000} THEN 'back' END AS event, digest, pass FROM w)
+  SELECT * FROM c WHERE event IS NOT NULL UNION ALL SELECT source, ms + {STALE_MINUTES * 60_000}, 'stale', digest, pass FROM w
+  WHERE CASE WHEN after IS NULL THEN ms + {STALE_MINUTES * 60_000} < (SELECT max(ms) FROM o) - 60000 ELSE after - ms > {STALE_MINUTES * 60_000} END"""
+
+
 def _shoelace(term: str, more: str = "") -> str:
     return f"""WITH {c2(16)},
 e AS (SELECT q.tile, q.feature_index, q.x AS px, q.y AS py, r.x AS qx, r.y AS qy FROM pt q JOIN pt r
@@ -226,6 +233,8 @@ def _oracles() -> dict[str, str]:
         "decoder_digest_levels": f"""WITH f AS ({_CROSSCHECK})
           SELECT 'tile' AS level, count(DISTINCT tile) AS differing FROM f UNION ALL SELECT 'layer', count(DISTINCT (tile, layer)) FROM f
           UNION ALL SELECT 'feature', count(DISTINCT (tile, layer, feature_index)) FROM f WHERE feature_index IS NOT NULL""",
+        "watch_changes": _CHANGES,
+        "watch_replay": _CHANGES,
         "offset_entries": f"WITH {_offsets()} SELECT * FROM en",
         "offset_histogram": f"WITH {_offsets()} SELECT bucket, {_RANK} AS rank, count(*) AS n FROM ax GROUP BY ALL",
         "offset_breakdowns": f"""WITH {_offsets()} SELECT CASE WHEN grouping(direction) = 0 THEN 'direction' WHEN grouping(layer) = 0 THEN 'layer' ELSE 'geometry_type' END AS grouping,

@@ -13,7 +13,9 @@ from plumbline.model import Frames
 from plumbline.operators import analytics, digests, inspector, reports, style_rules, tile_rules
 from plumbline.plans import engine as e
 from plumbline.plans.rules import catalogue_frame
+from plumbline.shared import shared_folder
 from plumbline.sources import scan
+from plumbline.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 VIEW = inspector.Viewport(1024, 1024, zoom=0.25, pan_x=0.0, pan_y=64.0)
@@ -339,6 +341,34 @@ def style_valid_json(spark: SparkSession, d: str) -> DataFrame:
     return style_rules.valid_json(c.parsed_styles(spark, d), {}).select(F.col("source_idx").alias("style"), F.col("location.jsonPath").alias("path"))
 
 
+STALE_MINUTES = 600
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a sight of its user's style: the kind of event for its digest, low values for errors."""
+    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', ts)")
+    return c.table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("source"), F.timestamp_millis(millis).alias("seen"), F.col("event_id").alias("ord"), F.col("event_type").alias("digest"), F.when(F.col("value") < 20, 1).otherwise(0).cast("long").alias("errors")
+    )
+
+
+def _changes(found: DataFrame) -> DataFrame:
+    return found.withColumn("at", F.unix_millis("at")).withColumnRenamed("at", "at_ms")
+
+
+def watch_changes(spark: SparkSession, d: str) -> DataFrame:
+    """New, changed, silent and returning sources, from the whole table."""
+    return _changes(state.changes(_observations(spark, d), STALE_MINUTES))
+
+
+def watch_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream to which the table comes in four slices of time."""
+    seen = _observations(spark, d)
+    low, high = seen.agg(F.min("seen"), F.max("seen")).first()
+    cuts = [low + (high - low) * k / 4 for k in (1, 2, 3)] if low else []
+    return _changes(state.replay(seen, shared_folder(spark, "watch"), cuts, STALE_MINUTES))
+
+
 def queries() -> dict[str, Query]:
     return {
         "tile_coordinate_range": _rule(c.tiles, tile_rules.coordinate_range),
@@ -406,6 +436,8 @@ def queries() -> dict[str, Query]:
         "layer_issues": layer_issues,
         "batch_verdict": batch_verdict,
         "bench_stats": bench_stats,
+        "watch_changes": watch_changes,
+        "watch_replay": watch_replay,
         "rule_catalog": rule_catalog,
     }
 
