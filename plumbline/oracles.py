@@ -84,6 +84,15 @@ d1 AS (SELECT d0.*, source, row_number() OVER (PARTITION BY tile, rule_idx ORDER
 capped AS (SELECT *, row_number() OVER (ORDER BY tile, rule_idx, e1, e2, e3) AS rn FROM d1 WHERE k <= 2)
 """
 
+#: Only points out of range, and tiles without features, which do not load.
+EARLY = f"""{C1},
+d0 AS (
+  SELECT tile, 'tile/coordinate-range' AS rule, 0 AS rule_idx, 'error' AS severity, layer, feature_index::INT AS feature_index, CASE layer WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS e1, feature_index AS e2 FROM ({_STRICT})
+  UNION ALL SELECT tile, 'artifact/load-failed', -1, 'error', NULL, NULL, 0, 0 FROM totals WHERE total = 0),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY tile, rule_idx ORDER BY e1, e2) AS k FROM d0),
+capped AS (SELECT *, row_number() OVER (ORDER BY tile, rule_idx, e1, e2) AS rn FROM d1 WHERE k <= 2)
+"""
+
 C3 = """
 c3 AS (SELECT user_id AS style, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, (props->>'$.k')::INT AS k, event_type, value FROM events),
 sl AS (SELECT style, idx, CASE WHEN value < 20 THEN '' ELSE event_type || '-' || k END AS id, 'src' || (k % 12) AS source_name, k % 12 AS src, k % 23 AS minzoom,
@@ -145,7 +154,7 @@ CASTS = {
     "tile_coordinate_range": {"feature_index": "INT"}, "tile_coordinate_range_strict": {"feature_index": "INT"}, "tile_required_properties": {"feature_index": "INT"},
     "tile_self_intersection": {"first": "INT", "second": "INT"}, "tile_self_intersection_join": {"first": "INT", "second": "INT"}, "segments_intersect_pairs": {"i": "INT", "j": "INT"},
     "viewport_project": {"feature_index": "INT"}, "geometry_walk": {"n_points": "INT"}, "overlay_resolve": {"feature_index": "INT"}, "engine_union_sorted": {"place": "INT"},
-    "engine_overrides": {"feature_index": "INT"}, "engine_summary": {"infos": "BIGINT"}, "engine_summary_truncated": {"infos": "BIGINT"}, "tile_pyramid": {"x": "INT", "y": "INT"},
+    "engine_overrides": {"feature_index": "INT"}, "engine_summary": {"infos": "BIGINT"}, "engine_summary_truncated": {"infos": "BIGINT"}, "engine_early_stop_summary": {"infos": "BIGINT"}, "tile_pyramid": {"x": "INT", "y": "INT"},
     "mvt_roundtrip_features": {"feature_index": "INT"}, "mvt_roundtrip_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"},
     "mvt_light_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"}, "decoder_crosscheck": {"feature_index": "INT"}, "decoder_digest_tree": {"feature_index": "INT"}, "offset_entries": {"point_index": "INT"},
     "cross_provider_identity": {"feature_index": "INT"}, "ring_root_cause": {"first": "INT", "second": "INT", "duplicate_count": "INT"}, "layer_report": {"n_features": "INT"},
@@ -217,8 +226,14 @@ def _oracles() -> dict[str, str]:
         "engine_summary": f"""WITH {ENGINE} SELECT {summary}, false AS truncated, (SELECT count(*) FROM tiles) AS "sourceCount", (SELECT count(*) FROM tiles) AS "artifactCount",
           (SELECT 3 * count(*) FROM tiles) AS "ruleExecutions", count(*) FILTER (severity = 'error') = 0 AS pass FROM d1""",
         "engine_summary_truncated": f"""WITH {ENGINE}, kept AS (SELECT * REPLACE (CASE WHEN rn = 100 THEN 'warning' ELSE severity END AS severity) FROM capped WHERE rn <= 100)
-          SELECT {summary}, bool_or(rn = 100) AS truncated, (SELECT count(*) FROM tiles) AS "sourceCount", (SELECT count(*) FROM tiles) AS "artifactCount",
+          SELECT {summary}, bool_or(rn = 100) AS truncated, (SELECT count(*) FROM tiles) AS "sourceCount", (SELECT count(*) FROM tiles t WHERE t.tile <= coalesce((SELECT tile FROM kept WHERE rn = 100), t.tile)) AS "artifactCount",
           (SELECT count(*) FROM tiles t, range(0, 3) AS r(i), kept k WHERE k.rn = 100 AND (t.tile, r.i) <= (k.tile, k.rule_idx)) AS "ruleExecutions", count(*) FILTER (severity = 'error') = 0 AS pass FROM kept""",
+        "engine_early_stop": f"""WITH {EARLY} SELECT tile, CASE WHEN rn = 100 THEN 'engine/max-diagnostics' ELSE rule END AS "ruleId", CASE WHEN rn = 100 THEN 'warning' ELSE severity END AS severity,
+          CASE WHEN rn < 100 THEN layer END AS layer, CASE WHEN rn < 100 THEN feature_index END AS feature_index FROM capped WHERE rn <= 100""",
+        "engine_early_stop_summary": f"""WITH {EARLY}, kept AS (SELECT * REPLACE (CASE WHEN rn = 100 THEN 'warning' ELSE severity END AS severity) FROM capped WHERE rn <= 100),
+          done AS (SELECT count(*) AS n FROM totals WHERE total > 0 AND tile <= coalesce((SELECT tile FROM kept WHERE rn = 100), tile))
+          SELECT {summary}, coalesce(bool_or(rn = 100), false) AS truncated, (SELECT count(*) FROM tiles) AS "sourceCount", (SELECT n FROM done) AS "artifactCount",
+          (SELECT n FROM done) AS "ruleExecutions", count(*) FILTER (severity = 'error') = 0 AS pass FROM kept""",
         "source_routing": """WITH s AS (SELECT page_id, CASE WHEN page_id % 11 = 3 THEN ' {"page":' || page_id || '}' ELSE url || (['', '.pbf', '.MVT ', '.json', '.mbtiles', '.style', '.vector.pbf'])[page_id % 7 + 1] END AS source FROM pages),
           r AS (SELECT *, CASE WHEN regexp_matches(lower(trim(source)), '[.](pbf|mvt|mbtiles)$') THEN 'tile' WHEN regexp_matches(source, '^\\s*[\\[{]') OR regexp_matches(lower(trim(source)), '[.](json|style)$') THEN 'style' END AS provider FROM s)
           SELECT page_id, source, provider, CASE provider WHEN 'tile' THEN 'VectorTile' WHEN 'style' THEN 'StyleSpecification' ELSE 'unknown' END AS artifact_type FROM r""",

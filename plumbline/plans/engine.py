@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.model import ARTIFACT_REF, LOCATION, SEVERITIES, Frames
 from plumbline.plans.rules import Plugin, Rule, RowRule, catalogue
+from plumbline.shared import written
 
 # The defaults of the global options.
 DEFAULTS = {"timeout": 30_000, "maxDetails": 100, "maxDiagnostics": 1_000}
@@ -194,20 +195,23 @@ def executions(frames: Frames, resolved: Resolved) -> DataFrame:
     return reduce(DataFrame.unionByName, pairs)
 
 
-def summarize(diagnostics: DataFrame, artifacts: DataFrame, started: DataFrame) -> DataFrame:
+def summarize(diagnostics: DataFrame, artifacts: DataFrame, started: DataFrame, sources: int | None = None) -> DataFrame:
     """One row: counts by severity, sources, artifacts, rule executions, ``truncated`` and ``pass``.
 
-    A truncated run counts the executions up to the row at which it stopped, and passes if the rows
-    that were kept hold no error.
+    A truncated run counts the executions up to the row at which it stopped and the artifacts up to that row's
+    source, and passes if the rows that were kept hold no error. ``sources`` is their number where ``artifacts`` lacks some.
     """
     counts = diagnostics.agg(
         *[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in SEVERITIES], F.coalesce(F.bool_or(F.col("ruleId") == TRUNCATED), F.lit(False)).alias("truncated"),
         F.max(F.when(F.col("ruleId") == TRUNCATED, F.struct("source_idx", "rule_idx"))).alias("stop"),
     )
-    sources = artifacts.agg(F.count(F.lit(1)).alias("sourceCount"), F.count_if((F.col("artifact_type") != "unknown") & (F.col("load_error").isNull() | F.col("artifact_type").startswith("Invalid"))).alias("artifactCount"))
+    good = (F.col("artifact_type") != "unknown") & (F.col("load_error").isNull() | F.col("artifact_type").startswith("Invalid"))
+    reached = F.col("stop").isNull() | (F.col("source_idx") <= F.col("stop.source_idx"))
+    given = artifacts.join(F.broadcast(counts.select("stop")), F.lit(True), "left").agg(F.count(F.lit(1)).alias("sourceCount"), F.count_if(good & reached).alias("artifactCount"))
+    given = given if sources is None else given.withColumn("sourceCount", F.lit(sources).cast("long"))
     # The counts are one row, so these joins pair one row with one row or with each execution once.
     ran = started.join(F.broadcast(counts.select("stop")), F.col("stop").isNull() | (F.struct("source_idx", "rule_idx") <= F.col("stop")), "inner").agg(F.count(F.lit(1)).alias("ruleExecutions"))
-    return counts.drop("stop").join(sources, F.lit(True)).join(ran, F.lit(True)).withColumn("pass", F.col("errors") == 0)
+    return counts.drop("stop").join(given, F.lit(True)).join(ran, F.lit(True)).withColumn("pass", F.col("errors") == 0)
 
 
 @dataclass(frozen=True)
@@ -228,7 +232,31 @@ class Engine:
 
         The capped rows (``maxDiagnostics`` of them at most) are persisted.
         """
-        parts = rule_diagnostics(frames, self.resolved)
-        found = reduce(DataFrame.unionByName, [infrastructure(frames.artifacts), *([cap_details(reduce(DataFrame.unionByName, parts), self.resolved.options["maxDetails"])] if parts else [])])
-        kept = with_artifact(cap_total(found, self.resolved.options["maxDiagnostics"]), frames.artifacts).persist()
+        kept = with_artifact(cap_total(self._capped(frames), self.resolved.options["maxDiagnostics"]), frames.artifacts).persist()
         return RunResult(sort_diagnostics(kept), summarize(kept, frames.artifacts, executions(frames, self.resolved)))
+
+    def _capped(self, frames: Frames) -> DataFrame:
+        """Findings on some frames, ``maxDetails`` for each artifact and rule."""
+        parts = rule_diagnostics(frames, self.resolved)
+        return reduce(DataFrame.unionByName, [infrastructure(frames.artifacts), *([cap_details(reduce(DataFrame.unionByName, parts), self.resolved.options["maxDetails"])] if parts else [])])
+
+    def run_until(self, raw: DataFrame, load: Callable[[DataFrame], Frames], first: int = 256) -> RunResult:
+        """The same result as :meth:`run` over ``load(raw)``, without loading sources beyond the limit of diagnostics.
+
+        ``raw`` has ``source_idx`` and what ``load`` takes. Sources are taken in slices of their order, each as
+        long as all before it; the run ends with the slice that fills ``maxDiagnostics``. Each slice's
+        findings, artifacts and executions are written once, so no source is loaded twice.
+        """
+        limit = self.resolved.options["maxDiagnostics"]
+        bounds = raw.agg(F.count(F.lit(1)).alias("n"), F.min("source_idx").alias("low"), F.max("source_idx").alias("high")).first()
+        slices, held, low, size = [], 0, bounds.low, first
+        while low is not None and low <= bounds.high and (held < limit or not slices):
+            frames = load(raw.where(F.col("source_idx").between(low, low + size - 1)))
+            slices.append([written(df, "slice") for df in (self._capped(frames), frames.artifacts, executions(frames, self.resolved))])
+            held += slices[-1][0].count()
+            low, size = low + size, size + low - bounds.low
+        if not slices:
+            return self.run(load(raw))
+        found, artifacts, started = (reduce(DataFrame.unionByName, dfs) for dfs in zip(*slices, strict=True))
+        kept = with_artifact(cap_total(found, limit), artifacts).persist()
+        return RunResult(sort_diagnostics(kept), summarize(kept, artifacts, started, bounds.n))

@@ -12,7 +12,7 @@ from plumbline.functions import geometry as g
 from plumbline.model import Frames
 from plumbline.operators import analytics, digests, inspector, reports, style_rules, tile_rules
 from plumbline.plans import engine as e
-from plumbline.plans.rules import catalogue_frame
+from plumbline.plans.rules import Plugin, catalogue_frame
 from plumbline.shared import shared_folder
 from plumbline.sources import scan
 from plumbline.streaming import state
@@ -187,6 +187,23 @@ def engine_summary_truncated(spark: SparkSession, d: str) -> DataFrame:
     return e.summarize(kept, frames.artifacts, e.executions(frames, resolved))
 
 
+EARLY = {"rules": {"tile/coordinate-range": ["error", {"buffer": 0, "excludeLayers": []}]}, "options": {"maxDetails": 2, "maxDiagnostics": 100}}
+
+
+def _early(spark: SparkSession, d: str) -> e.RunResult:
+    """Tiles as bytes, loaded slice by slice until the limit of diagnostics."""
+    rules = tuple(r for r in tile_rules.RULES if r.id in EARLY["rules"])
+    return e.Engine([Plugin("early", rules=rules)], EARLY).run_until(c.tile_bytes(spark, d), scan.load_tiles, 64)
+
+
+def engine_early_stop(spark: SparkSession, d: str) -> DataFrame:
+    return _early(spark, d).diagnostics.select(F.col("source_idx").alias("tile"), "ruleId", "severity", F.col("location.layer").alias("layer"), F.col("location.featureIndex").alias("feature_index"))
+
+
+def engine_early_stop_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _early(spark, d).summary
+
+
 def source_routing(spark: SparkSession, d: str) -> DataFrame:
     """Page addresses with changing endings, routed to providers."""
     ends = F.element_at(F.array(*[F.lit(x) for x in ("", ".pbf", ".MVT ", ".json", ".mbtiles", ".style", ".vector.pbf")]), (F.col("page_id") % 7 + 1).cast("int"))
@@ -410,6 +427,8 @@ def queries() -> dict[str, Query]:
         "engine_overrides": engine_overrides,
         "engine_summary": engine_summary,
         "engine_summary_truncated": engine_summary_truncated,
+        "engine_early_stop": engine_early_stop,
+        "engine_early_stop_summary": engine_early_stop_summary,
         "source_routing": source_routing,
         "tile_pyramid": lambda s, d: scan.tile_pyramid(s),
         "mvt_roundtrip_features": mvt_roundtrip_features,

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import glob as globbing
 import os
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import mvt, styles
 from plumbline.model import EMPTY_STYLE, INVALID_STYLE, STYLE, UNKNOWN, VECTOR_TILE, Frames
 from plumbline.operators import style_rules, tile_rules
+from plumbline.plans.engine import glob_regex
 from plumbline.plans.rules import Plugin, Provider
+from plumbline.shared import numbered
 
 # Suffixes by provider, and those that a folder scan takes by default.
 TILE_SUFFIXES = (".pbf", ".mvt", ".vector.pbf", ".mbtiles")
@@ -75,7 +78,42 @@ def batch_list(spark: SparkSession, path: str) -> DataFrame:
 def first_seen(sources: DataFrame, order: str) -> DataFrame:
     """Distinct ``source`` values numbered as ``source_idx`` in order of first occurrence."""
     first = sources.groupBy("source").agg(F.min(order).alias("_first"))
-    return first.select((F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("source_idx"), "source")
+    return numbered(first, [F.asc("_first"), F.asc("source")], "source_idx").select("source_idx", "source")
+
+
+def scan_roots(spark: SparkSession, roots: Iterable[str], suffixes: tuple[str, ...] = FOLDER_SUFFIXES) -> DataFrame:
+    """``(source_idx, source, content, read_error)`` of the files of folders, globs and files, on any file system that Spark reads.
+
+    Spark lists and reads them; a folder's suffixes and a glob's last part are filters of its scan, and
+    large folders are split by size. ``**`` in a glob stands for any folders. Sources are numbered by root and then by
+    path; of a file that several roots hold the first counts. A root that is not there is a row with an error,
+    a glob that matches nothing gives none.
+    """
+    schema, found = "content binary, root int, source string, read_error string", []
+    none = F.lit(None)
+    for number, root in enumerate(roots):
+        head, _, tail = root.partition("**")
+        path = spark._jvm.org.apache.hadoop.fs.Path(head if tail else root)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        if not len(there):
+            if not any(c in root for c in "*?["):
+                found.append(spark.createDataFrame([(None, number, root, "file not found")], schema))
+            continue
+        reader, wanted = spark.read.format("binaryFile").option("recursiveFileLookup", True), F.lit(True)
+        if tail:
+            last = tail.rsplit("/", 1)[-1]
+            reader = reader if "**" in last else reader.option("pathGlobFilter", last)
+            wanted = F.col("path").rlike(glob_regex(str(there[0].getPath()).rstrip("/") + "/**" + tail))
+        elif len(there) == 1 and there[0].isDirectory():
+            reader = reader.option("pathGlobFilter", "{" + ",".join(f"*{s}" for s in suffixes) + "}")
+        files = reader.load(head if tail else root).where(wanted)
+        found.append(files.select("content", F.lit(number).alias("root"), F.regexp_replace("path", "^file:/*", "/").alias("source"), none.cast("string").alias("read_error")))
+    if not found:
+        return spark.createDataFrame([], "source_idx long, source string, content binary, read_error string")
+    every = reduce(DataFrame.unionByName, found)
+    first = every.groupBy("source").agg(F.min("root").alias("root"))  # reads no content
+    numbers = numbered(first, [F.asc("root"), F.asc("source")], "source_idx")
+    return every.join(numbers, ["source", "root"]).select("source_idx", "source", "content", "read_error")
 
 
 def source_frame(spark: SparkSession, sources: Iterable[str]) -> DataFrame:
@@ -102,8 +140,12 @@ def full_path(source: Column) -> Column:
     return F.when(source.startswith("/"), source).otherwise(F.concat(F.lit(here + "/"), F.regexp_replace(source, r"^\./", "")))
 
 
-def fetch(sources: DataFrame, timeout_ms: int = HTTP_TIMEOUT_MS, headers: dict[str, str] | None = None) -> DataFrame:
-    """Append ``content`` and ``read_error`` of HTTP sources, fetched inside tasks; nothing is raised."""
+def fetch(sources: DataFrame, timeout_ms: int = HTTP_TIMEOUT_MS, headers: dict[str, str] | None = None, retries: int = 0, pause_ms: int = 200) -> DataFrame:
+    """Append ``content`` and ``read_error`` of HTTP sources, fetched inside tasks; nothing is raised.
+
+    Failed connections and answers of 429 or 500 and above are tried again ``retries`` times, each after a pause
+    twice as long as the one before.
+    """
     names = sources.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +153,21 @@ def fetch(sources: DataFrame, timeout_ms: int = HTTP_TIMEOUT_MS, headers: dict[s
             contents, errors = [], []
             for url in batch.column(names.index("source")).to_pylist():
                 content = error = None
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout_ms / 1000) as reply:
-                        content = reply.read()
-                except urllib.error.HTTPError as failed:
-                    error = f"HTTP {failed.code}"
-                except (OSError, ValueError) as failed:
-                    error = f"{type(failed).__name__}: {failed}"
+                for attempt in range(retries + 1):
+                    content = error = None
+                    try:
+                        with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout_ms / 1000) as reply:
+                            content = reply.read()
+                    except urllib.error.HTTPError as failed:
+                        error = f"HTTP {failed.code}"
+                        if failed.code != 429 and failed.code < 500:
+                            break
+                    except (OSError, ValueError) as failed:
+                        error = f"{type(failed).__name__}: {failed}"
+                    if error is None:
+                        break
+                    if attempt < retries:
+                        time.sleep(pause_ms / 1000 * 2**attempt)
                 contents.append(content)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], [*names, "content", "read_error"])

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.plans.engine import Engine, RunResult
+from plumbline.shared import numbered
 from plumbline.sources.scan import TILE_PLUGIN, load_tiles
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -24,8 +25,7 @@ def tile_stream(spark: SparkSession, folder: str, pattern: str = "*.pbf") -> Dat
 
 def batch_frames(batch: DataFrame) -> DataFrame:
     """Sources of a micro-batch, numbered by path. Only the paths are put in order; the bytes stay where they are."""
-    order = Window.orderBy("path")
-    numbers = batch.select("path").distinct().select("path", (F.row_number().over(order) - 1).cast("long").alias("source_idx"))
+    numbers = numbered(batch.select("path").distinct(), [F.asc("path")], "source_idx")
     return batch.join(numbers, "path").select("source_idx", F.col("path").alias("source"), "content", F.lit(None).cast("string").alias("read_error"))
 
 
