@@ -198,6 +198,9 @@ def _oracles() -> dict[str, str]:
           (min(x) + max(x)) / 2.0::DOUBLE AS center_x, (min(y) + max(y)) / 2.0::DOUBLE AS center_y FROM pt GROUP BY tile, feature_index""",
         "bbox_intersect_pairs": f"""WITH {c2(4096)}, b AS (SELECT tile, feature_index AS f, min(x) - 8 AS x0, min(y) - 8 AS y0, max(x) + 8 AS x1, max(y) + 8 AS y1 FROM pt GROUP BY ALL)
           SELECT b.tile AS tile, b.f AS f, c.f AS f2 FROM b JOIN b c ON b.tile = c.tile AND b.f < c.f AND b.x0 <= c.x1 AND b.x1 >= c.x0 AND b.y0 <= c.y1 AND b.y1 >= c.y0""",
+        "bbox_pairs_across_tiles": f"""WITH {c2(4096)}, b AS (SELECT tile * 8 + feature_index AS id, min(x) - 8 + tile % 40 * 2048 AS x0, min(y) - 8 + tile // 40 * 2048 AS y0,
+            max(x) + 8 + tile % 40 * 2048 AS x1, max(y) + 8 + tile // 40 * 2048 AS y1 FROM pt GROUP BY tile, feature_index)
+          SELECT b.id AS a, c.id AS b FROM b JOIN b c ON b.id < c.id AND b.x0 <= c.x1 AND b.x1 >= c.x0 AND b.y0 <= c.y1 AND b.y1 >= c.y0""",
         "viewport_project": f"WITH {C1} SELECT tile, layer, feature_index, x, y, x * 0.25::DOUBLE AS screen_x, y * 0.25::DOUBLE + 64 AS screen_y FROM c1",
         "geometry_walk": f"WITH {c2(8)} SELECT tile, feature_index, CASE type WHEN 3 THEN 'polygon' ELSE 'line' END AS call, 1 AS n_parts, len(pts) AS n_points FROM c2",
         "screen_shapes": f"""WITH {c2(8)} SELECT tile, CASE type WHEN 3 THEN 'polygon' ELSE 'line' END AS kind, count(*) AS n FROM c2 GROUP BY ALL

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import carriers as c
 from plumbline.functions import geometry as g
 from plumbline.model import Frames
-from plumbline.operators import analytics, digests, inspector, reports, style_rules, tile_rules
+from plumbline.operators import analytics, boxes, digests, inspector, reports, style_rules, tile_rules
 from plumbline.plans import engine as e
 from plumbline.plans.rules import Plugin, catalogue_frame
 from plumbline.shared import shared_folder
@@ -104,6 +104,15 @@ def bbox_intersect_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("source_idx").alias("tile"), "f", "f2")
 
 
+def bbox_pairs_across_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of features of all tiles whose boxes, grown by 8, share a point; tiles lie 40 in a row and overlap."""
+    features = c.rings(spark, d, 4096).features
+    number = F.col("source_idx") * 8 + F.col("feature_index")
+    box, dx, dy = g.expand(g.bounds(F.flatten("parts")), 8), F.col("source_idx") % 40 * 2048, F.floor(F.col("source_idx") / 40) * 2048
+    moved = F.struct((box["min_x"] + dx).alias("min_x"), (box["min_y"] + dy).alias("min_y"), (box["max_x"] + dx).alias("max_x"), (box["max_y"] + dy).alias("max_y"))
+    return boxes.box_pairs(features.select(number.alias("id"), moved.alias("box")))
+
+
 def viewport_project(spark: SparkSession, d: str) -> DataFrame:
     points = c.tiles(spark, d).features.select(F.col("source_idx").alias("tile"), "layer", "feature_index", F.explode(F.flatten("parts")).alias("p")).select("tile", "layer", "feature_index", "p.x", "p.y")
     return inspector.project_points(points, VIEW)
@@ -406,6 +415,7 @@ def queries() -> dict[str, Query]:
         "ring_signed_area_wrapped": ring_signed_area_wrapped,
         "feature_bbox": feature_bbox,
         "bbox_intersect_pairs": bbox_intersect_pairs,
+        "bbox_pairs_across_tiles": bbox_pairs_across_tiles,
         "viewport_project": viewport_project,
         "geometry_walk": geometry_walk,
         "screen_shapes": screen_shapes,
