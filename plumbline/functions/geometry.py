@@ -287,13 +287,16 @@ def self_intersections(parts: DataFrame, keys: list[str], guards: bool = True, l
     """``keys`` and ``first, second`` of every part (columns ``part, type``) that intersects itself.
 
     Parts of up to ``large`` vertices are searched whole by an Arrow function with an early exit;
-    larger ones by a join of their segments in grid cells, so that one huge ring is not one task's work.
+    larger ones by sweeps over their segments in cells of bounded size, so that one huge ring is not one task's work.
     """
+    from plumbline.operators.segments import first_crossings  # it builds on this module
+
     lines = parts.where(F.col("type").isin(2, 3) & (F.size("part") >= 4))
     search = first_self_intersection(guards)
     small = lines.where(F.size("part") <= large).withColumn("_hit", search(F.col("part"), F.col("type").cast("int"))).where("_hit is not null")
     small = small.select(*keys, F.col("_hit.first").alias("first"), F.col("_hit.second").alias("second"))
-    return small.unionByName(segment_join(lines.where(F.size("part") > large), keys, guards))
+    huge = lines.where(F.size("part") > large)
+    return small.unionByName(first_crossings(huge, keys, guards)) if huge.limit(1).count() else small
 
 
 def segment_join(parts: DataFrame, keys: list[str], guards: bool = True, cell: int = 256) -> DataFrame:

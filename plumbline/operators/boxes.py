@@ -19,7 +19,7 @@ from plumbline.shared import written
 
 #: Boxes that a cell may hold, halvings of both sides in a round and in all, and pairs that a sweep looks at at a time.
 WEIGHT, STEP, DEEPEST, AT_ONCE = 2048, 2, 24, 1 << 20
-CELL = ["level", "ix", "iy"]
+CELL = ["plane", "level", "ix", "iy"]
 
 
 def _range(low: str, high: str, level: Column) -> tuple[Column, Column]:
@@ -44,14 +44,16 @@ def morton(level: Column, ix: Column, iy: Column, bits: int = DEEPEST) -> Column
 def cells(boxes: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """``id, x0, y0, x1, y1`` (0 to 1) with a leaf cell and a pair of blocks for each copy of a box.
 
-    ``boxes`` has ``id`` and ``box``; null boxes go. A cell that holds at most ``weight`` boxes has the blocks (0, 0).
+    ``boxes`` has ``id``, ``box`` and, where boxes of different planes never meet, a long ``plane``; null boxes go. A cell
+    that holds at most ``weight`` boxes has the blocks (0, 0).
     """
-    there = boxes.where("box is not null").select("id", *[F.col(f"box.{c}").cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+    plane = (F.col("plane") if "plane" in boxes.columns else F.lit(0)).cast("long").alias("plane")
+    there = boxes.where("box is not null").select("id", plane, *[F.col(f"box.{c}").cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
     b = there.agg(F.min("min_x").alias("x"), F.min("min_y").alias("y"), F.max("max_x").alias("to_x"), F.max("max_y").alias("to_y")).first()
     side = max((b.to_x or 0) - (b.x or 0), (b.to_y or 0) - (b.y or 0)) or 1.0
     scaled = [((F.col(f"{end}_{k}") - F.lit(b[k] or 0.0)) / F.lit(side)).alias(f"{k}{n}") for n, end in ((0, "min"), (1, "max")) for k in ("x", "y")]
     zero = F.lit(0).cast("long")
-    rows = written(there.select("id", *scaled, F.lit(0).alias("level"), zero.alias("ix"), zero.alias("iy"), zero.alias("before")), "boxes")
+    rows = written(there.select("id", *scaled, "plane", F.lit(0).alias("level"), zero.alias("ix"), zero.alias("iy"), zero.alias("before")), "boxes")
     names, done = rows.columns[:-1], []
     for level in range(0, DEEPEST + 1, STEP):
         counts = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.max("before").alias("held"))
@@ -67,7 +69,7 @@ def cells(boxes: DataFrame, weight: int = WEIGHT) -> DataFrame:
         (x0, x1), (y0, y1) = (_range(f"{k}0", f"{k}1", F.lit(level + STEP)) for k in ("x", "y"))
         inside = lambda k, low, high: F.explode(F.sequence(F.greatest(low, F.col(f"i{k}") * 2**STEP), F.least(high, F.col(f"i{k}") * 2**STEP + 2**STEP - 1)))
         rows = rest.withColumn("jx", inside("x", x0, x1)).withColumn("jy", inside("y", y0, y1))
-        rows = written(rows.select("id", "x0", "y0", "x1", "y1", F.lit(level + STEP).alias("level"), F.col("jx").alias("ix"), F.col("jy").alias("iy"), F.col("n").alias("before")), "boxes")
+        rows = written(rows.select("id", "x0", "y0", "x1", "y1", "plane", F.lit(level + STEP).alias("level"), F.col("jx").alias("ix"), F.col("jy").alias("iy"), F.col("n").alias("before")), "boxes")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -78,7 +80,7 @@ def cells(boxes: DataFrame, weight: int = WEIGHT) -> DataFrame:
 
 def stretches(dealt: DataFrame, parts: int | None = None) -> DataFrame:
     """The copies of boxes in curve order, in partitions of about equal weight; each cell's pair of blocks in one of them."""
-    order = ["curve", "i", "j"]
+    order = ["plane", "curve", "i", "j"]
     ranged = dealt.repartitionByRange(parts, *order) if parts else dealt.repartitionByRange(*order)
     return ranged.sortWithinPartitions(*order, "x0")
 
@@ -101,24 +103,25 @@ def meeting(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, own:
 
 
 def box_pairs(boxes: DataFrame, weight: int = WEIGHT) -> DataFrame:
-    """``a, b``: every two ids (``a < b``) whose boxes share a point, once. ``boxes`` has ``id`` (unique) and ``box``."""
+    """``plane, a, b``: every two ids (``a < b``) of a plane whose boxes share a point, once; see :func:`cells`. Ids are unique in a plane."""
     kind = boxes.schema["id"].dataType.simpleString()
     columns = ["id", "x0", "y0", "x1", "y1", *CELL, "own", "i", "j", "curve"]
 
     def swept(group: pa.Table) -> Iterator[pa.RecordBatch]:
         x0, y0, x1, y1 = (group.column(c).to_numpy() for c in columns[1:5])
-        level, ix, iy = (int(group.column(c)[0].as_py()) for c in CELL)
+        plane, level, ix, iy = (int(group.column(c)[0].as_py()) for c in CELL)
         ids, side = group.column("id").combine_chunks(), 2**level
         for a, b in meeting(x0, y0, x1, y1, group.column("own").to_numpy()):
             px, py = (np.minimum(np.floor(v * side), side - 1) for v in (x0[b], np.maximum(y0[a], y0[b])))
             mine = (px == ix) & (py == iy)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[mine])), ids.take(pa.array(b[mine]))], ["a", "b"])
+            arrays = [pa.array(np.full(mine.sum(), plane)), ids.take(pa.array(a[mine])), ids.take(pa.array(b[mine]))]
+            yield pa.RecordBatch.from_arrays(arrays, ["plane", "a", "b"])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key = np.stack([table.column(c).to_numpy() for c in ("curve", "level", "i", "j")])
+            key = np.stack([table.column(c).to_numpy() for c in ("plane", "curve", "level", "i", "j")])
             starts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
             for low, high in zip(starts[:-1], starts[1:], strict=True):
                 yield from swept(table.slice(low, high - low))
@@ -126,5 +129,5 @@ def box_pairs(boxes: DataFrame, weight: int = WEIGHT) -> DataFrame:
         if rest is not None and len(rest):
             yield from swept(rest)
 
-    found = stretches(cells(boxes, weight)).select(*columns).mapInArrow(sweep, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = stretches(cells(boxes, weight)).select(*columns).mapInArrow(sweep, f"plane long, a {kind}, b {kind}")
+    return found.select("plane", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -152,7 +152,7 @@ def _style(where: str, path: str, message: str, source: str = "sl") -> str:
 #: Columns that DuckDB computes wider or narrower than Spark.
 CASTS = {
     "tile_coordinate_range": {"feature_index": "INT"}, "tile_coordinate_range_strict": {"feature_index": "INT"}, "tile_required_properties": {"feature_index": "INT"},
-    "tile_self_intersection": {"first": "INT", "second": "INT"}, "tile_self_intersection_join": {"first": "INT", "second": "INT"}, "segments_intersect_pairs": {"i": "INT", "j": "INT"},
+    "tile_self_intersection": {"first": "INT", "second": "INT"}, "tile_self_intersection_join": {"first": "INT", "second": "INT"}, "tile_self_intersection_sweep": {"first": "INT", "second": "INT"}, "segments_intersect_pairs": {"i": "INT", "j": "INT"},
     "viewport_project": {"feature_index": "INT"}, "geometry_walk": {"n_points": "INT"}, "overlay_resolve": {"feature_index": "INT"}, "engine_union_sorted": {"place": "INT"},
     "engine_overrides": {"feature_index": "INT"}, "engine_summary": {"infos": "BIGINT"}, "engine_summary_truncated": {"infos": "BIGINT"}, "engine_early_stop_summary": {"infos": "BIGINT"}, "tile_pyramid": {"x": "INT", "y": "INT"},
     "mvt_roundtrip_features": {"feature_index": "INT"}, "mvt_roundtrip_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"},
@@ -190,6 +190,7 @@ def _oracles() -> dict[str, str]:
           SELECT tile, layer, feature_index, 0 AS part_index, 'Ring has no area.' AS message FROM e GROUP BY tile, layer, feature_index HAVING sum(t) = 0""",
         "tile_self_intersection": SELF_INTERSECTION,
         "tile_self_intersection_join": SELF_INTERSECTION,
+        "tile_self_intersection_sweep": SELF_INTERSECTION,
         "tile_duplicate_vertices": f"""WITH {segments(8)} SELECT tile, feature_index, x, y FROM dup""",
         "segments_intersect_pairs": f"WITH {segments(8)} SELECT tile, feature_index, i, j FROM hit",
         "ring_signed_area": _shoelace("px * qy - qx * py"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import carriers as c
 from plumbline.functions import geometry as g
 from plumbline.model import Frames
-from plumbline.operators import analytics, boxes, digests, inspector, reports, style_rules, tile_rules
+from plumbline.operators import analytics, boxes, digests, inspector, reports, segments, style_rules, tile_rules
 from plumbline.plans import engine as e
 from plumbline.plans.rules import Plugin, catalogue_frame
 from plumbline.shared import shared_folder
@@ -73,12 +73,15 @@ def self_intersection_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("source_idx").alias("tile"), "feature_index", "first", "second")
 
 
+def self_intersection_sweep(spark: SparkSession, d: str) -> DataFrame:
+    found = segments.first_crossings(_parts(spark, d, 8).where("size(part) >= 4"), ["source_idx", "feature_index"])
+    return found.select(F.col("source_idx").alias("tile"), "feature_index", "first", "second")
+
+
 def segments_intersect_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All intersecting segment pairs of each part that are no neighbours."""
-    index = F.sequence(F.lit(0), F.size("part") - 2)
-    seg = _parts(spark, d, 8).select("source_idx", "feature_index", F.explode(F.transform(index, lambda i: F.struct(i.alias("i"), F.element_at("part", i + 1).alias("a"), F.element_at("part", i + 2).alias("b")))).alias("s")).select("source_idx", "feature_index", "s.*")
-    other = seg.select("source_idx", "feature_index", F.col("i").alias("j"), F.col("a").alias("c"), F.col("b").alias("d"))
-    pairs = seg.join(other, ["source_idx", "feature_index"]).where("j > i + 1").where(g.segments_intersect(*(F.col(k) for k in "abcd")))
+    open_parts = _parts(spark, d, 8).withColumn("type", F.lit(2).cast("tinyint"))  # no pair is left out for closing a ring
+    pairs = segments.crossing_pairs(open_parts, ["source_idx", "feature_index"], guards=False)
     return pairs.select(F.col("source_idx").alias("tile"), "feature_index", "i", "j")
 
 
@@ -98,10 +101,8 @@ def feature_bbox(spark: SparkSession, d: str) -> DataFrame:
 
 def bbox_intersect_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of features of a tile whose boxes, grown by 8, share a point."""
-    boxes = c.rings(spark, d, 4096).features.select("source_idx", F.col("feature_index").alias("f"), g.expand(g.bounds(F.flatten("parts")), 8).alias("b"))
-    other = boxes.select("source_idx", F.col("f").alias("f2"), F.col("b").alias("b2"))
-    pairs = boxes.join(other, "source_idx").where((F.col("f") < F.col("f2")) & g.boxes_intersect(F.col("b"), F.col("b2")))
-    return pairs.select(F.col("source_idx").alias("tile"), "f", "f2")
+    own = c.rings(spark, d, 4096).features.select(F.col("source_idx").alias("plane"), F.col("feature_index").alias("id"), g.expand(g.bounds(F.flatten("parts")), 8).alias("box"))
+    return boxes.box_pairs(own).toDF("tile", "f", "f2")
 
 
 def bbox_pairs_across_tiles(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +111,7 @@ def bbox_pairs_across_tiles(spark: SparkSession, d: str) -> DataFrame:
     number = F.col("source_idx") * 8 + F.col("feature_index")
     box, dx, dy = g.expand(g.bounds(F.flatten("parts")), 8), F.col("source_idx") % 40 * 2048, F.floor(F.col("source_idx") / 40) * 2048
     moved = F.struct((box["min_x"] + dx).alias("min_x"), (box["min_y"] + dy).alias("min_y"), (box["max_x"] + dx).alias("max_x"), (box["max_y"] + dy).alias("max_y"))
-    return boxes.box_pairs(features.select(number.alias("id"), moved.alias("box")))
+    return boxes.box_pairs(features.select(number.alias("id"), moved.alias("box"))).drop("plane")
 
 
 def viewport_project(spark: SparkSession, d: str) -> DataFrame:
@@ -409,6 +410,7 @@ def queries() -> dict[str, Query]:
         "tile_zero_area_ring": _rule(_rings(8), tile_rules.zero_area_ring),
         "tile_self_intersection": self_intersection_pairs,
         "tile_self_intersection_join": self_intersection_join,
+        "tile_self_intersection_sweep": self_intersection_sweep,
         "tile_duplicate_vertices": duplicate_vertices,
         "segments_intersect_pairs": segments_intersect_pairs,
         "ring_signed_area": ring_signed_area,
