@@ -260,6 +260,10 @@ def _oracles() -> dict[str, str]:
           coalesce(direction, layer, geometry_type) AS value, count(*) AS n FROM ax GROUP BY GROUPING SETS ((direction), (layer), (geometry_type))""",
         "offset_profile": f"""WITH {_offsets()} SELECT axis, direction, count(*) AS n, min(abs(off)) AS min, floor(quantile_cont(abs(off), 0.5) * 1000 + 0.5)::BIGINT AS median, floor(quantile_cont(abs(off), 0.95) * 1000 + 0.5)::BIGINT AS p95,
           floor(quantile_cont(abs(off), 0.99) * 1000 + 0.5)::BIGINT AS p99, max(abs(off)) AS max FROM ax GROUP BY ALL""",
+        "offset_profile_sketched": f"""WITH {_offsets()}, f AS (SELECT tile, layer, feature_index, x_offset AS off, 'x' AS axis, x_direction AS direction FROM en UNION ALL SELECT tile, layer, feature_index, y_offset, 'y', y_direction FROM en)
+          SELECT axis, direction, count(*) AS n, min(abs(off)) AS min, max(abs(off)) AS max, count(DISTINCT (tile, layer, feature_index)) AS features, true AS within FROM f WHERE direction <> 'in-range' GROUP BY axis, direction""",
+        "axis_feature_differences": f"""WITH {_offsets()}, f AS (SELECT layer, tile, feature_index, bool_or(x_direction <> 'in-range') AS x, bool_or(y_direction <> 'in-range') AS y FROM en GROUP BY ALL)
+          SELECT layer, count(*) FILTER (x AND NOT y) AS only_left, count(*) FILTER (y AND NOT x) AS only_right, count(*) FILTER (x AND y) AS both FROM f GROUP BY layer""",
         "direction_balance": f"WITH {_offsets()}, n AS (SELECT axis, direction, count(*) AS n FROM ax GROUP BY ALL) SELECT *, n::DOUBLE / (SELECT sum(n) FROM n)::DOUBLE AS share FROM n",
         "cross_provider_identity": f"""WITH {C1}, p AS (SELECT sk % 3 AS ds, tile, layer, feature_index % 2 AS feature_index, feature_index AS seq, CASE WHEN pk % 3 <> 0 THEN p_name END AS name, p_type AS class FROM c1 JOIN part ON pk = p_partkey),
           l AS (SELECT ds, tile, layer, feature_index, arg_max(struct_pack(name := name, class := class), seq) AS q FROM p GROUP BY ds, tile, layer, feature_index),

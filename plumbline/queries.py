@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import carriers as c
 from plumbline.functions import geometry as g
 from plumbline.model import Frames
-from plumbline.operators import analytics, boxes, digests, inspector, reports, segments, style_rules, tile_rules
+from plumbline.operators import analytics, boxes, digests, inspector, reports, segments, sketches, style_rules, tile_rules
 from plumbline.plans import engine as e
 from plumbline.plans.rules import Plugin, catalogue_frame
 from plumbline.shared import shared_folder
@@ -284,6 +284,28 @@ def offset_profile(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({p: F.floor(F.col(p) * 1000 + 0.5).cast("long") for p in ("median", "p95", "p99")})
 
 
+def _sketched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries by axis, and the store of two runs that hold them, even tiles in one and odd ones in the other."""
+    entries, path = analytics.axis_entries(_entries(spark, d)), shared_folder(spark, "sketches")
+    for k, run in enumerate(("even", "odd")):
+        sketches.add_run(sketches.tile_sketches(entries.where(F.col("source_idx") % 2 == k), run), path)
+    return entries, sketches.stored(spark, path)
+
+
+def offset_profile_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles merged from the sketches of tiles of two runs, and whether their quantiles keep to the error of ranks."""
+    entries, store = _sketched(spark, d)
+    found = sketches.profile(store, "axis", "direction")
+    errors = sketches.rank_errors(entries, found, "axis", "direction").drop("n")
+    return found.join(errors, ["axis", "direction"]).select("axis", "direction", "n", "min", "max", "features", (F.col("error") <= sketches.RANK_ERROR).alias("within"))
+
+
+def axis_feature_differences(spark: SparkSession, d: str) -> DataFrame:
+    """By layer, distinct features that are out of range on x alone, on y alone and on both."""
+    _, store = _sketched(spark, d)
+    return sketches.differences(store.where("axis = 'x'"), store.where("axis = 'y'"), "layer")
+
+
 def offset_breakdowns(spark: SparkSession, d: str) -> DataFrame:
     return analytics.offset_breakdowns(analytics.axis_entries(_entries(spark, d)), "direction", "layer", "geometry_type")
 
@@ -452,6 +474,8 @@ def queries() -> dict[str, Query]:
         "decoder_digest_levels": decoder_digest_levels,
         "offset_entries": offset_entries,
         "offset_histogram": lambda s, d: analytics.offset_histogram(_entries(s, d)),
+        "offset_profile_sketched": offset_profile_sketched,
+        "axis_feature_differences": axis_feature_differences,
         "offset_breakdowns": offset_breakdowns,
         "offset_profile": offset_profile,
         "direction_balance": lambda s, d: analytics.direction_balance(_entries(s, d)),
