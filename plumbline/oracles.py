@@ -252,6 +252,12 @@ def _oracles() -> dict[str, str]:
         "decoder_digest_levels": f"""WITH f AS ({_CROSSCHECK})
           SELECT 'tile' AS level, count(DISTINCT tile) AS differing FROM f UNION ALL SELECT 'layer', count(DISTINCT (tile, layer)) FROM f
           UNION ALL SELECT 'feature', count(DISTINCT (tile, layer, feature_index)) FROM f WHERE feature_index IS NOT NULL""",
+        "custom_rule_sql": f"""WITH {C1}, o AS (SELECT tile, x, row_number() OVER w AS k, lag(x) OVER w AS before FROM c1 WINDOW w AS (PARTITION BY tile ORDER BY {_ORD}, feature_index)),
+          stop AS (SELECT tile, min(k) AS stop FROM o WHERE x % 997 = 5 GROUP BY tile),
+          f AS (SELECT tile, k, 'x jumps by ' || abs(x - before) || '.' AS message, '{{"x": ' || x || '}}' AS data, false AS crashed FROM o LEFT JOIN stop USING (tile) WHERE abs(x - before) > 2000 AND k < coalesce(stop, 1000000)
+            UNION ALL SELECT tile, k, 'Rule custom/jumps failed: x is ' || x, NULL, true FROM o JOIN stop USING (tile) WHERE k = stop
+            UNION ALL SELECT tile, 1000000, count(*) || ' features.', NULL, false FROM o WHERE tile NOT IN (SELECT tile FROM stop) GROUP BY tile HAVING count(*) > 5)
+          SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY k) - 1 AS seq, message, data, crashed FROM f""",
         "watch_changes": _CHANGES,
         "watch_replay": _CHANGES,
         "offset_entries": f"WITH {_offsets()} SELECT * FROM en",

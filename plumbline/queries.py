@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import carriers as c
@@ -12,6 +12,7 @@ from plumbline.functions import geometry as g
 from plumbline.model import Frames
 from plumbline.operators import analytics, boxes, digests, inspector, reports, segments, sketches, style_rules, tile_rules
 from plumbline.plans import engine as e
+from plumbline.plans.rule_udtf import SqlRule, register_rules
 from plumbline.plans.rules import Plugin, catalogue_frame
 from plumbline.shared import shared_folder
 from plumbline.sources import scan
@@ -390,6 +391,32 @@ def style_valid_json(spark: SparkSession, d: str) -> DataFrame:
     return style_rules.valid_json(c.parsed_styles(spark, d), {}).select(F.col("source_idx").alias("style"), F.col("location.jsonPath").alias("path"))
 
 
+class Jumps:
+    """Features whose x is far from that of the one before; it takes no x that leaves 5 when divided by 997."""
+
+    def __init__(self, options: dict) -> None:
+        self.limit, self.last, self.n = options["limit"], None, 0
+
+    def row(self, row: Row) -> Iterator[dict]:
+        if row.x % 997 == 5:
+            raise ValueError(f"x is {row.x}")
+        if self.last is not None and abs(row.x - self.last) > self.limit:
+            yield {"message": f"x jumps by {abs(row.x - self.last)}.", "data": {"x": row.x}}
+        self.last, self.n = row.x, self.n + 1
+
+    def end(self) -> Iterator[str]:
+        if self.n > 5:
+            yield f"{self.n} features."
+
+
+def custom_rule_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A rule written in Python, called from SQL for each tile."""
+    register_rules(spark, [SqlRule("custom/jumps", Jumps, ("x",))])
+    points = c.line_features(spark, d).select(F.col("source_idx").alias("tile"), "layer_ord", "feature_index", F.element_at(F.element_at("parts", 1), 1)["x"].alias("x"))
+    points.createOrReplaceTempView("points_of_tiles")
+    return spark.sql("""SELECT * FROM run_rule(TABLE(points_of_tiles) PARTITION BY tile ORDER BY (layer_ord, feature_index), 'custom/jumps', 'tile', '{"limit": 2000}')""")
+
+
 STALE_MINUTES = 600
 
 
@@ -491,6 +518,7 @@ def queries() -> dict[str, Query]:
         "layer_issues": layer_issues,
         "batch_verdict": batch_verdict,
         "bench_stats": bench_stats,
+        "custom_rule_sql": custom_rule_sql,
         "watch_changes": watch_changes,
         "watch_replay": watch_replay,
         "rule_catalog": rule_catalog,
