@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.queries import BENCH_ROWS, STALE_MINUTES
+from plumbline.queries import STALE_MINUTES
 
 C1 = """
 c1 AS (SELECT l_orderkey AS tile, l_returnflag AS layer,
@@ -123,7 +123,6 @@ ax AS (SELECT layer, geometry_type, 'x' AS axis, x_offset AS off, x_direction AS
 
 _RANK = "(CASE WHEN abs(off) <= 64 THEN 1 WHEN abs(off) <= 128 THEN 2 WHEN abs(off) <= 256 THEN 3 WHEN abs(off) <= 512 THEN 4 WHEN abs(off) <= 1024 THEN 5 WHEN abs(off) <= 4096 THEN 6 ELSE 7 END * sign(off))::INT"
 _ORD = "CASE layer WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
-_BENCH = ", ".join(str(r) for r in BENCH_ROWS)
 
 
 _CROSSCHECK = f"""WITH {C1} SELECT tile, layer, NULL::INT AS feature_index, 'layer-names' AS dimension FROM layers WHERE layer = 'R' AND tile % 7 = 0
@@ -157,7 +156,7 @@ CASTS = {
     "engine_overrides": {"feature_index": "INT"}, "engine_summary": {"infos": "BIGINT"}, "engine_summary_truncated": {"infos": "BIGINT"}, "engine_early_stop_summary": {"infos": "BIGINT"}, "tile_pyramid": {"x": "INT", "y": "INT"},
     "mvt_roundtrip_features": {"feature_index": "INT"}, "mvt_roundtrip_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"},
     "mvt_light_layers": {"layer_ord": "INT", "extent": "BIGINT", "n_features": "INT"}, "decoder_crosscheck": {"feature_index": "INT"}, "decoder_digest_tree": {"feature_index": "INT"}, "offset_entries": {"point_index": "INT"},
-    "cross_provider_identity": {"feature_index": "INT"}, "ring_root_cause": {"first": "INT", "second": "INT", "duplicate_count": "INT"}, "layer_report": {"n_features": "INT"},
+    "cross_provider_identity": {"feature_index": "INT"}, "ring_root_cause": {"first": "INT", "second": "INT", "duplicate_count": "INT"}, "layer_report": {"n_features": "INT"}, "identity_properties": {"feature_index": "INT"},
 }
 
 
@@ -292,8 +291,19 @@ def _oracles() -> dict[str, str]:
         "layer_issues": f"""WITH {ENGINE}, o AS (SELECT *, row_number() OVER (PARTITION BY tile, layer, rule ORDER BY e1, e2, e3) AS z FROM d1 WHERE layer IS NOT NULL)
           SELECT tile, layer, rule AS "ruleId", count(*) AS n, least(count(*), 2)::INT AS shown, max(message) FILTER (z = 1) AS first_message FROM o GROUP BY tile, layer, rule""",
         "batch_verdict": f"WITH {ENGINE}, e AS (SELECT tile, coalesce((SELECT count(*) FROM d1 WHERE d1.tile = tiles.tile AND severity = 'error'), 0) = 0 AS ok FROM tiles) SELECT count(*) AS total, count(*) FILTER (ok) AS passed, bool_and(ok) AS pass FROM e",
-        "bench_stats": f"""WITH b(dataset, tiles, ms, thr, heap, rss) AS (VALUES {_BENCH}), d AS (SELECT dataset, tiles::DOUBLE AS tiles, ms::DOUBLE AS ms, thr::DOUBLE AS thr, heap::DOUBLE AS heap, rss::DOUBLE AS rss FROM b)
-          SELECT dataset, count(*) AS runs, floor(avg(ms) * 1000 + 0.5)::BIGINT AS mean_ms, floor(median(ms) * 1000 + 0.5)::BIGINT AS median_ms, floor(stddev_pop(ms) * 1000 + 0.5)::BIGINT AS sigma_ms,
-            floor(avg(thr) * 1000 + 0.5)::BIGINT AS mean_throughput, floor(sum(tiles) * 1000 / sum(ms) * 1000 + 0.5)::BIGINT AS tiles_per_s, floor(10000 * sum(ms) / sum(tiles) / 1000 * 1000 + 0.5)::BIGINT AS seconds_per_10k,
-            max(heap) AS peak_heap_mb, max(rss) AS peak_rss_mb FROM d GROUP BY dataset""",
+        "bench_stats": """WITH d AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'legacy' WHEN 'F' THEN 'engine' ELSE 'native' END AS run_mode, l_returnflag AS dataset, floor(l_quantity)::DOUBLE AS tiles, l_extendedprice::DOUBLE AS ms,
+            l_quantity::DOUBLE * 1000 / l_extendedprice::DOUBLE AS thr, (l_discount * 1000)::DOUBLE AS heap, (l_tax * 2000)::DOUBLE AS rss FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('O', 'F', 'P')),
+          s AS (SELECT run_mode, dataset, count(*) AS runs, avg(ms) AS mean_ms, median(ms) AS median_ms, stddev_pop(ms) AS sigma_ms, avg(thr) AS mean_throughput, sum(tiles) * 1000 / sum(ms) AS tiles_per_s,
+            10000 * sum(ms) / sum(tiles) / 1000 AS seconds_per_10k, max(heap) AS peak_heap_mb, max(rss) AS peak_rss_mb FROM d GROUP BY run_mode, dataset)
+          SELECT run_mode, dataset, runs, """
+        + ", ".join(f"floor({c} * 1000 + 0.5)::BIGINT AS {c}" for c in ("mean_ms", "median_ms", "sigma_ms", "mean_throughput", "tiles_per_s", "seconds_per_10k", "peak_heap_mb", "peak_rss_mb"))
+        + " FROM s",
+        "point_functions": f"""WITH {c2(8)} SELECT tile, feature_index, (pts[1].x - pts[2].x) * (pts[1].x - pts[2].x) + (pts[1].y - pts[2].y) * (pts[1].y - pts[2].y) AS d2, (pts[1].x + pts[2].x) / 2.0::DOUBLE AS mid_x, (pts[1].y + pts[2].y) / 2.0::DOUBLE AS mid_y,
+          pts[1].x + (pts[2].x - pts[1].x) * 0.25::DOUBLE AS lerp_x, pts[1].y + (pts[2].y - pts[1].y) * 0.25::DOUBLE AS lerp_y FROM c2""",
+        "tile_addresses": "SELECT o_orderkey AS tile, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 15 END::INT AS z, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END::INT AS x, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 7 END::INT AS y FROM orders",
+        "no_provider": """WITH s AS (SELECT page_id, CASE WHEN page_id % 11 = 3 THEN ' {"page":' || page_id || '}' ELSE url || (['', '.pbf', '.MVT ', '.json', '.mbtiles', '.style', '.vector.pbf'])[page_id % 7 + 1] END AS source FROM pages)
+          SELECT page_id, 'artifact/no-provider' AS "ruleId", 'error' AS severity, 'No provider for ' || source AS message FROM s
+          WHERE NOT regexp_matches(lower(trim(source)), '[.](pbf|mvt|mbtiles|json|style)$') AND NOT regexp_matches(source, '^\\s*[\\[{]')""",
+        "ring_counters": f"""{FLAGGED} SELECT cause, count(*) AS n, count(*) FILTER (is_collinear) AS collinear, count(*) FILTER (shared_vertex) AS shared, count(*) FILTER (duplicate_count > 0) AS duplicates FROM g GROUP BY cause""",
+        "identity_properties": f"""WITH {C1} SELECT tile, layer, feature_index, CASE WHEN pk % 3 <> 0 AND p_name IS NOT NULL THEN 'class,name' ELSE 'class' END AS keys, CASE WHEN pk % 3 <> 0 THEN p_name END AS name FROM c1 JOIN part ON pk = p_partkey""",
     }

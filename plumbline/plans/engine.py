@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -15,6 +16,8 @@ from plumbline.model import ARTIFACT_REF, LOCATION, SEVERITIES, Frames
 from plumbline.plans.rules import Plugin, Rule, RowRule, catalogue
 from plumbline.shared import written
 
+LOG = logging.getLogger(__name__)
+
 # The defaults of the global options.
 DEFAULTS = {"timeout": 30_000, "maxDetails": 100, "maxDiagnostics": 1_000}
 NO_PROVIDER, LOAD_FAILED, RULE_ERROR, TRUNCATED = "artifact/no-provider", "artifact/load-failed", "engine/rule-error", "engine/max-diagnostics"
@@ -112,9 +115,14 @@ def loaded(artifacts: DataFrame) -> DataFrame:
 
 def rule_diagnostics(frames: Frames, resolved: Resolved) -> list[DataFrame]:
     """One plan for each rule and distinct setting that can hold; disabled branches are not built."""
-    out = []
+    return [plan for _, plans in rule_plans(frames, resolved) for plan in plans]
+
+
+def rule_plans(frames: Frames, resolved: Resolved) -> Iterator[tuple[int, list[DataFrame]]]:
+    """The number of each rule that has plans, and those."""
     frames = frames.complete()
     for number, rule in enumerate(resolved.rules):
+        out = []
         chosen, settings = setting_of(resolved, rule.id, F.col("source"))
         for k, setting in enumerate(settings):
             if setting.severity == "off":
@@ -132,7 +140,8 @@ def rule_diagnostics(frames: Frames, resolved: Resolved) -> list[DataFrame]:
                 F.when(crashed, F.lit("error")).otherwise(F.lit(setting.severity)).alias("severity"), "message", "location", "suggestion",
                 F.when(~crashed, F.lit(rule.docs_url)).alias("docsUrl"), "data",
             ))
-    return out
+        if out:
+            yield number, out
 
 
 def with_artifact(diagnostics: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -227,12 +236,43 @@ class Engine:
         self.plugins = tuple(plugins)
         self.resolved = resolve([r for p in self.plugins for r in p.rules], config)
 
-    def run(self, frames: Frames) -> RunResult:
+    def run(self, frames: Frames, reporter: Callable[[RunResult], object] | None = None, isolate: bool = False) -> RunResult:
         """Diagnostics in report order and the summary row; rules are evaluated once for both.
 
-        The capped rows (``maxDiagnostics`` of them at most) are persisted.
+        The capped rows (``maxDiagnostics`` of them at most) are persisted. An error of ``reporter`` is logged
+        and does not touch the result. With ``isolate`` each rule's rows are written by a job of its own: a rule
+        whose plan fails is an error on every artifact that it was started on, and the next rule runs.
         """
-        kept = with_artifact(cap_total(self._capped(frames), self.resolved.options["maxDiagnostics"]), frames.artifacts).persist()
+        frames = self._settled(frames) if isolate else frames
+        result = self._run(frames, isolate)
+        if reporter is not None:
+            try:
+                reporter(result)
+            except Exception:  # a reporter that fails does not decide the run
+                LOG.exception("the reporter failed")
+        return result
+
+    def _settled(self, frames: Frames) -> Frames:
+        """The frames with their artifacts written, as every rule's job reads them."""
+        return replace(frames, artifacts=written(frames.artifacts, "artifacts"))
+
+    def _isolated(self, frames: Frames) -> DataFrame:
+        """The rows of :meth:`_capped`, each rule's from a job of its own."""
+        found, started = [infrastructure(frames.artifacts)], executions(frames, self.resolved)
+        for number, parts in rule_plans(frames, self.resolved):
+            try:
+                found.append(written(cap_details(reduce(DataFrame.unionByName, parts), self.resolved.options["maxDetails"]), "rule"))
+            except Exception as error:  # noqa: BLE001 - any failure of a rule's plan is data
+                none, text = F.lit(None).cast("string"), str(error).split("\n", 1)[0][:500]
+                rows = started.where(F.col("rule_idx") == number)
+                found.append(rows.select(
+                    "source_idx", "rule_idx", F.array(F.lit(0).cast("long")).alias("emit_seq"), F.lit(RULE_ERROR).alias("ruleId"), F.lit("error").alias("severity"),
+                    F.lit(f"Rule {self.resolved.rules[number].id} failed: {text}").alias("message"), F.lit(None).cast(LOCATION).alias("location"), none.alias("suggestion"), none.alias("docsUrl"), none.alias("data"),
+                ))
+        return reduce(DataFrame.unionByName, found)
+
+    def _run(self, frames: Frames, isolate: bool = False) -> RunResult:
+        kept = with_artifact(cap_total(self._isolated(frames) if isolate else self._capped(frames), self.resolved.options["maxDiagnostics"]), frames.artifacts).persist()
         return RunResult(sort_diagnostics(kept), summarize(kept, frames.artifacts, executions(frames, self.resolved)))
 
     def _capped(self, frames: Frames) -> DataFrame:
@@ -256,7 +296,7 @@ class Engine:
             held += slices[-1][0].count()
             low, size = low + size, size + low - bounds.low
         if not slices:
-            return self.run(load(raw))
+            return self._run(load(raw))
         found, artifacts, started = (reduce(DataFrame.unionByName, dfs) for dfs in zip(*slices, strict=True))
         kept = with_artifact(cap_total(found, limit), artifacts).persist()
         return RunResult(sort_diagnostics(kept), summarize(kept, artifacts, started, bounds.n))

@@ -20,17 +20,8 @@ from plumbline.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 VIEW = inspector.Viewport(1024, 1024, zoom=0.25, pan_x=0.0, pan_y=64.0)
-BENCH_ROWS = [  # fixed values: published runs as (dataset, tiles, milliseconds, tiles a second, heap, RSS)
-    ("OpenMapTiles", 94, 744.68, 126.29, 23.35, 115.75),
-    ("OpenMapTiles", 94, 761.79, 123.52, 23.35, 115.75),
-    ("OpenMapTiles", 94, 754.87, 124.78, 23.35, 115.75),
-    ("OpenFreeMap", 100, 815.15, 122.68, 82.51, 183.43),
-    ("OpenFreeMap", 100, 852.23, 117.42, 82.51, 183.43),
-    ("OpenFreeMap", 100, 842.07, 118.93, 82.51, 183.43),
-    ("CARTO Streets", 100, 534.25, 187.24, 38.66, 176.91),
-    ("CARTO Streets", 100, 551.66, 181.49, 38.66, 176.91),
-    ("CARTO Streets", 100, 543.27, 184.17, 38.66, 176.91),
-]
+#: Modes of benchmark runs, by the status of the orders that stand in for them.
+BENCH_MODES = {"O": "legacy", "F": "engine", "P": "native"}
 
 
 def _flat(found: DataFrame) -> DataFrame:
@@ -362,13 +353,63 @@ def batch_verdict(spark: SparkSession, d: str) -> DataFrame:
     return reports.batch_verdict(reports.tile_report(frames.artifacts, frames.layers, found))
 
 
+def bench_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a benchmark run in the published form, a JSON text whose ``results`` are its line items."""
+    items, orders = c.table(spark, d, "lineitem"), c.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    ms, tiles = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
+    result = F.struct(F.col("l_returnflag").alias("dataset"), tiles.cast("int").alias("tiles"), ms.alias("timeMs"), (tiles * 1000 / ms).alias("throughput"), (F.col("l_discount") * 1000).cast("double").alias("peakHeapMb"), (F.col("l_tax") * 2000).cast("double").alias("peakRssMb"))
+    runs = items.join(orders, "l_orderkey").groupBy("l_orderkey", "o_orderstatus").agg(F.collect_list(result).alias("results"))
+    return runs.select("o_orderstatus", F.to_json(F.struct("results")).alias("value"))
+
+
 def bench_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(BENCH_ROWS, "dataset string, tiles int, timeMs double, throughput double, peakHeapMb double, peakRssMb double")
-    stats = analytics.run_statistics(rows, "dataset")
-    rounded = ["mean_ms", "median_ms", "sigma_ms", "mean_throughput", "tiles_per_s", "seconds_per_10k"]
+    """Statistics of the runs of three modes, by mode and dataset."""
+    schema = "results array<struct<dataset:string,tiles:int,timeMs:double,throughput:double,peakHeapMb:double,peakRssMb:double>>"
+    runs, parts = bench_runs(spark, d), []
+    for status, mode in BENCH_MODES.items():
+        own = runs.where(F.col("o_orderstatus") == status).select(F.from_json("value", schema).alias("run")).select("run.*")
+        parts.append(analytics.explode_runs(own, mode))
+    stats = analytics.run_statistics(parts[0].unionByName(parts[1]).unionByName(parts[2]), "run_mode", "dataset")
+    rounded = ["mean_ms", "median_ms", "sigma_ms", "mean_throughput", "tiles_per_s", "seconds_per_10k", "peak_heap_mb", "peak_rss_mb"]
     return stats.withColumns({n: F.floor(F.col(n) * 1000 + 0.5).cast("long") for n in rounded})
 
 
+def point_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Distance, middle and a point a quarter of the way between the first two points of each part."""
+    p, q = (F.element_at("part", k) for k in (1, 2))
+    found = _parts(spark, d, 8).select(F.col("source_idx").alias("tile"), "feature_index", g.distance_squared(p, q).alias("d2"), g.midpoint(p, q).alias("m"), g.lerp(p, q, 0.25).alias("l"))
+    return found.select("tile", "feature_index", "d2", F.col("m.x").alias("mid_x"), F.col("m.y").alias("mid_y"), F.col("l.x").alias("lerp_x"), F.col("l.y").alias("lerp_y"))
+
+
+def tile_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Zoom, column and row of file names; a third have another ending."""
+    key = F.col("o_orderkey")
+    name = F.concat_ws("-", (key % 15).cast("string"), F.col("o_custkey").cast("string"), (key % 7).cast("string"))
+    path = F.concat(F.lit("cache/"), name, F.when(key % 3 == 0, ".json").otherwise(".pbf"))
+    return c.table(spark, d, "orders").select(key.alias("tile"), scan.tile_address(path).alias("a")).select("tile", "a.*")
+
+
+def no_provider(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that no provider takes, as the engine reports them."""
+    found = source_routing(spark, d).select(F.col("page_id").alias("source_idx"), "source", "artifact_type", F.lit(None).cast("string").alias("load_error"))
+    return e.infrastructure(found).select(F.col("source_idx").alias("page_id"), "ruleId", "severity", "message")
+
+
+def ring_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of rings that intersect themselves, counted by cause."""
+    return analytics.ring_counters(_rings_with_facts(spark, d), "cause").drop("touch")
+
+
+def identity_properties(spark: SparkSession, d: str) -> DataFrame:
+    """The identifying properties that features have, of four that they may have."""
+    text = lambda v: F.when(v.isNotNull(), F.struct(F.lit("string").alias("kind"), v.alias("s")))
+    names = c.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("name"), F.col("p_type").alias("kind_of"))
+    rows = c.line_features(spark, d).join(names, "l_partkey")
+    given = F.create_map(F.lit("name"), text(F.col("name")), F.lit("class"), text(F.col("kind_of")), F.lit("subclass"), text(F.lit(None).cast("string")), F.lit("other"), text(F.col("kind_of")))
+    found = analytics.identity_properties(given)
+    return rows.select(F.col("source_idx").alias("tile"), "layer", "feature_index", F.array_join(F.array_sort(F.map_keys(found)), ",").alias("keys"), F.element_at(found, "name")["s"].alias("name"))
+
+
 def rule_catalog(spark: SparkSession, d: str) -> DataFrame:
     return catalogue_frame(spark, (*tile_rules.RULES, *style_rules.RULES))
 
@@ -518,6 +559,11 @@ def queries() -> dict[str, Query]:
         "layer_issues": layer_issues,
         "batch_verdict": batch_verdict,
         "bench_stats": bench_stats,
+        "point_functions": point_functions,
+        "tile_addresses": tile_addresses,
+        "no_provider": no_provider,
+        "ring_counters": ring_counters,
+        "identity_properties": identity_properties,
         "custom_rule_sql": custom_rule_sql,
         "watch_changes": watch_changes,
         "watch_replay": watch_replay,

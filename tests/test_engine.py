@@ -185,3 +185,27 @@ def test_mixed_frames_meet_their_own_rules(spark):
 def test_plugins_carry_rules_and_providers():
     assert [p.id for p in scan.DEFAULT_PLUGINS] == ["tile", "style"] and isinstance(scan.TILE_PLUGIN, Plugin)
     assert len(e.Engine(scan.DEFAULT_PLUGINS).resolved.rules) == 19
+
+
+def test_a_failing_plan_rule_and_a_failing_reporter_end_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.model import VECTOR_TILE, finding
+    from plumbline.plans.rules import Rule
+
+    broken = Rule("t/broken", "Fails.", "error", (VECTOR_TILE,), lambda frames, options: frames.artifacts.select(*finding([F.lit(0)], F.raise_error(F.lit("no plan")).cast("string"))))
+    frames = tile_frames(spark, tile(a=[feature(POINT, [(9000, 1)])]), ONE, b"")
+    engine = e.Engine([Plugin("t", rules=(broken, *tile_rules.RULES))], {"rules": {"tile/coordinate-range": "error"}})
+    reported = []
+
+    def reporter(result):
+        reported.append(result.summary.first()["errors"])
+        raise OSError("no disk")
+
+    result = engine.run(frames, reporter, isolate=True)
+    found = sorted((d["ruleId"], d["source_idx"]) for d in result.diagnostics.collect())
+    assert found == [("artifact/load-failed", 2), ("engine/rule-error", 0), ("engine/rule-error", 1), ("tile/coordinate-range", 0)]
+    assert "t/broken failed" in next(d["message"] for d in result.diagnostics.collect() if d["ruleId"] == "engine/rule-error")
+    assert reported == [4]
+    rest = e.Engine([Plugin("t", rules=tile_rules.RULES)], {"rules": {"tile/coordinate-range": "error"}})
+    assert [tuple(r) for r in rest.run(frames, isolate=True).diagnostics.collect()] == [tuple(r) for r in rest.run(frames).diagnostics.collect()]
