@@ -284,11 +284,21 @@ class Layer:
             yield own
 
 
+#: Geometry that is decoded at a time, over as many tiles as it takes: numpy's fixed costs are paid once for all of them.
+SETTLE_BYTES = 1 << 20
+_FAULTS = (TileError, OSError, EOFError, zlib.error, OverflowError, struct.error)
+
+
 class Columns:
-    """Decoded tiles as flat columns, from which the nested Arrow column is put together at once."""
+    """Decoded tiles as flat columns, from which the nested Arrow column is put together at once.
+
+    Messages are read tile by tile; the geometry of many tiles is decoded together.
+    """
 
     def __init__(self, light: bool = False, int_zigzag: bool = False) -> None:
         self.light, self.int_zigzag = light, int_zigzag
+        self.pending: list[tuple[list[Layer], list, tuple]] = []  # layers, their properties, and what the tile's row says
+        self.pending_bytes = 0
         self.tiles: list[tuple[int, int, int | None, bool, str | None]] = []  # layers, bytes, decoded bytes, gzipped, error
         self.layers: list[tuple[str, int | None, int, int, int]] = []  # name, version, extent, features there, features given
         self.ids: list[int | None] = []
@@ -317,14 +327,33 @@ class Columns:
                 if field == 3 and wire == 2 and (layer := Layer(value, self.light, self.int_zigzag)).name:
                     layers[layer.name] = layer
             found = list(layers.values())
-            x, y, part_sizes, parts_of = decode_geometry([b for layer in found for b in layer.blocks])
             properties = [list(layer.properties()) for layer in found]
-        except (TileError, OSError, EOFError, zlib.error, OverflowError, struct.error) as error:
-            self.tiles.append((0, size, decoded, gzipped, f"{type(error).__name__}: {error}"))
+        except _FAULTS as error:
+            self.pending.append(([], [], (size, decoded, gzipped, f"{type(error).__name__}: {error}")))
+            return
+        self.pending.append((found, properties, (size, decoded, gzipped, None)))
+        self.pending_bytes += decoded
+        if self.pending_bytes >= SETTLE_BYTES:
+            self.settle()
+
+    def settle(self) -> None:
+        """Decode the geometry of all tiles that wait for it; a tile whose geometry is broken gets its error."""
+        waiting, self.pending, self.pending_bytes = self.pending, [], 0
+        try:
+            x, y, part_sizes, parts_of = decode_geometry([b for found, _, _ in waiting for layer in found for b in layer.blocks])
+        except _FAULTS as error:
+            if len(waiting) == 1:
+                size, decoded, gzipped, _ = waiting[0][2]
+                self.tiles.append((0, size, decoded, gzipped, f"{type(error).__name__}: {error}"))
+            else:
+                half = len(waiting) // 2
+                for part in (waiting[:half], waiting[half:]):
+                    self.pending = part
+                    self.settle()
             return
         self.x.append(x)
         self.y.append(y)
-        kinds = [k for layer in found for k in layer.kinds]
+        kinds = [k for found, _, _ in waiting for layer in found for k in layer.kinds]
         if any(k == 1 and n > 1 for k, n in zip(kinds, parts_of, strict=True)):  # points are one part
             sizes = iter(part_sizes)
             own = [[next(sizes) for _ in range(n)] for n in parts_of]
@@ -333,18 +362,21 @@ class Columns:
         self.kinds += kinds
         self.parts_of += parts_of
         self.part_sizes += part_sizes
-        for layer, named in zip(found, properties, strict=True):
-            self.layers.append((layer.name, layer.version, layer.extent, layer.n_features, len(layer.ids)))
-            self.ids += layer.ids
-            begin = len(self.values)
-            self.values += layer.values
-            self.n_tags += map(len, named)
-            self.keys += [k for own in named for k in own]
-            self.value_at += [None if v is None else begin + v for own in named for v in own.values()]
-        self.tiles.append((len(found), size, decoded, gzipped, None))
+        for found, properties, row in waiting:
+            for layer, named in zip(found, properties, strict=True):
+                self.layers.append((layer.name, layer.version, layer.extent, layer.n_features, len(layer.ids)))
+                self.ids += layer.ids
+                begin = len(self.values)
+                self.values += layer.values
+                self.n_tags += map(len, named)
+                self.keys += [k for own in named for k in own]
+                self.value_at += [None if v is None else begin + v for own in named for v in own.values()]
+            self.tiles.append((len(found), *row))
 
     def array(self) -> pa.StructArray:
         """The tiles as a column of type ``TILE``."""
+        if self.pending:
+            self.settle()
         offsets = lambda sizes: pa.array(np.r_[0, np.cumsum(np.asarray(sizes, np.int64))].astype(np.int32))
         joined = lambda arrays: pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64))
         points = pa.StructArray.from_arrays([joined(self.x), joined(self.y)], fields=list(_POINT))

@@ -107,3 +107,18 @@ def test_light_decoder_counts_without_features(spark, rows):
     frames = tile_frames(spark, tile(a=[feature(POINT, [(1, 1)])] * 3, b=[]), light=True)
     assert [(r["layer"], r["n_features"]) for r in rows(frames.layers)] == [("a", 3), ("b", 0)]
     assert frames.features.count() == 0
+
+
+def test_broken_geometry_spoils_its_own_tile_alone():
+    """Tiles are decoded together; those with broken streams are found among the others, in their order."""
+    good = tile(a=[feature(POINT, [(1, 1)]), feature(LINE, [(0, 0), (3, 4)])])
+    layer = lambda block: mvt._field(3, mvt._field(1, b"a") + mvt._field(2, mvt._number(3, 2) + mvt._field(4, block)))
+    broken = layer(bytes([9, 2]))
+    tiles = mvt.Columns()
+    contents = [good, broken, good, b"", good, good, broken, good]
+    for one in contents:
+        tiles.add(one)
+    rows = tiles.array().to_pylist()
+    assert [r["error"] is None for r in rows] == [c == good for c in contents]
+    alone = mvt.read_tile(good)
+    assert all(r == alone for r, c in zip(rows, contents, strict=True) if c == good) and rows[1] == mvt.read_tile(broken)
