@@ -184,13 +184,6 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return equal.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def with_root(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Written ``members`` with the ``root`` of their class ``cls`` in the components of ``links``."""
-    roots = connected_components(links).withColumnRenamed("node", "cls")
-    found = members.join(roots, "cls", "left").withColumn("root", F.coalesce("component", "cls")).drop("component")
-    return write_stage(found, "near-placed")
-
-
 def class_links(marked: DataFrame, mark: str, text_col: str) -> DataFrame:
     """Links ``(a, b)`` between classes whose components are those of all confirmed candidate pairs; ``marked`` has a unique ``row``."""
     texts = marked.select("row", F.col(text_col).alias("text"))
@@ -198,16 +191,18 @@ def class_links(marked: DataFrame, mark: str, text_col: str) -> DataFrame:
     classes = write_stage(one.join(marked.select("row", f"{mark}.fp", f"{mark}.n", f"{mark}.bands"), "row"), "near-classes")
     links = confirmed(write_stage(fingerprint_pairs(classes), "near-pairs"), classes, texts)
 
-    own = with_root(classes.select("cls", "fp", "n", "bands"), links).select(F.struct("cls", "fp", "n", "root").alias("own"), F.explode("bands").alias("band"))
-    own = write_stage(own, "near-bands")
+    own = write_stage(classes.select(F.struct("cls", "fp", "n").alias("own"), F.explode("bands").alias("band")), "near-bands")
     shared = own.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("own").alias("rep")).where("size > 1")
     members = write_stage(hot_join(own, shared.drop("size"), "band"), "near-members")
-    met = members.select(F.col("rep").alias("x"), F.col("own").alias("y")).where("x.root <> y.root")
+    met = members.select(F.col("rep").alias("x"), F.col("own").alias("y")).where("x.cls <> y.cls")
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-    more = confirmed(write_stage(met.where(_possible("x", "y")).select(*pair).distinct(), "near-pairs"), classes, texts)
+    pairs = met.where(_possible("x", "y")).select(*pair).distinct().join(links, ["a", "b"], "left_anti")
+    more = confirmed(write_stage(pairs, "near-pairs"), classes, texts)
 
-    links = write_stage(links.union(more), "near-links")
-    placed = with_root(members.select("band", "own.cls", "own.n"), links)
+    links = links.union(more)
+    roots = connected_components(links).withColumnRenamed("node", "cls")
+    placed = members.select("band", "own.cls", "own.n").join(roots, "cls", "left").withColumn("root", F.coalesce("component", "cls")).drop("component")
+    placed = write_stage(placed, "near-placed")
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     placed = write_stage(hot_join(placed, mixed.select("band", F.col("main.root").alias("main")), "band"), "near-mixed")

@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, small, matches, name):
 
 def test_each_operator_has_one_query():
     names = [n for n in queries.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries.queries()
