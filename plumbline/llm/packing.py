@@ -36,7 +36,7 @@ LINES = 1024
 #: Words that a line feed parts from others like them: no line feed inside, no blank at the ends but one space that begins them.
 PLAIN = re.compile("\x20?[^\\s\u180e\u200b\ufeff](?:.*[^\\s\u180e\u200b\ufeff])?")
 #: A length's ranks are cut into this many cells for the join with its runs.
-CELLS = 256
+CELLS = 16
 
 
 def _table(values: Iterable[int]) -> np.ndarray:
