@@ -1,30 +1,36 @@
 """Offsets and bad features as sketches of each tile, kept by run and merged for any grouping.
 
-A run stores one row for each tile, layer, axis and direction: counts and bounds, a KLL sketch of the sizes of the
-offsets and a theta sketch of the features. Runs are added as files of their own, and profiles, numbers of
+A run stores one row for each tile, layer, axis, direction and block of 64 features: counts and bounds, a KLL sketch of
+the sizes of the offsets and the features as bits, so that numbers of features are exact at any size. Runs are added as files of their own, and profiles, numbers of
 distinct features and set differences come from the stored rows alone, never from tiles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Items that a level of a KLL sketch holds; the rank of a quantile is then off by less than RANK_ERROR of the rows (99 %).
 KLL_K, RANK_ERROR = 1024, 0.005
-#: A theta sketch of up to 2 ** LG_NOMINAL distinct values is exact; beyond, its relative deviation is below 1 %.
-LG_NOMINAL = 14
+#: Features of a layer whose bits one stored row holds.
+BLOCK = 64
 QUANTILES = {"median": 0.5, "p95": 0.95, "p99": 0.99}
-DIMENSIONS = ("source_idx", "layer", "axis", "direction")
+#: What a bit stands for is told by its tile, layer and block; equal bits of different rows are one feature.
+HOLDER = ("source_idx", "layer", "block")
+DIMENSIONS = (*HOLDER, "axis", "direction")
 
 
 def tile_sketches(axis_entries: DataFrame, run: str) -> DataFrame:
     """The rows that a run stores, from entries of one axis each."""
     size = F.abs(F.col("offset")).cast("long")
-    feature = F.concat_ws(":", "source_idx", "layer", "feature_index")
+    index = F.coalesce("feature_index", F.lit(-1)).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(index, F.lit(BLOCK)).cast("int"))
     stats = [F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high")]
-    sketches = [F.kll_sketch_agg_bigint(size, F.lit(KLL_K)).alias("offsets"), F.theta_sketch_agg(feature, F.lit(LG_NOMINAL)).alias("features")]
-    return axis_entries.groupBy(*DIMENSIONS).agg(*stats, *sketches).withColumn("run", F.lit(run))
+    sketches = [F.kll_sketch_agg_bigint(size, F.lit(KLL_K)).alias("offsets"), F.bit_or(bit).alias("features")]
+    rows = axis_entries.withColumn("block", F.floor(index / BLOCK))
+    return rows.groupBy(*DIMENSIONS).agg(*stats, *sketches).withColumn("run", F.lit(run))
 
 
 def add_run(sketches: DataFrame, path: str) -> None:
@@ -36,25 +42,28 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def estimate(sketch: Column) -> Column:
-    return F.coalesce(F.theta_sketch_estimate(sketch).cast("long"), F.lit(0).cast("long"))
+def distinct_features(store: DataFrame, *by: str) -> DataFrame:
+    """``by, features``: how many different features the stored rows hold."""
+    bits = store.groupBy(*dict.fromkeys((*by, *HOLDER))).agg(F.bit_or("features").alias("features"))
+    return bits.groupBy(*by).agg(F.sum(F.bit_count("features")).alias("features"))
 
 
 def profile(store: DataFrame, *by: str) -> DataFrame:
-    """``by, n, min, median, p95, p99, max, features``: bounds and counts exact, quantiles and features by sketches."""
-    merged = store.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"), F.kll_merge_agg_bigint("offsets", F.lit(KLL_K)).alias("offsets"), F.theta_union_agg("features", F.lit(LG_NOMINAL)).alias("features")
-    )
+    """``by, n, min, median, p95, p99, max, features``: bounds, counts and features exact, quantiles by sketches."""
+    merged = store.groupBy(*by).agg(F.sum("n").alias("n"), F.min("low").alias("min"), F.max("high").alias("max"), F.kll_merge_agg_bigint("offsets", F.lit(KLL_K)).alias("offsets"))
     quantiles = [F.kll_sketch_get_quantile_bigint("offsets", F.lit(q)).alias(name) for name, q in QUANTILES.items()]
-    return merged.select(*by, "n", "min", *quantiles, "max", estimate(F.col("features")).alias("features"))
+    counted = distinct_features(store, *by).select(*[F.col(f"`{c}`").alias(f"{c} of features") for c in by], "features")
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c} of features`")) for c in by])
+    return merged.join(counted, same).select(*by, "n", "min", *quantiles, "max", "features")
 
 
 def differences(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
     """``by, only_left, only_right, both``: distinct features that the stored rows of one side or of both hold."""
-    union = lambda df, name: df.groupBy(*by).agg(F.theta_union_agg("features", F.lit(LG_NOMINAL)).alias(name))
-    joined = union(left, "l").join(union(right, "r"), list(by), "full")
-    only = lambda a, b: F.when(F.col(b).isNull(), estimate(F.col(a))).otherwise(estimate(F.theta_difference(a, b)))
-    return joined.select(*by, only("l", "r").alias("only_left"), only("r", "l").alias("only_right"), estimate(F.theta_intersection("l", "r")).alias("both"))
+    none = F.lit(0).cast("long")
+    sides = left.select(*dict.fromkeys((*by, *HOLDER)), F.col("features").alias("l"), none.alias("r")).unionByName(right.select(*dict.fromkeys((*by, *HOLDER)), none.alias("l"), F.col("features").alias("r")))
+    bits = sides.groupBy(*dict.fromkeys((*by, *HOLDER))).agg(F.bit_or("l").alias("l"), F.bit_or("r").alias("r"))
+    held = {"only_left": F.col("l").bitwiseAND(F.bitwise_not("r")), "only_right": F.col("r").bitwiseAND(F.bitwise_not("l")), "both": F.col("l").bitwiseAND(F.col("r"))}
+    return bits.groupBy(*by).agg(*[F.sum(F.bit_count(v)).alias(name) for name, v in held.items()])
 
 
 def rank_errors(axis_entries: DataFrame, profiles: DataFrame, *by: str) -> DataFrame:

@@ -46,3 +46,13 @@ def test_set_differences(spark):
     none = sketches.differences(a, b.limit(0), "axis").first()
     assert (none.only_left, none.only_right, none.both) == (800, 0, 0)
     assert analytics.distinct_counts(entries(spark, 3), "source_idx").first()[0] == 3
+
+
+def test_numbers_of_features_are_exact_beyond_any_sketch(spark):
+    tile_rows = spark.range(60_000).select((F.col("id") % 300).alias("source_idx"), F.lit("l").alias("layer"), F.floor(F.col("id") / 300).cast("int").alias("feature_index"), F.col("id"))
+    many = tile_rows.select("source_idx", "layer", "feature_index", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("axis"), (F.col("id") + 1).alias("offset"), F.lit("above-extent").alias("direction"))
+    a, b = (sketches.tile_sketches(many.where(w), "r") for w in ("source_idx < 200", "source_idx >= 100"))
+    assert {r["features"] for r in sketches.profile(a, "axis").collect()} == {40_000}
+    assert sketches.profile(a, "layer").first()["features"] == 40_000
+    found = sketches.differences(a, b, "layer").first()
+    assert (found.only_left, found.only_right, found.both) == (20_000, 20_000, 20_000)
