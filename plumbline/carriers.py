@@ -14,6 +14,8 @@ from plumbline.sources import scan
 
 EXTENT = 4096
 DECLARED_SOURCES = 10
+#: Line items that one task makes into tiles at most, on average.
+ITEMS_OF_A_TASK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +32,13 @@ def tile_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("source_idx"), F.concat(F.lit("tiles/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".pbf")).alias("source"))
 
 
-def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point features: one for each line item, its return flag as layer. Carries part and supplier keys."""
+def line_features(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Point features: one for each line item, its return flag as layer. Carries part and supplier keys.
+
+    Line items are dealt out by their tile as they are read, so what groups by tile or layer moves nothing again.
+    """
     items = table(spark, sf_dir, "lineitem")
+    items = items.repartition(tasks, "l_orderkey") if tasks else items.repartition("l_orderkey")
     by = Window.partitionBy("l_orderkey", "l_returnflag")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_linestatus"]
     entry = lambda name, col, on: F.when(on, F.struct(F.lit(name).alias("key"), _number(col).alias("value")))
@@ -145,18 +151,31 @@ def provider_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tile_bytes(spark: SparkSession, sf_dir: str, cut_every: int | None = None) -> DataFrame:
-    """C5: C1 encoded; tiles whose number is divisible by ``cut_every`` lose their last three bytes."""
-    features = line_features(spark, sf_dir)
-    keys = F.array(F.struct(F.lit("partkey").alias("key"), F.col("l_partkey").alias("value")))
-    one = F.struct("feature_index", F.struct(F.col("feature_id").alias("id"), F.col("type").cast("int").alias("type"), "parts", F.map_from_entries(keys).alias("properties")).alias("f"))
-    layers = features.groupBy("source_idx", "layer_ord", "layer").agg(F.array_sort(F.collect_list(one), lambda a, b: a["feature_index"] - b["feature_index"]).alias("fs"))
-    layer = F.struct("layer_ord", F.struct(F.col("layer").alias("name"), F.lit(EXTENT).alias("extent"), F.transform("fs", lambda x: x["f"]).alias("features")).alias("l"))
-    grouped = layers.groupBy("source_idx").agg(F.array_sort(F.collect_list(layer), lambda a, b: a["layer_ord"] - b["layer_ord"]).alias("ls"))
-    rows = tile_sources(spark, sf_dir).join(grouped, "source_idx", "left").repartition(3 * spark.sparkContext.defaultParallelism, "source_idx").select("source_idx", "source", mvt.encode(F.transform("ls", lambda x: x["l"])).alias("content"), F.lit(None).cast("string").alias("read_error"))
+def dealt_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks over which tiles are dealt out: three for each core, and more where a task would get over ``ITEMS_OF_A_TASK`` line items."""
+    return max(3 * spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // ITEMS_OF_A_TASK))
+
+
+def tile_bytes(spark: SparkSession, sf_dir: str, cut_every: int | None = None, tasks: int | None = None) -> DataFrame:
+    """C5: C1 encoded; tiles whose number is divisible by ``cut_every`` lose their last three bytes.
+
+    Rows are hash-partitioned by ``source_idx``, over ``tasks`` partitions if given. Line items move once, as they
+    are read: windows, groups and the tiles themselves are made where they lie.
+    """
+    features = line_features(spark, sf_dir, tasks)
+    # Collected as plain values; layers, maps and points are put together when a tile is whole.
+    one = F.struct("layer_ord", "feature_index", "layer", F.col("parts")[0][0]["x"].alias("x"), F.col("parts")[0][0]["y"].alias("y"), F.col("feature_id").alias("id"), F.col("type").cast("int").alias("type"), F.col("l_partkey").alias("partkey"))
+    whole = features.groupBy("source_idx").agg(F.array_sort(F.collect_list(one)).alias("fs"))
+    keys = lambda f: F.array(F.struct(F.lit("partkey").alias("key"), f["partkey"].alias("value")))
+    feature = lambda f: F.struct(f["id"].alias("id"), f["type"].alias("type"), F.array(F.array(F.struct(f["x"].alias("x"), f["y"].alias("y")))).alias("parts"), F.map_from_entries(keys(f)).alias("properties"))
+    first = F.filter("fs", lambda f: f["feature_index"] == 0)
+    layer = lambda k: F.struct(k["layer"].alias("name"), F.lit(EXTENT).alias("extent"), F.transform(F.filter("fs", lambda f: f["layer"].eqNullSafe(k["layer"])), feature).alias("features"))
+    grouped = whole.select("source_idx", F.transform(first, layer).alias("ls"))
+    sources = tile_sources(spark, sf_dir)
+    sources = sources.repartition(tasks, "source_idx") if tasks else sources
+    # Both sides lie by their tile already; a broadcast would pass all line items through the driver.
+    rows = sources.join(grouped.hint("merge"), "source_idx", "left").select("source_idx", "source", mvt.encode(F.col("ls")).alias("content"), F.lit(None).cast("string").alias("read_error"))
     if cut_every:
         short = F.substring("content", F.lit(1), F.greatest(F.length("content") - 3, F.lit(0)))
         rows = rows.withColumn("content", F.when(F.col("source_idx") % cut_every == 0, short).otherwise(F.col("content")))
     return rows
-
-

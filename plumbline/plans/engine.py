@@ -280,15 +280,16 @@ class Engine:
         parts = rule_diagnostics(frames, self.resolved)
         return reduce(DataFrame.unionByName, [infrastructure(frames.artifacts), *([cap_details(reduce(DataFrame.unionByName, parts), self.resolved.options["maxDetails"])] if parts else [])])
 
-    def run_until(self, raw: DataFrame, load: Callable[[DataFrame], Frames], first: int = 256) -> RunResult:
+    def run_until(self, raw: DataFrame, load: Callable[[DataFrame], Frames], first: int = 256, listed: DataFrame | None = None) -> RunResult:
         """The same result as :meth:`run` over ``load(raw)``, without loading sources beyond the limit of diagnostics.
 
-        ``raw`` has ``source_idx`` and what ``load`` takes. Sources are taken in slices of their order, each as
+        ``raw`` has ``source_idx`` and what ``load`` takes; ``listed`` holds the same ``source_idx`` where they can be
+        read without making ``raw``. Sources are taken in slices of their order, each as
         long as all before it; the run ends with the slice that fills ``maxDiagnostics``. Each slice's
         findings, artifacts and executions are written once, so no source is loaded twice.
         """
         limit = self.resolved.options["maxDiagnostics"]
-        bounds = raw.agg(F.count(F.lit(1)).alias("n"), F.min("source_idx").alias("low"), F.max("source_idx").alias("high")).first()
+        bounds = (raw if listed is None else listed).agg(F.count(F.lit(1)).alias("n"), F.min("source_idx").alias("low"), F.max("source_idx").alias("high")).first()
         slices, held, low, size = [], 0, bounds.low, first
         while low is not None and low <= bounds.high and (held < limit or not slices):
             frames = load(raw.where(F.col("source_idx").between(low, low + size - 1)))

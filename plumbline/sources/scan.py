@@ -176,14 +176,18 @@ def fetch(sources: DataFrame, timeout_ms: int = HTTP_TIMEOUT_MS, headers: dict[s
     return sources.mapInArrow(run, f"{fields}, content binary, read_error string")
 
 
-def load_tiles(raw: DataFrame, light: bool = False, int_zigzag: bool = False) -> Frames:
-    """Frames of ``(source_idx, source, content, read_error)`` rows of tiles. Load failures are data."""
+def load_tiles(raw: DataFrame, light: bool = False, int_zigzag: bool = False, dealt: bool = False, keep: bool = True) -> Frames:
+    """Frames of ``(source_idx, source, content, read_error)`` rows of tiles. Load failures are data.
+
+    With ``dealt`` the rows are decoded in the partitions they come in. ``keep`` stores the decoded tiles for all
+    frames; whoever reads one frame once decodes as it reads.
+    """
     content = F.when(F.lower(F.trim("source")).endswith(".mbtiles"), F.lit(None)).otherwise(F.col("content"))
     # Decoding costs far more than moving the bytes: deal the tiles out evenly over all cores.
-    raw = raw.repartition(3 * raw.sparkSession.sparkContext.defaultParallelism, "source_idx")
+    raw = raw if dealt else raw.repartition(3 * raw.sparkSession.sparkContext.defaultParallelism, "source_idx")
     tiles = raw.withColumn("tile", mvt.decode(content, light, int_zigzag)).drop("content")
     # Decoded once for all rules: the frames below read the stored columns, not the decoder.
-    tiles = tiles.persist()
+    tiles = tiles.persist() if keep else tiles
     archive = F.when(F.lower(F.trim("source")).endswith(".mbtiles"), F.lit("tile archives cannot be loaded"))
     error = F.coalesce("read_error", archive, "tile.error")
     artifacts = tiles.select("source_idx", "source", F.lit(VECTOR_TILE).alias("artifact_type"), "tile.bytes", "tile.decoded_bytes", "tile.gzipped", error.alias("load_error"))

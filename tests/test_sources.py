@@ -82,3 +82,21 @@ def test_a_run_ends_with_the_slice_that_fills_the_limit(spark, limit, slices):
     assert early.summary.first() == whole.summary.first()
     assert len(seen) == slices and [i for s in seen for i in s] == list(range(min(30, 4 << (slices - 1))))
     spark.catalog.clearCache()
+
+
+def test_tiles_of_one_frame_are_decoded_once_where_they_lie_and_not_stored(spark, small):
+    from plumbline import queries
+
+    for name in ("mvt_roundtrip_features", "mvt_roundtrip_layers", "mvt_light_layers", "mvt_corrupt_load_failed"):
+        plan = queries.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" not in plan and "Broadcast" not in plan
+        assert plan.count("ArrowEvalPython") == 2  # the encoder and the decoder
+        assert plan.count("Exchange") == 2  # line items and orders, as they are read
+
+
+def test_a_run_to_a_limit_may_take_its_sources_from_a_list(spark):
+    raw = spark.createDataFrame([(i, f"t/{i}.pbf", bytearray(tile(a=[feature(LINE, [(0, 0), (9000, 1)])])), None) for i in range(6)], "source_idx long, source string, content binary, read_error string")
+    engine = Engine([Plugin("t", rules=tile_rules.RULES)], {"options": {"maxDiagnostics": 2}})
+    found = engine.run_until(raw, scan.load_tiles, 2, raw.select("source_idx"))
+    assert found.summary.first() == engine.run_until(raw, scan.load_tiles, 2).summary.first()
+    spark.catalog.clearCache()
