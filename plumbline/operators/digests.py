@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.shared import written
+
 TILE, LAYER = ["source_idx"], ["source_idx", "layer"]
 #: A folded digest has two independent halves.
 HALVES = 2
@@ -70,11 +72,15 @@ def differing(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame,
 
     Features come with a flag for each dimension.
     """
-    (leaves1, layers1, tiles1), (leaves2, layers2, tiles2) = tree(left), tree(right)
-    tiles = unequal(tiles1, tiles2, TILE)
+    leaves = [feature_digests(df) for df in (left, right)]
+    # Only layers are stored: leaves are many times as large, and those that are opened are made once more.
+    layers1, layers2 = (written(layer_digests(df), "digests") for df in leaves)
+    tiles = unequal(tile_digests(layers1), tile_digests(layers2), TILE)
     opened = [df.join(tiles.select(*TILE), TILE, "left_semi") for df in (layers1, layers2)]
     layers = unequal(*opened, LAYER)
-    fine = layers.where("n1 = n2").select(*LAYER)
+    # By tile first, so that whole tiles drop out before they are decoded again; then by layer.
+    fine = written(layers.where("n1 = n2").select(*LAYER), "opened")
+    leaves1, leaves2 = (feature_digests(df.join(fine.select(*TILE).distinct(), TILE, "left_semi")) for df in (left, right))
     names = ["type", "geometry", "properties"]
     own = [df.join(fine, LAYER, "left_semi").select(*LAYER, "feature_index", *[F.col(c).alias(f"{c}{s}") for c in names]) for s, df in ((1, leaves1), (2, leaves2))]
     flags = [(~F.col(f"{c}1").eqNullSafe(F.col(f"{c}2"))).alias(c) for c in names]
