@@ -194,14 +194,19 @@ def load_tiles(raw: DataFrame, light: bool = False, int_zigzag: bool = False, de
     return Frames(artifacts, mvt.layer_rows(tiles), mvt.feature_rows(tiles))
 
 
-def load_styles(raw: DataFrame) -> Frames:
-    """Frames of ``(source_idx, source, text, read_error)`` rows of styles."""
-    parsed = styles.load(raw).persist()
+def load_styles(raw: DataFrame, keep: bool = True) -> Frames:
+    """Frames of ``(source_idx, source, text, read_error)`` rows of styles.
+
+    ``keep`` stores all columns for all frames; without it a frame reads what it needs of the texts.
+    """
+    parsed = styles.load(raw)
+    parsed = parsed.persist() if keep else parsed
     kind = F.when(F.col("read_error").isNotNull(), F.lit(STYLE)).otherwise(F.col("style.artifact_type"))
     size = F.when(F.col("style.artifact_type") == EMPTY_STYLE, F.lit(0)).otherwise(F.octet_length("text")).cast("long")
     artifacts = parsed.select("source_idx", "source", kind.alias("artifact_type"), size.alias("bytes"), size.alias("decoded_bytes"), F.lit(False).alias("gzipped"), F.coalesce("read_error", F.when(F.col("style.artifact_type") == INVALID_STYLE, F.col("style.error"))).alias("load_error"))
     readable = parsed.where("read_error is null")
-    return Frames(artifacts, None, None, styles.style_rows(readable), styles.style_layer_rows(readable))
+    layers = styles.style_layer_rows(readable)
+    return Frames(artifacts, None, None, styles.style_rows(readable), layers.persist() if keep else layers)
 
 
 def load_sources(spark: SparkSession, sources: Iterable[str], timeout_ms: int = HTTP_TIMEOUT_MS, http: bool = True, plugins: Iterable[Plugin] | None = None) -> Frames:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from helpers import ids, run, style_frames
 
+from plumbline.operators import style_rules
 from plumbline.sources import scan
 
 BASE = {"version": 8, "sources": {"s": {}}, "layers": [{"id": "a", "source": "s"}]}
@@ -90,3 +92,22 @@ def test_styles_are_read_without_python(spark):
     raw = spark.createDataFrame([(0, "s", "{}", None)], "source_idx long, source string, text string, read_error string")
     plan = scan.load_styles(raw).style_layers._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_are_parsed_once_for_a_rule(spark):
+    raw = spark.createDataFrame([(0, "s", "{}", None)], "source_idx long, source string, text string, read_error string").repartition(2)
+    for build in (style_rules.sources_present, style_rules.zoom_range):
+        plan = build(scan.load_styles(raw, keep=False), {})._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1
+
+
+def test_work_on_a_style_grows_with_its_layers(spark):
+    """6,000 entries, a third of them no objects: the square of their number would take minutes."""
+    n = 6000
+    text = json.dumps(BASE | {"layers": [i if i % 3 == 1 else {"id": f"l{i}", "source": "s" if i % 3 else "t"} for i in range(n)]})
+    raw = spark.createDataFrame([(0, "s", text, None)], "source_idx long, source string, text string, read_error string")
+    began = time.monotonic()
+    found = scan.load_styles(raw).style_layers.select("raw_index", "record_index", "kind", "id", "source_name").collect()
+    assert time.monotonic() - began < 30
+    want = [(i, None, "number", None, None) if i % 3 == 1 else (i, i - (i + 1) // 3, "object", f"l{i}", "s" if i % 3 else "t") for i in range(n)]
+    assert sorted(map(tuple, found)) == want
