@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.shared import written
+
 MAX_DETAILS = 10
 
 
@@ -12,6 +14,8 @@ def layer_issues(diagnostics: DataFrame, max_details: int = MAX_DETAILS) -> Data
     """One row for each (tile, layer, rule) with the number of issues and the first details."""
     key = ["source_idx", "layer", "ruleId", "severity"]
     rows = diagnostics.where("location.layer is not null").select("source_idx", F.col("location.layer").alias("layer"), "ruleId", "severity", "emit_seq", "message")
+    # Found once and stored: both reads below would run all rules again.
+    rows = written(rows, "issues")
     # Capped before they are collected, so no group gathers more than it shows.
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("emit_seq", "message"))).where(F.col("_n") <= max_details)
     shown = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_n", "message"))).alias("d"))

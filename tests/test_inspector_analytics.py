@@ -7,7 +7,7 @@ from helpers import LINE, POINT, POLYGON, feature, tile, tile_frames
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
-from plumbline.operators import analytics, inspector
+from plumbline.operators import analytics, inspector, reports
 from plumbline.sources import scan
 
 
@@ -74,3 +74,17 @@ def test_small_analyses(spark, rows, tmp_path):
     assert list(props.select(analytics.identity_properties(F.col("properties"))).first()[0]) == ["name"]
     bad = analytics.bad_points(analytics.offset_entries(props), "a")
     assert rows(bad)[0]["points"][0]["x"] == 9000
+
+
+def test_issues_are_found_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kind = "source_idx long, location struct<layer:string>, ruleId string, severity string, emit_seq array<bigint>, message string"
+    found = spark.createDataFrame([(1, ("a",), "r", "error", [k], f"m{k}") for k in range(5)] + [(2, (None,), "r", "error", [0], "m")], kind).mapInArrow(counted, kind)
+    assert rows(reports.layer_issues(found, 2)) == [{"source_idx": 1, "layer": "a", "ruleId": "r", "severity": "error", "n": 5, "details": ["m0", "m1"]}]
+    assert seen.value == 6
