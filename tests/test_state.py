@@ -41,3 +41,29 @@ def test_settings_come_back(spark):
     with state.state_store(spark):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key) == before
+
+
+def test_a_source_takes_one_look_at_its_state():
+    class Fake:
+        """State of one source and its timers, with the calls made on them."""
+
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def __getattr__(self, name):
+            return lambda *args: self.calls.append(name)
+
+        def getValueState(self, *args):  # noqa: N802 - Spark's name
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+    watch, fake = state.SourceWatch(600_000), Fake()
+    watch.init(fake)
+    row = state.Row(millis=0, ord=0, digest="x", errors=0)
+    for value, want in ((None, []), ((0, "x", 0, False), ["deleteTimer"]), ((0, "x", 0, True), [])):
+        fake.calls, fake.value = [], value
+        list(watch.handleInputRows(("a",), iter([row]), None))
+        assert fake.calls == ["get", *want, "registerTimer", "update"]
