@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.plans.rule_udtf import SqlRule, register_rules
+from plumbline.plans.rule_udtf import SqlRule, blocks_of, register_rules, row_kind
 
 
 def rules():
@@ -66,3 +69,34 @@ def test_a_rule_that_cannot_be_made_and_wrong_calls(spark, table):
     for rule, keys, why in (("t/none", "name", "unknown rule"), ("t/odd", "nobody", "needs the columns nobody")):
         with pytest.raises(Exception, match=why):
             call(spark, rule, keys=keys).collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 256])
+def test_blocks_give_what_rows_give(spark, table, size):
+    """Partitions that begin, end or crash inside a block, or fill many; null keys; a rule that is never made."""
+    spark.range(40).select(F.lit("long").alias("name"), F.col("id").cast("int").alias("at"), (F.col("id") + 20).alias("v")).union(spark.table("rule_rows")).createOrReplaceTempView("rule_rows")
+    blocks = blocks_of(spark.table("rule_rows"), ["name"], ["at"], size)
+    longest, rows = blocks.selectExpr("max(size(v))", "sum(size(v))").first()
+    assert longest <= size and rows == 49
+    blocks.createOrReplaceTempView("rule_blocks")
+    for rule, keys in (("t/odd", "name"), ("t/odd", "at,name"), ("t/broken", "name")):
+        want = call(spark, rule, keys=keys)
+        found = spark.sql(f"SELECT * FROM run_rule(TABLE(rule_blocks), '{rule}', '{keys}', '{{}}')")
+        assert found.schema == want.schema and Counter(found.collect()) == Counter(want.collect())
+    with pytest.raises(Exception, match="needs the columns nobody"):
+        spark.sql("SELECT * FROM run_rule(TABLE(rule_blocks), 't/odd', 'nobody', '{}')")
+
+
+def test_rows_of_blocks_read_like_rows():
+    row = tuple.__new__(row_kind(["x", "count", "_y"]), (1, 2, 3))
+    assert (row.x, row["count"], row._y, row[1], row.asDict()) == (1, 2, 3, 2, {"x": 1, "count": 2, "_y": 3})
+    with pytest.raises(AttributeError):
+        row.z  # noqa: B018
+
+
+def test_the_query_calls_the_function_once_for_many_rows(spark, small):
+    from plumbline import queries
+
+    queries.custom_rule_sql(spark, small)
+    items = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert spark.table("points_of_tiles").count() * 50 < items
