@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _number(value: Column) -> Column:
+def tagged_number(value: Column) -> Column:
     return F.struct(F.lit("number").alias("kind"), F.lit(None).cast("string").alias("s"), value.cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"))
 
 
@@ -41,7 +41,7 @@ def line_features(spark: SparkSession, sf_dir: str, tasks: int | None = None) ->
     items = items.repartition(tasks, "l_orderkey") if tasks else items.repartition("l_orderkey")
     by = Window.partitionBy("l_orderkey", "l_returnflag")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_linestatus"]
-    entry = lambda name, col, on: F.when(on, F.struct(F.lit(name).alias("key"), _number(col).alias("value")))
+    entry = lambda name, col, on: F.when(on, F.struct(F.lit(name).alias("key"), tagged_number(col).alias("value")))
     pairs = F.filter(F.array(entry("partkey", F.col("l_partkey"), F.lit(True)), entry("disc", F.col("l_discount"), F.col("l_discount") > 0.02), entry("tax", F.col("l_tax"), F.col("l_tax") > 0)), lambda p: p.isNotNull())
     rows = items.select(
         F.col("l_orderkey").alias("source_idx"), F.col("l_returnflag").alias("layer"), (F.row_number().over(by.orderBy(*order)) - 1).alias("feature_index"),

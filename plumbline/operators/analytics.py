@@ -206,13 +206,15 @@ def decoder_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     not compared further.
     """
     key = ["source_idx", "layer"]
-    counts = lambda df, n: df.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
-    layers = counts(left, "n1").join(counts(right, "n2"), key, "full")
-    coarse = layers.where("not (n1 <=> n2)").select(*key, F.lit(None).cast("int").alias("feature_index"), F.when(F.col("n1").isNull() | F.col("n2").isNull(), "layer-names").otherwise("feature-count").alias("dimension"))
-    fine = layers.where("n1 = n2").select(*key)
-    sorted_of = lambda c: F.array_sort(F.map_entries(c))
-    pick = lambda df, n: df.select(*key, "feature_index", F.col("type").alias(f"type{n}"), F.col("parts").alias(f"parts{n}"), sorted_of(F.col("properties")).alias(f"entries{n}"))
-    both = pick(left, 1).join(fine, key, "left_semi").join(pick(right, 2).join(fine, key, "left_semi"), [*key, "feature_index"], "full")
-    checks = [("geometry-type", "type1", "type2"), ("coordinates", "parts1", "parts2"), ("properties", "entries1", "entries2")]
-    labels = F.filter(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(n)) for n, a, b in checks]), lambda x: x.isNotNull())
-    return coarse.unionByName(both.select(*key, "feature_index", F.explode(labels).alias("dimension")))
+    # Both sides pass once, and meet where they are if they lie by their tile in equally many parts.
+    side = lambda df, n: df.select(*key, "feature_index", F.lit(n).alias("side"), F.struct("type", "parts", F.array_sort(F.map_entries("properties")).alias("entries")).alias("v"))
+    of = [F.when(F.col("side") == n, F.col("v")) for n in (1, 2)]
+    both = side(left, 1).unionByName(side(right, 2)).groupBy(*key, "feature_index").agg(*[f(c).alias(f"{a}{n}") for n, c in enumerate(of, 1) for a, f in (("v", F.max), ("c", F.count))])
+    checks = [("geometry-type", "type"), ("coordinates", "parts"), ("properties", "entries")]
+    labels = F.filter(F.array(*[F.when(~F.col("v1")[c].eqNullSafe(F.col("v2")[c]), F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
+    found = both.select(*key, "c1", "c2", F.struct("feature_index", labels.alias("labels")).alias("f"))
+    layers = found.groupBy(*key).agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"), F.collect_list(F.when(F.size("f.labels") > 0, F.col("f"))).alias("fine"))
+    coarse = F.when((F.col("n1") == 0) | (F.col("n2") == 0), "layer-names").otherwise("feature-count")
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("feature_index"), F.array(coarse).alias("labels")))
+    rows = layers.select(*key, F.inline(F.when(F.col("n1") != F.col("n2"), whole).otherwise(F.col("fine"))))
+    return rows.select(*key, "feature_index", F.explode("labels").alias("dimension"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import carriers as c
 from plumbline.functions import geometry as g
-from plumbline.model import Frames
+from plumbline.model import PROPERTIES, Frames
 from plumbline.operators import analytics, boxes, digests, inspector, reports, segments, sketches, style_rules, tile_rules
 from plumbline.plans import engine as e
 from plumbline.plans.rule_udtf import SqlRule, blocks_of, register_rules
@@ -240,9 +240,10 @@ def _planted(spark: SparkSession, d: str) -> DataFrame:
     """Features of the tiles with differences in layers, points and properties."""
     right = c.line_features(spark, d).where("not (layer = 'R' and source_idx % 7 = 0)")
     moved = F.transform("parts", lambda part: F.transform(part, lambda p: F.struct(p["x"].alias("x"), (p["y"] + 1).alias("y"))))
-    other = lambda v: v.withField("n", F.when(F.col("l_partkey") % 17 == 0, v["n"] + 1).otherwise(v["n"]))
-    keyed = F.transform_values(F.map_filter("properties", lambda k, v: k == "partkey"), lambda k, v: other(v))
-    return right.withColumn("parts", F.when(F.col("l_partkey") % 13 == 0, moved).otherwise(F.col("parts"))).withColumn("properties", keyed)
+    # Of the properties the key of the part alone stays: made anew, not picked from the map of all three.
+    number = F.col("l_partkey").cast("double")
+    other = c.tagged_number(F.when(F.col("l_partkey") % 17 == 0, number + 1).otherwise(number))
+    return right.withColumn("parts", F.when(F.col("l_partkey") % 13 == 0, moved).otherwise(F.col("parts"))).withColumn("properties", F.create_map(F.lit("partkey"), other).cast(PROPERTIES))
 
 
 def decoder_crosscheck(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import random
 
+import pyarrow as pa
 import pytest
 from helpers import LINE, POINT, POLYGON, feature, ids, run, tile, tile_frames
 from hypothesis import given, settings
@@ -122,3 +124,58 @@ def test_broken_geometry_spoils_its_own_tile_alone():
     assert [r["error"] is None for r in rows] == [c == good for c in contents]
     alone = mvt.read_tile(good)
     assert all(r == alone for r, c in zip(rows, contents, strict=True) if c == good) and rows[1] == mvt.read_tile(broken)
+
+
+LAYERS = pa.list_(pa.struct({"name": pa.string(), "extent": pa.int32(), "features": pa.list_(pa.struct({"id": pa.int64(), "type": pa.int32(), "parts": pa.list_(pa.list_(pa.struct({"x": pa.int64(), "y": pa.int64()}))), "properties": pa.map_(pa.string(), pa.int64())}))}))
+
+
+def random_layers(rng):
+    """Layers of a tile, with empty parts, repeated names, closed rings and numbers of all sizes."""
+    number = lambda: rng.choice([rng.randint(-5, 5), rng.randint(-(1 << 31), 1 << 31), rng.randint(-(1 << 63), (1 << 63) - 1)])
+    point = lambda: (rng.choice([rng.randint(-5, 5), rng.randint(-(1 << 29), 1 << 29)]), rng.randint(-90, 9000))
+    ring = lambda: (lambda p: p + p[:1] * rng.randint(0, 1))([point() for _ in range(rng.randint(0, 5))])
+    one = lambda: {"id": rng.choice([None, number()]), "type": rng.randint(0, 3), "parts": [ring() for _ in range(rng.randint(0, 3))], "properties": {k: number() for k in rng.sample(["a", "b", "\u043a", "", "x" * 200], rng.randint(0, 4))}}
+    return [{"name": rng.choice(["A", "N", "R", "", "n" * 150]), "extent": rng.choice([4096, 512, 0]), "features": [one() for _ in range(rng.choice([0, 1, 3, 9]))]} for _ in range(rng.randint(0, 3))]
+
+
+@pytest.mark.parametrize("n", [0, 1, 200])
+def test_tiles_side_by_side_are_written_as_one_at_a_time(n):
+    rng = random.Random(n)
+    tiles = [random_layers(rng) for _ in range(n)]
+    nested = [[layer | {"features": [f | {"parts": [[{"x": x, "y": y} for x, y in p] for p in f["parts"]], "properties": list(f["properties"].items())} for f in layer["features"]]} for layer in t] for t in tiles]
+    assert mvt.encode_tiles(pa.array([None, *nested, None], LAYERS).slice(1)).to_pylist() == [*map(mvt.encode_tile, tiles), b""]
+    assert mvt.encode_tiles(pa.array([[{"name": None, "extent": 1, "features": []}]], LAYERS)) is None
+
+
+@pytest.mark.parametrize("light", [False, True])
+def test_tiles_side_by_side_are_read_as_one_at_a_time(light):
+    """Whole, damaged, compressed and empty tiles, among others those with repeated and with nameless layers."""
+    rng = random.Random(4)
+    contents = []
+    for _ in range(600):
+        data = mvt.encode_tile(random_layers(rng), as_text=rng.random() < 0.2)
+        broken = bytearray(data or b"x")
+        broken[rng.randrange(len(broken))] = rng.choice([0, 7, 15, 18, 127, 128, 255])
+        contents.append(rng.choice([data, data, data, bytes(broken), data[:-3], gzip.compress(data), b"", None]))
+    alone = mvt.Columns(light)
+    for one in contents:
+        alone.add(one or b"")
+    together = mvt.read_tiles(pa.array([b"", *contents], pa.binary()).slice(1), light)
+    together.validate(full=True)
+    assert together.type == alone.array().type
+    assert list(map(str, together.to_pylist())) == list(map(str, alone.array().to_pylist()))
+
+
+def test_speed_on_tiny_tiles():
+    """20,000 tiles of four points: under a third of the 70 microseconds that they took one at a time to read or to write, whatever else runs."""
+    import time
+
+    layers = [{"name": n, "extent": 4096, "features": [{"id": None, "type": 1, "parts": [[{"x": 7, "y": k}]], "properties": [("partkey", k)]} for k in (90, 4000)]} for n in "AN"]
+    batch, took = pa.array([layers] * 20_000, LAYERS), []
+    for _ in range(3):
+        began = time.perf_counter()
+        coded = mvt.encode_tiles(batch)
+        halfway = time.perf_counter()
+        mvt.read_tiles(coded)
+        took.append((halfway - began, time.perf_counter() - halfway))
+    assert max(map(min, zip(*took, strict=True))) < 20_000 * 70e-6 / 3
