@@ -1,9 +1,10 @@
-"""Digest trees of decoded tiles: features fold into layers, layers into tiles, and only what differs is opened.
+"""Digest trees of decoded tiles: features fold into layers and tiles, and only what differs is opened.
 
 A feature's type, geometry and properties become digests where the feature lies. Layers and tiles fold
-the digests below them with sums that need no order, so tasks fold before anything moves. Two decodes are
+the digests of their features with sums that need no order, so tasks fold before anything moves. Two decodes are
 compared from the top: equal tiles end there, of the others only unequal layers are opened, and of those
-only features whose digests differ are named. Geometry and properties themselves are never exchanged.
+only features whose digests differ are named. Geometry and properties themselves are never exchanged, and each
+decode is read once: a tile carries the digests of its features to where it meets its counterpart.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from plumbline.shared import written
 TILE, LAYER = ["source_idx"], ["source_idx", "layer"]
 #: A folded digest has two independent halves.
 HALVES = 2
+#: What is compared of a feature.
+DIMENSIONS = ["type", "geometry", "properties"]
 
 
 def digest(value: Column) -> Column:
-    """SHA-256 of a value's JSON, nulls spelled out."""
-    return F.unhex(F.sha2(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}).cast("binary"), 256))
+    """The first 128 bits of the SHA-256 of a value's JSON, nulls spelled out; as many as folded digests have."""
+    return F.substring(F.unhex(F.sha2(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}).cast("binary"), 256)), 1, 16)
 
 
 def plain_number(value: Column) -> Column:
@@ -41,30 +44,28 @@ def folded(*parts: str) -> list[Column]:
     return [F.bit_xor(F.xxhash64(F.lit(i), *parts)).alias(f"h{i}") for i in range(HALVES)] + [F.count(F.lit(1)).alias("n")]
 
 
+def marked(leaves: DataFrame) -> DataFrame:
+    """Leaves with nulls spelled out, to be folded."""
+    return leaves.withColumns({"kind": F.coalesce("type", F.lit(-1)), "props": F.coalesce("properties", F.lit(b""))})
+
+
 def layer_digests(leaves: DataFrame) -> DataFrame:
     """``source_idx, layer, h0, h1, n``."""
-    marked = leaves.withColumns({"kind": F.coalesce("type", F.lit(-1)), "props": F.coalesce("properties", F.lit(b""))})
-    return marked.groupBy(*LAYER).agg(*folded("feature_index", "kind", "geometry", "props"))
+    return marked(leaves).groupBy(*LAYER).agg(*folded("feature_index", "kind", "geometry", "props"))
 
 
-def tile_digests(layers: DataFrame) -> DataFrame:
-    """``source_idx, h0, h1, n``."""
-    return layers.withColumnRenamed("n", "held").groupBy(*TILE).agg(*folded("layer", "held", *[f"h{i}" for i in range(HALVES)]))
+def tile_digests(leaves: DataFrame) -> DataFrame:
+    """``source_idx, h0, h1, n, leaves``: a tile's digest, and the digests of its features beside it."""
+    own = F.collect_list(F.struct("layer", "feature_index", *DIMENSIONS)).alias("leaves")
+    return marked(leaves).groupBy(*TILE).agg(*folded("layer", "feature_index", "kind", "geometry", "props"), own)
 
 
-def unequal(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """Keys whose folded digests differ or that one side lacks, with the counts ``n1`` and ``n2``."""
+def unequal(left: DataFrame, right: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """Keys whose folded digests differ or that one side lacks, with the counts ``n1`` and ``n2`` and ``more`` columns of both sides."""
     names = [f"h{i}" for i in range(HALVES)] + ["n"]
-    sides = [df.select(*key, *[F.col(c).alias(f"{c}{s}") for c in names]) for s, df in ((1, left), (2, right))]
+    sides = [df.select(*key, *[F.col(c).alias(f"{c}{s}") for c in (*names, *more)]) for s, df in ((1, left), (2, right))]
     same = reduce(lambda a, b: a & b, [F.col(f"{c}1").eqNullSafe(F.col(f"{c}2")) for c in names])
-    return sides[0].join(sides[1], key, "full").where(~same).select(*key, "n1", "n2")
-
-
-def tree(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Leaves, layers and tiles of a digest tree."""
-    leaves = feature_digests(features)
-    layers = layer_digests(leaves)
-    return leaves, layers, tile_digests(layers)
+    return sides[0].join(sides[1], key, "full").where(~same).select(*key, *[f"{c}{s}" for c in ("n", *more) for s in (1, 2)])
 
 
 def differing(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -72,20 +73,15 @@ def differing(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame,
 
     Features come with a flag for each dimension.
     """
-    leaves = [feature_digests(df) for df in (left, right)]
-    # Only layers are stored: leaves are many times as large, and those that are opened are made once more.
-    layers1, layers2 = (written(layer_digests(df), "digests") for df in leaves)
-    tiles = unequal(tile_digests(layers1), tile_digests(layers2), TILE)
-    opened = [df.join(tiles.select(*TILE), TILE, "left_semi") for df in (layers1, layers2)]
-    layers = unequal(*opened, LAYER)
-    # By tile first, so that whole tiles drop out before they are decoded again; then by layer.
+    # What is stored are the leaves of unequal tiles alone.
+    trees = written(unequal(*[tile_digests(feature_digests(df)) for df in (left, right)], TILE, "leaves"), "digests")
+    leaves = [trees.select(*TILE, F.inline(f"leaves{s}")) for s in (1, 2)]
+    layers = unequal(*map(layer_digests, leaves), LAYER)
     fine = written(layers.where("n1 = n2").select(*LAYER), "opened")
-    leaves1, leaves2 = (feature_digests(df.join(fine.select(*TILE).distinct(), TILE, "left_semi")) for df in (left, right))
-    names = ["type", "geometry", "properties"]
-    own = [df.join(fine, LAYER, "left_semi").select(*LAYER, "feature_index", *[F.col(c).alias(f"{c}{s}") for c in names]) for s, df in ((1, leaves1), (2, leaves2))]
-    flags = [(~F.col(f"{c}1").eqNullSafe(F.col(f"{c}2"))).alias(c) for c in names]
+    own = [df.join(fine, LAYER, "left_semi").select(*LAYER, "feature_index", *[F.col(c).alias(f"{c}{s}") for c in DIMENSIONS]) for s, df in enumerate(leaves, 1)]
+    flags = [(~F.col(f"{c}1").eqNullSafe(F.col(f"{c}2"))).alias(c) for c in DIMENSIONS]
     features = own[0].join(own[1], [*LAYER, "feature_index"], "full").select(*LAYER, "feature_index", *flags).where("type or geometry or properties")
-    return tiles, layers, features
+    return trees.select(*TILE, "n1", "n2"), layers, features
 
 
 def decoder_differences(left: DataFrame, right: DataFrame) -> DataFrame:

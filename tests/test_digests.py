@@ -50,3 +50,32 @@ def test_nulls_and_values_without_a_kind(spark):
     holes = left.withColumn("properties", F.lit(None).cast(left.schema["properties"].dataType)).withColumn("type", F.lit(None).cast("tinyint"))
     assert digests.decoder_differences(holes, holes).count() == 0
     assert {r.dimension for r in digests.decoder_differences(left, holes).collect()} == {"geometry-type", "properties"}
+
+
+def test_tiles_are_decoded_once(spark, small):
+    """The plain comparison decodes in one place; for digests all decoding is over before the stored leaves are opened."""
+    from plumbline import queries
+
+    for name, times in (("decoder_crosscheck", 2), ("decoder_digest_tree", 0), ("decoder_digest_levels", 0)):
+        plan = queries.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == times  # the encoder and the decoder
+
+
+def test_features_that_one_side_lacks_or_has_twice(spark):
+    """Layers are counted by side, whatever pairs up; in layers of equal size a feature without its counterpart differs in all."""
+    left, _ = frames(spark)
+    twice = left.unionByName(left.where("source_idx = 0"))
+    shifted = left.withColumn("feature_index", F.col("feature_index") + F.when(F.col("source_idx") == 3, 1).otherwise(0))
+    for module in (digests, analytics):
+        found = sorted((r.source_idx, r.layer, r.feature_index, r.dimension) for r in module.decoder_differences(left, twice).collect())
+        assert found == [(0, "a", None, "feature-count"), (0, "b", None, "feature-count")]
+        found = {(r.source_idx, r.feature_index, r.dimension) for r in module.decoder_differences(left, shifted).collect()}
+        assert found == {(3, k, d) for k in (0, 2) for d in ("geometry-type", "coordinates", "properties")}
+
+
+def test_parts_and_nulls_are_spelled_out(spark):
+    """Equal points in other parts are other geometry, in both comparisons."""
+    one = tile_frames(spark, tile(a=[feature(LINE, [(0, 0), (1, 1), (2, 2), (3, 3)])])).features
+    two = tile_frames(spark, tile(a=[feature(LINE, [(0, 0), (1, 1)], [(2, 2), (3, 3)])])).features
+    for module in (digests, analytics):
+        assert [r.dimension for r in module.decoder_differences(one, two).collect()] == ["coordinates"]
